@@ -6,7 +6,7 @@ import sys
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space.
@@ -79,25 +79,40 @@ def buckets_for(rows: int, per_bucket: int = 50_000, least: int = 16) -> int:
     return max(least, -(-rows // per_bucket))
 
 
-def global_index(df: DataFrame, group: list[str], tie: list[str], n_buckets: int, out: str) -> DataFrame:
+def global_index(df: DataFrame, group: list[str], tie: list[str], n_buckets: int, out: str, size: str | None = None) -> DataFrame:
     """Append ``out``: a 0-based position of each row in its group.
 
-    Two levels, so that a group holding a third of all rows is dealt over
-    n_buckets tasks: rows are numbered within (group, bucket), and buckets are
-    offset by the running total of the buckets before them.  The window over
-    totals has at most n_buckets rows in a group.  Rows are ordered by bucket
-    (a hash of ``tie``) and then by ``tie``; equal rows get successive numbers.
+    Rows stand in the order of a bucket (a hash of ``tie``), then of ``tie``.
+    With ``size``, rows are as long as that column says, and the position is
+    the total of those before.  Two levels, so that a group holding a third of
+    all rows is dealt over n_buckets tasks: positions run within (group,
+    bucket), and buckets are offset by the total of the buckets before them;
+    the window over totals has at most n_buckets rows in a group.
     """
-    from pyspark.sql import Window
-
     b, n, base = (unused(df, x) for x in ("_b", "_n", "_base"))
-    # a null must have a bucket too: xxhash64 skips nulls, so it has
+    long = F.col(size).cast("long") if size else F.lit(1).cast("long")
     rows = df.withColumn(b, F.pmod(F.xxhash64(*tie), F.lit(n_buckets)))
-    sums = rows.groupBy(*group, b).agg(F.count(F.lit(1)).alias(n))
+    sums = rows.groupBy(*group, b).agg(F.sum(long).alias(n))
     before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn(base, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
     left, right = rows.alias("l"), sums.alias("r")
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*group, b)]
     joined = left.join(right, on, "left").select("l.*", F.col(f"r.{base}"))
     within = Window.partitionBy(*group, b).orderBy(*tie)
-    return joined.withColumn(out, F.col(base) + F.row_number().over(within) - 1).drop(b, base)
+    if not size:
+        at = F.row_number().over(within) - 1
+    else:
+        at = F.coalesce(F.sum(long).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return joined.withColumn(out, F.col(base) + at).drop(b, base)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def words(text: Column) -> Column:
+    """The words of a text, as an array; null or blank text has none."""
+    blank = " \t\n\x0b\x0c\r"
+    core = F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(blank))
+    return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, r"[\x09-\x0D\x20]+"))

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from . import host_rules, url_filter
+from .host_rules import op7_host_rules
 from .language import op4_language
+from .mixing import op9_mixing
 from .packing import op8_best_fit_packing
 from .token_counts import op6_token_counts
+from .url_filter import op5_url_filter
 
 QUERIES = {
     "op4_language": op4_language,
+    "op5_url_filter": op5_url_filter,
     "op6_token_counts": op6_token_counts,
+    "op7_host_rules": op7_host_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": url_filter.ORACLE,
+    "op7_host_rules": host_rules.ORACLE,
+}
