@@ -33,36 +33,87 @@ from pyspark.sql import functions as F
 from . import common
 from .token_counts import load_tokenizer
 
-_KEPT = 300_000
+#: Chunks that a Python worker keeps in each of two generations.
+_KEPT = 200_000
 
 
 class ChunkEncoder:
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
-    For tokenizers whose pre-tokenizer drops white space: chunks between
-    ASCII white space are encoded once each and their ids joined.
+    For lower-casing word tokenizers that drop white space and mark word ends:
+    the ids of a text are those of its chunks between ASCII white space, and a
+    chunk is encoded once while it is among the kept ones.  Chunks of Latin
+    letters, digits and ASCII marks are put together from the pieces that the
+    pre-tokenizer splits them into; words are encoded many at a time, joined by
+    spaces, and told apart by their word-end tokens.
     """
 
     def __init__(self, path: str):
+        import numpy as np
+
         self.tok = load_tokenizer(path)
-        self.cache = common.worker_cache("ids " + path)
-        self.cache[""] = b""
+        self.held = common.worker_cache("ids " + path)
+        if "ends" not in self.held:
+            vocabulary = self.tok.get_vocab()
+            ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+            self.held |= {"ends": ends, "new": {}, "old": {}, "parts": {}}
         self.cut = re.compile(r"[ \t\n\r]").split
+        # Latin letters, single digits, other ASCII but the apostrophe: the pre-tokenizer's own pieces
+        self.parts = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def one(self, chunk: str) -> bytes:
+        import numpy as np
+
+        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def plain(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Encode words made of letters only."""
         import numpy as np
 
-        cache = self.cache
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.held["ends"][ids]) + 1)
+            if len(ends) != len(part):  # a word that normalisation splits or drops
+                into.update((w, self.one(w)) for w in part)
+                continue
+            buffer, start = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist()):
+                into[w] = buffer[start:end]
+                start = end
+
+    def learn(self, chunks: list[str]) -> None:
+        new, old, held = self.held["new"], self.held["old"], self.held["parts"]
+        made, words = [], set()
+        for c in chunks:
+            ids = old.get(c)
+            if ids is not None:
+                new[c] = ids
+                continue
+            low = c.lower()
+            parts = self.parts(low)
+            if sum(map(len, parts)) == len(low) == len(c) and "<|" not in c:
+                made.append((c, parts))
+                words.update(parts)
+            else:
+                new[c] = self.one(c)
+        words.difference_update(held)
+        self.plain([w for w in words if w[0].isalpha()], held)
+        held.update((w, self.one(w)) for w in words if not w[0].isalpha())
+        for c, parts in made:
+            new[c] = held[parts[0]] if len(parts) == 1 else b"".join(map(held.__getitem__, parts))
+        if len(held) > _KEPT:
+            held.clear()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         split = [self.cut(t) for t in texts]
-        todo = list(set().union(*split).difference(cache))
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
-            for chunk, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                cache[chunk] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(cache.__getitem__, s)) for s in split]
-        if len(cache) > _KEPT:
-            cache.clear()
-            cache[""] = b""
+        new = self.held["new"]
+        new[""] = b""
+        self.learn(list(set().union(*split).difference(new)))
+        out = [b"".join(map(new.__getitem__, s)) for s in split]
+        if len(new) > _KEPT:
+            self.held |= {"new": {}, "old": new}
         return out
 
 
