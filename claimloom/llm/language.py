@@ -1,8 +1,8 @@
 """Language identification by segmentation-marginalised unigrams.
 
 Each language has a probability for every piece of a fixed public vocabulary.
-A word (white space before it written as the vocabulary's word mark) is scored
-by the forward algorithm, which sums the probabilities of all its segmentations
+A word (a run of letters, lower-cased, the vocabulary's word mark before it) is
+scored by the forward algorithm, which sums the probabilities of all its segmentations
 into pieces; a text's likelihood is the product over its words.  Characters
 that no piece covers are segmented into the vocabulary's byte pieces.
 
@@ -19,6 +19,8 @@ Repeated rows count as often as they occur.  Extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words whose scores a Python worker keeps.
-_KEPT = 300_000
+_KEPT = 200_000
 UNKNOWN = "und"
 
 
@@ -70,8 +72,13 @@ def load_pieces(path: str) -> Pieces:
     return held[path]
 
 
+#: Runs of letters.
+_LETTERS = re.compile(r"[^\W\d_]+").findall
+
+
 def words_of(text: str) -> list[str]:
-    return text.split()
+    """The words of a text: its runs of letters, in lower case."""
+    return _LETTERS(text.lower())
 
 
 def _spans(n: int, longest: int) -> list[slice]:
@@ -186,8 +193,10 @@ class Scorer:
         self.table = table  # [pieces, languages] of probabilities
         self.padded = np.concatenate([table, np.zeros((1, table.shape[1]))])  # number -1: no piece
         self.lattice = Lattice(self.pieces)
+        # two generations of scored words: those of the older one move up when met again
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((0, table.shape[1]))
+        self.old_rows: dict[str, int] = {}
+        self.scores = self.old_scores = np.zeros((0, table.shape[1]))
 
     def word(self, word: str):
         np, table = self.np, self.table
@@ -229,15 +238,17 @@ class Scorer:
         np = self.np
         split = [words_of(t) for t in texts]
         if len(self.rows) > _KEPT:
-            self.rows.clear()
-            self.scores = self.scores[:0]
-        new = list(set().union(*split).difference(self.rows))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.rows.update(zip(part, range(len(self.rows), len(self.rows) + len(part))))
-            self.scores = np.concatenate([self.scores, self.many(part)])
+            self.old_rows, self.old_scores = self.rows, self.scores
+            self.rows, self.scores = {}, self.scores[:0]
+        missing = set().union(*split).difference(self.rows)
+        again = list(missing.intersection(self.old_rows))
+        new = list(missing.difference(again))
+        found = [self.old_scores[[self.old_rows[w] for w in again]]]
+        found += [self.many(new[at : at + 20_000]) for at in range(0, len(new), 20_000)]
+        self.rows.update(zip(again + new, range(len(self.rows), len(self.rows) + len(missing))))
+        self.scores = np.concatenate([self.scores, *found])
         get = self.rows.__getitem__
-        return np.array([self.scores[list(map(get, s))].sum(axis=0) for s in split])
+        return np.array([self.scores[list(map(get, s))].sum(axis=0) for s in split]).reshape(len(split), -1)
 
 
 def _teach(path: str):
@@ -271,11 +282,17 @@ def _teach(path: str):
 
 
 def _predict(path: str, langs: list[str], table):
+    model = uuid.uuid4().hex
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        scorer = Scorer(path, table) if langs else None
+        held = common.worker_cache("language scorers")  # one, for all tasks of a job
+        if langs and model not in held:
+            held.clear()
+            held[model] = Scorer(path, table)
+        scorer = held.get(model)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
