@@ -5,12 +5,16 @@ from __future__ import annotations
 from . import host_rules, url_filter
 from .host_rules import op7_host_rules
 from .language import op4_language
+from .line_dedup import op3_line_dedup
 from .mixing import op9_mixing
 from .packing import op8_best_fit_packing
+from .quality import op1_importance_resampling
 from .token_counts import op6_token_counts
 from .url_filter import op5_url_filter
 
 QUERIES = {
+    "op1_importance_resampling": op1_importance_resampling,
+    "op3_line_dedup": op3_line_dedup,
     "op4_language": op4_language,
     "op5_url_filter": op5_url_filter,
     "op6_token_counts": op6_token_counts,
