@@ -7,6 +7,7 @@ from .host_rules import op7_host_rules
 from .language import op4_language
 from .line_dedup import op3_line_dedup
 from .mixing import op9_mixing
+from .ngram_join import op2_ngram_jaccard
 from .packing import op8_best_fit_packing
 from .quality import op1_importance_resampling
 from .token_counts import op6_token_counts
@@ -14,6 +15,7 @@ from .url_filter import op5_url_filter
 
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_line_dedup": op3_line_dedup,
     "op4_language": op4_language,
     "op5_url_filter": op5_url_filter,
