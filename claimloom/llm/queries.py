@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import host_rules, url_filter
+from .ann import op10_nearest_neighbours
 from .host_rules import op7_host_rules
 from .language import op4_language
 from .line_dedup import op3_line_dedup
@@ -23,6 +24,7 @@ QUERIES = {
     "op7_host_rules": op7_host_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mixing": op9_mixing,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,11 +1,68 @@
-"""The training-corpus pipeline."""
+"""The training-corpus pipeline: five stages, each on all that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
+written as Parquet and read again as the docs of the next.  All stages but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-#: No SQL expresses the whole pipeline; it is tested against brute force.
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimloom.llm import common, line_dedup, mixing, ngram_join, packing, quality
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling rejects go."""
+    return quality.select(docs, common.table(spark, sf_dir, "labels"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines go from the texts; documents that lose all their words go."""
+    cut = line_dedup.without_repeats(docs, removed_col=(removed := common.unused(docs, "_removed")))
+    left = cut.where(F.col(removed).isNull() | F.col("text").rlike(common.WORD)).drop(removed)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the least id."""
+    gone = ngram_join.Join(docs).documents().where(F.col("id") != F.col("component")).select("id").distinct()
+    gone = common.materialize(gone, "duplicates")
+    if gone.count() <= ngram_join.BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    return kept
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated and thinned to their target weights."""
+    return mixing.mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All texts packed into sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram jaccard join", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: Sampling, hashing and packing have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = common.materialize(docs, "stage")
+    return docs
