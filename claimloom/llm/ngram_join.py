@@ -88,29 +88,33 @@ def band_keys(tokens) -> list[int]:
     return keys
 
 
-def _count_prefixes(n: int, percent: int):
-    """Texts -> (token, count): prefix tokens by hash order, counted within batches."""
+def head_length(n: int, percent: int) -> int:
+    """Tokens of a set that are stored: enough for a prefix of which a third is put last."""
+    p = prefix_length(n, percent)
+    return min(n, p + p // 2 + 8)
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                got = []
-                for text in batch.column("text").slice(at, 2000).to_pylist():
-                    tokens = shingle_hashes(text, n)
-                    if len(tokens):
-                        got.append(tokens[: prefix_length(len(tokens), percent)])
-                if got:
-                    token, count = np.unique(np.concatenate(got), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int32))], ["token", "n"])
+def _lists(arrays):
+    """Arrays of unsigned tokens as one Arrow list column."""
+    import numpy as np
+    import pyarrow as pa
 
-    return run
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays).view(np.int64) if len(arrays) else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _sign(n: int, percent: int, hot):
-    """Texts -> size, class, band keys and prefix of the sets."""
+def _arrays(column):
+    """The lists of an Arrow column as unsigned arrays."""
+    import numpy as np
+
+    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    ends = np.cumsum([0, *(x or 0 for x in column.value_lengths().to_pylist())])
+    return [flat[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def _sign(n: int, percent: int):
+    """Texts -> size, class, band keys and first tokens by hash of their sets."""
 
     def run(batches):
         import hashlib
@@ -118,41 +122,88 @@ def _sign(n: int, percent: int, hot):
         import numpy as np
         import pyarrow as pa
 
-        late = hot.value
+        none = np.zeros(0, np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                size, cls, bands, prefix, ends = [], [], [], [], [0]
-                for text in part.column("text").to_pylist():
-                    tokens = shingle_hashes(text, n)
-                    size.append(len(tokens))
-                    if len(tokens):
-                        cls.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                        bands.append(band_keys(tokens))
-                        p = prefix_length(len(tokens), percent)
-                        if len(late):
-                            k = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
-                            common_ = late[k] == tokens
-                            first = tokens[~common_][:p]
-                            if len(first) < p:
-                                first = np.concatenate([first, tokens[common_][: p - len(first)]])
-                        else:
-                            first = tokens[:p]
-                        prefix.append(first)
-                    else:
-                        cls.append(None)
-                        bands.append(None)
-                        p = 0
-                    ends.append(ends[-1] + p)
-                flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
+                sets = [shingle_hashes(t, n) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    ["id", "n", "class", "bands", "prefix"],
+                    [
+                        part.column("id"),
+                        pa.array(list(map(len, sets)), pa.int64()),
+                        pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
+                        pa.array([band_keys(x) if len(x) else None for x in sets], pa.list_(pa.int64())),
+                        _lists([x[: head_length(len(x), percent)] if len(x) else none for x in sets]),
+                    ],
+                    ["id", "n", "class", "bands", "head"],
                 )
 
     return run
 
 
+def _count_prefixes(percent: int):
+    """(n, head) -> prefix tokens by hash order, counted within batches.
+
+    A row is one number: the token without its low 8 bits, and its count.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        low = np.uint64(255)
+        for batch in batches:
+            got = [h[: prefix_length(k, percent)] for k, h in zip(batch.column("n").to_pylist(), _arrays(batch.column("head"))) if k]
+            if got:
+                token, count = np.unique(np.concatenate(got) | low, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(((token ^ low) | np.minimum(count, 255).astype(np.uint64)).view(np.int64))], ["packed"])
+
+    return run
+
+
+def ordered_prefix(tokens, n: int, percent: int, late):
+    """(prefix, whether tokens were enough) of a set of n, of which the first by hash are given; ``late`` tokens go last."""
+    import numpy as np
+
+    p = prefix_length(n, percent)
+    if not len(late):
+        return tokens[:p], True
+    masked = tokens | np.uint64(255)
+    put_last = late[np.minimum(np.searchsorted(late, masked), len(late) - 1)] == masked
+    first = tokens[~put_last][:p]
+    if len(first) == p:
+        return first, True
+    return np.concatenate([first, tokens[put_last][: p - len(first)]]), len(tokens) == n
+
+
+def _prefixes(percent: int, late):
+    """(class, n, bands, head) -> (class, n, bands, prefix, short)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        last = late.value
+        for batch in batches:
+            got = [ordered_prefix(h, k, percent, last) for k, h in zip(batch.column("n").to_pylist(), _arrays(batch.column("head")))]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("n"), batch.column("bands"), _lists([g[0] for g in got]), pa.array([not g[1] for g in got], pa.bool_())], ["class", "n", "bands", "prefix", "short"])
+
+    return run
+
+
+def _whole_prefixes(percent: int, late):
+    """(class, tokens) -> (class, n, prefix)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        last = late.value
+        for batch in batches:
+            sets = _arrays(batch.column("tokens"))
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(list(map(len, sets)), pa.int64()), _lists([ordered_prefix(x, len(x), percent, last)[0] for x in sets])], ["class", "n", "prefix"])
+
+    return run
+
+
 def _open(percent: int):
     """One block of a group and the queries against it -> verified links."""
 
@@ -192,33 +243,35 @@ def _open(percent: int):
 class Join:
     """Documents, their classes, and the components of links between classes.
 
-    ``signed``: id, n, class of every row.  ``components``: (class, component)
-    of classes with a link.
+    ``signed``: id, n, class of every row.  ``components``: (class, root) of
+    classes with a link.
     """
 
     def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5, percent: int = 80):
         spark, self.n, self.percent = docs.sparkSession, n, percent
         self.rows = rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
         kind = rows.schema["id"].dataType.simpleString()
-        hot = spark.sparkContext.broadcast(self._hot())
-        signed = rows.mapInArrow(_sign(n, percent, hot), f"id {kind}, n long, class binary, bands array<long>, prefix array<long>")
-        self.signed = signed = common.materialize(signed, "signed")
-        self.sets = common.materialize(signed.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
-        groups = self._groups()
-        self.components = self._across(groups)
+        self.signed = common.materialize(rows.mapInArrow(_sign(n, percent), f"id {kind}, n long, class binary, bands array<long>, head array<long>"), "signed")
+        self.late = spark.sparkContext.broadcast(self._late())
+        own = self.signed.where("n > 0").select("class", "n", "bands", "head").mapInArrow(_prefixes(percent, self.late), "class binary, n long, bands array<long>, prefix array<long>, short boolean")
+        self.sets = common.materialize(own.groupBy("class").agg(F.first(F.struct("n", "bands", "prefix", "short")).alias("s")).select("class", "s.*"), "sets")
+        self.parts = self._groups()
+        self.components = self._across()
 
-    def _hot(self):
-        """Tokens in more than HOT_COUNT prefixes, sorted; the most frequent HOT_MOST of them at most.
+    def _late(self):
+        """Tokens (their low 8 bits set) in more than HOT_COUNT prefixes, sorted; the most frequent HOT_MOST of them at most.
 
         Any choice gives the same links; this one keeps frequent tokens out of
         prefixes.
         """
         import numpy as np
 
-        counts = self.rows.select("text").mapInArrow(_count_prefixes(self.n, self.percent), "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_COUNT)
-        counts = common.materialize(counts, "hot")
-        least, by = HOT_COUNT, {r["b"]: r["n"] for r in counts.groupBy(F.floor(F.log2("n") * 4).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        total = 0
+        packed = self.signed.where("n > 0").select("n", "head").mapInArrow(_count_prefixes(self.percent), "packed long")
+        token = F.col("packed").bitwiseOR(F.lit(255))
+        counts = packed.groupBy(token.alias("token")).agg(F.sum(F.col("packed").bitwiseAND(F.lit(255))).alias("n")).where(F.col("n") > HOT_COUNT)
+        counts = common.materialize(counts, "late")
+        least, total = HOT_COUNT, 0
+        by = {r["b"]: r["n"] for r in counts.groupBy(F.floor(F.log2("n") * 4).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
         for b in sorted(by, reverse=True):
             total += by[b]
             if total > HOT_MOST:
@@ -243,61 +296,87 @@ class Join:
         def made(batches):
             import hashlib
 
-            import numpy as np
             import pyarrow as pa
 
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
-                    got = [s for s in (shingle_hashes(t, n) for t in batch.column("text").slice(at, 1000).to_pylist()) if len(s)]
-                    ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-                    flat = np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)
-                    cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in got]
-                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["class", "tokens"])
+                    got = [x for x in (shingle_hashes(t, n) for t in batch.column("text").slice(at, 1000).to_pylist()) if len(x)]
+                    yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in got], pa.binary()), _lists(got)], ["class", "tokens"])
 
         found = texts.select("text").mapInArrow(made, "class binary, tokens array<long>")
         return common.materialize(found.join(chosen, "class", "left_semi").dropDuplicates(["class"]), "tokens")
 
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that link."""
+        pairs = common.materialize(pairs, "pairs")
+        tokens = self._with_tokens(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+        both = pairs.join(tokens.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b").join(tokens.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a")
+        both = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("shared"))
+        return both.where(100 * F.col("shared") >= self.percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+
     def _groups(self) -> DataFrame:
-        """(class, n, group) of every set: groups connected by verified links to bucket minima."""
+        """(class, component) of sets in a group of several, connected by verified links to bucket minima."""
         keys = self.sets.select("class", "n", F.posexplode("bands").alias("band", "key"))
         least = keys.groupBy("band", "key").agg(F.min(F.struct("class", "n")).alias("first"), F.max("class").alias("last")).where(F.col("first.class") < F.col("last"))
         pairs = keys.join(least, ["band", "key"]).where(F.col("class") > F.col("first.class"))
         pairs = pairs.where((100 * F.col("n") >= self.percent * F.col("first.n")) & (100 * F.col("first.n") >= self.percent * F.col("n")))
-        pairs = common.materialize(pairs.select(F.col("first.class").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        tokens = self._with_tokens(ends)
-        both = pairs.join(tokens.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b").join(tokens.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a")
-        shared = F.size(F.array_intersect("ta", "tb"))
-        links = both.where(100 * shared >= self.percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
-        parts = connected_components(common.materialize(links, "links"), "a", "b")
-        joined = self.sets.select("class", "n").join(parts.withColumnRenamed("node", "class"), "class", "left")
-        return common.materialize(joined.select("class", "n", F.coalesce("component", "class").alias("group")), "groups")
-
-    def _across(self, groups: DataFrame) -> DataFrame:
-        prefixes = self.signed.where("n > 0").groupBy("class").agg(F.first("prefix").alias("prefix"))
-        cells = prefixes.join(groups, "class").select(F.explode("prefix").alias("token"), F.xxhash64("group").alias("g"), "n")
-        matrix = cells.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        links = self._verified(pairs.select(F.col("first.class").alias("a"), F.col("class").alias("b")).distinct())
+        return common.materialize(connected_components(common.materialize(links, "links"), "a", "b").withColumnRenamed("node", "class"), "parts")
+
+    def _across(self) -> DataFrame:
+        spark, t = self.signed.sparkSession, self.percent
+        parts = F.broadcast(self.parts) if self.parts.count() <= BROADCAST_IDS else self.parts
+        members = self.sets.select("class", "n", "prefix").where("not short")
+        missing = self.sets.where("short").select("class")
+        if missing.limit(1).count():
+            members = members.unionByName(self._with_tokens(missing).mapInArrow(_whole_prefixes(t, self.late), "class binary, n long, prefix array<long>"))
+        members = members.join(parts, "class", "left").withColumn("g", F.xxhash64(F.coalesce("component", "class")))
+
+        # the matrix: a row per token and group, with the token's place in the prefix and the size of single sets
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cell = members.select("g", "component", "n", F.posexplode("prefix").alias("place", "token"))
+        one = F.least(F.col("place"), F.lit((1 << 20) - 1)).cast("long") + F.col("n") * (1 << 20)
+        single = cell.where("component is null").select("token", "g", one.alias("info"))
+        several = cell.where("component is not null").select("token", "g", F.lit(-1).cast("long").alias("info")).distinct()
+        matrix = single.unionByName(several).repartition(width, "token")
+        shared = matrix.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("token")
+        matrix = common.materialize(matrix.join(shared.hint("shuffle_hash"), "token", "left_semi"), "matrix")
+
         x, y = matrix.alias("x"), matrix.alias("y")
-        fits = (100 * F.col("x.high") >= self.percent * F.col("y.low")) & (100 * F.col("y.high") >= self.percent * F.col("x.low"))
-        near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & fits).select(F.col("x.g").alias("g"), F.col("y.g").alias("h"))
-        near = common.materialize(near.distinct(), "near")
-
-        members = groups.withColumn("g", F.xxhash64("group"))
-        sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-        touched = near.select(F.explode(F.array("g", "h")).alias("g")).distinct()
-        members = common.materialize(members.join(touched, "g", "left_semi").select("class", "g"), "members")
-        sized = near.join(sizes, "g").join(sizes.select(F.col("g").alias("h"), F.col("m").alias("mh")), "h")
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g"))).select(F.col("x.g").alias("g"), F.col("y.g").alias("h"), F.col("x.info").alias("i"), F.col("y.info").alias("j"))
+        near = met.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+        # bound for single sets: up to the last shared prefix token, and up to the shorter prefix's end, what isn't shared differs
+        n, m = F.shiftright("i", 20), F.shiftright("j", 20)
+        at = lambda info: F.col(info).bitwiseAND(F.lit((1 << 20) - 1)) + 1
+        length = lambda k: k - F.ceil(t * k / 100) + 1
+        differ = F.least(length(n) + at("j"), at("i") + length(m)) - 2 * F.col("c")
+        alone = (F.col("i") >= 0) & (F.col("j") >= 0)
+        fits = (100 * n >= t * m) & (100 * m >= t * n) & ((100 + t) * differ <= (100 - t) * (n + m))
+        near = common.materialize(near.where(~alone | fits).select("g", "h", alone.alias("alone")), "near")
+
+        named = members.select("class", "g", "n")
+        names = common.materialize(named.join(near.select(F.explode(F.array("g", "h")).alias("g")).distinct(), "g", "left_semi"), "members")
+        pairs = near.where("alone").join(names.select("g", F.col("class").alias("a")), "g").join(names.select(F.col("g").alias("h"), F.col("class").alias("b")), "h").select("a", "b")
+        links = self._verified(pairs).unionByName(self._opened(near.where("not alone"), names))
+        inner = self.parts.where(F.col("class") != F.col("component")).select(F.col("class").alias("a"), F.col("component").alias("b"))
+        return connected_components(common.materialize(links, "cross").unionByName(inner), "a", "b").select(F.col("node").alias("class"), F.col("component").alias("root"))
+
+    def _opened(self, near: DataFrame, names: DataFrame) -> DataFrame:
+        """Links between groups of which one at least has several sets: the smaller's members against the larger's blocks."""
+        held = names.join(near.select(F.explode(F.array("g", "h")).alias("g")).distinct(), "g", "left_semi")
+        sizes = common.materialize(held.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("low"), F.max("n").alias("high")), "sizes")
+        other = sizes.select(F.col("g").alias("h"), F.col("m").alias("mh"), F.col("low").alias("lowh"), F.col("high").alias("highh"))
+        sized = near.join(sizes, "g").join(other, "h").where((100 * F.col("high") >= self.percent * F.col("lowh")) & (100 * F.col("highh") >= self.percent * F.col("low")))
         swap = F.col("m") > F.col("mh")
         opened = sized.select(F.when(swap, F.col("h")).otherwise(F.col("g")).alias("q"), F.when(swap, F.col("g")).otherwise(F.col("h")).alias("g"), F.greatest("m", "mh").alias("m"))
-
-        tokens = self._with_tokens(members.select("class").distinct())
+        opened = common.materialize(opened, "opened")
+        touched = opened.select(F.explode(F.array("q", "g")).alias("g")).distinct()
+        tokens = self._with_tokens(held.join(touched, "g", "left_semi").select("class").distinct())
         blocks = F.ceil(F.col("m") / BLOCK)
-        targets = members.join(opened.select("g", "m").distinct(), "g").withColumn("block", F.pmod(F.xxhash64("class"), blocks)).join(tokens, "class").select("g", "block", "class", "tokens")
-        queries = opened.join(members.select(F.col("g").alias("q"), "class"), "q").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(tokens, "class").select(F.col("g").alias("to"), F.col("block").alias("part"), F.col("class").alias("name"), F.col("tokens").alias("own"))
-        links = targets.groupBy("g", "block").cogroup(queries.groupBy("to", "part")).applyInArrow(_open(self.percent), "a binary, b binary")
-        inner = groups.where(F.col("class") != F.col("group")).select(F.col("class").alias("a"), F.col("group").alias("b"))
-        self.links = common.materialize(links, "cross")
-        return connected_components(self.links.unionByName(inner), "a", "b").select(F.col("node").alias("class"), F.col("component").alias("root"))
+        targets = held.select("class", "g").join(opened.select("g", "m").distinct(), "g").withColumn("block", F.pmod(F.xxhash64("class"), blocks)).join(tokens, "class").select("g", "block", "class", "tokens")
+        queries = opened.join(held.select(F.col("g").alias("q"), "class"), "q").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(tokens, "class")
+        queries = queries.select(F.col("g").alias("to"), F.col("block").alias("part"), F.col("class").alias("name"), F.col("tokens").alias("own"))
+        return targets.groupBy("g", "block").cogroup(queries.groupBy("to", "part")).applyInArrow(_open(self.percent), "a binary, b binary")
 
     def documents(self) -> DataFrame:
         """id, n, component (the least id of the component) of every row."""
