@@ -178,6 +178,7 @@ def _sorted_unique(own, ids, dist):
 
 def _build(degree: int, beam: int, relax: float):
     def run(key, table):
+        common.claim_worker("neighbours")
         import numpy as np
         import pyarrow as pa
 
@@ -201,6 +202,7 @@ def _build(degree: int, beam: int, relax: float):
 
 def _search(k: int, beam: int):
     def run(key, shard, queries):
+        common.claim_worker("neighbours")
         import numpy as np
         import pyarrow as pa
 

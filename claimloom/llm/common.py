@@ -70,10 +70,26 @@ def picked(df: DataFrame, *names: str) -> DataFrame:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as this Python worker, across its tasks."""
+    """A dict that lives in this Python worker until another operator claims it."""
     return sys.__dict__.setdefault("_claimloom_worker", {}).setdefault(name, {})
 
 
+def claim_worker(owner: str) -> None:
+    """Free what other operators have left in this reused Python worker."""
+    held = sys.__dict__.setdefault("_claimloom_worker", {})
+    if held.get("owner") != owner:
+        held.clear()
+        held["owner"] = owner
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library keeps its own counsel
+            pass
+
+
 def buckets_for(rows: int, per_bucket: int = 50_000, least: int = 16) -> int:
     """Number of hash buckets of about per_bucket rows."""
     return max(least, -(-rows // per_bucket))

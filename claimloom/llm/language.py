@@ -255,6 +255,7 @@ def _teach(path: str):
     """Batches of (lang, text) -> expected uses (lang, piece, uses) of this task."""
 
     def run(batches):
+        common.claim_worker("language")
         from collections import Counter
 
         import pyarrow as pa
@@ -285,6 +286,7 @@ def _predict(path: str, langs: list[str], table):
     model = uuid.uuid4().hex
 
     def run(batches):
+        common.claim_worker("language")
         import numpy as np
         import pyarrow as pa
 

@@ -80,6 +80,7 @@ def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
 
 def _sequences(gram_words: int, run_words: int):
     def run(batches):
+        common.claim_worker("lines")
         import pyarrow as pa
 
         for batch in batches:

@@ -117,6 +117,7 @@ def _sign(n: int, percent: int):
     """Texts -> size, class, band keys and first tokens by hash of their sets."""
 
     def run(batches):
+        common.claim_worker("shingles")
         import hashlib
 
         import numpy as np
@@ -148,6 +149,7 @@ def _count_prefixes(percent: int):
     """
 
     def run(batches):
+        common.claim_worker("shingles")
         import numpy as np
         import pyarrow as pa
 
@@ -180,6 +182,7 @@ def _prefixes(percent: int, late):
     """(class, n, bands, head) -> (class, n, bands, prefix, short)."""
 
     def run(batches):
+        common.claim_worker("shingles")
         import pyarrow as pa
 
         last = late.value
@@ -194,6 +197,7 @@ def _whole_prefixes(percent: int, late):
     """(class, tokens) -> (class, n, prefix)."""
 
     def run(batches):
+        common.claim_worker("shingles")
         import pyarrow as pa
 
         last = late.value
@@ -208,6 +212,7 @@ def _open(percent: int):
     """One block of a group and the queries against it -> verified links."""
 
     def run(key, members, queries):
+        common.claim_worker("shingles")
         import numpy as np
         import pyarrow as pa
 
@@ -294,6 +299,7 @@ class Join:
         n = self.n
 
         def made(batches):
+            common.claim_worker("shingles")
             import hashlib
 
             import pyarrow as pa

@@ -136,6 +136,7 @@ def _cut(path: str, separator: int, capacity: int):
     end = separator.to_bytes(4, "little")
 
     def run(batches):
+        common.claim_worker("packing")
         import pyarrow as pa
 
         encoder = ChunkEncoder(path)
@@ -320,6 +321,7 @@ def _place_large(plan):
     ranges, places = plan
 
     def run(batches):
+        common.claim_worker("packing")
         import numpy as np
         import pyarrow as pa
 
@@ -347,6 +349,7 @@ def _place_small(placed):
     """length, rank -> original room and sequence number among those of that room; the plan is {length: arrays}."""
 
     def run(batches):
+        common.claim_worker("packing")
         import numpy as np
         import pyarrow as pa
 

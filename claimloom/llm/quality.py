@@ -55,6 +55,7 @@ def _count(batches):
     import numpy as np
     import pyarrow as pa
 
+    common.claim_worker("quality")
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
@@ -70,6 +71,7 @@ def _count(batches):
 
 def _weigh(ratio, text_col: str):
     def run(batches):
+        common.claim_worker("quality")
         import numpy as np
         import pyarrow as pa
 

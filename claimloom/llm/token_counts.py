@@ -104,6 +104,7 @@ class ChunkCounter:
 
 def _counts(path: str):
     def run(batches):
+        common.claim_worker("token counts")
         import pyarrow as pa
 
         counter = ChunkCounter(path)
