@@ -1 +1,11 @@
-"""Claim-graph analytics as Spark DataFrame plans."""
+"""Claim-graph analytics as Spark DataFrame plans.
+
+Python functions that run on executors are shipped by value, so executors need
+no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
