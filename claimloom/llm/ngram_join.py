@@ -31,7 +31,7 @@ part, but name no component; texts are read whole; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,7 +39,7 @@ from .components import connected_components
 
 #: Min-hash keys of a set, and tokens in a key.
 BANDS, BAND_TOKENS = 5, 2
-#: Tokens in more prefixes than this are ordered last; at most HOT_MOST of them, 8 bytes each, are broadcast.
+#: Tokens in more heads than this are ordered last; at most HOT_MOST of them, 8 bytes each, are broadcast.
 HOT_COUNT, HOT_MOST = 32, 1 << 20
 #: Members of a block that one task opens at a time.
 BLOCK = 512
@@ -142,40 +142,41 @@ def _sign(n: int, percent: int):
     return run
 
 
-def _count_prefixes(percent: int):
-    """(n, head) -> prefix tokens by hash order, counted within batches.
+def _count_tokens(batches):
+    """Lists of tokens -> tokens, counted within batches.
 
     A row is one number: the token without its low 8 bits, and its count.
     """
+    common.claim_worker("shingles")
+    import numpy as np
+    import pyarrow as pa
 
-    def run(batches):
-        common.claim_worker("shingles")
-        import numpy as np
-        import pyarrow as pa
-
-        low = np.uint64(255)
-        for batch in batches:
-            got = [h[: prefix_length(k, percent)] for k, h in zip(batch.column("n").to_pylist(), _arrays(batch.column("head"))) if k]
-            if got:
-                token, count = np.unique(np.concatenate(got) | low, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(((token ^ low) | np.minimum(count, 255).astype(np.uint64)).view(np.int64))], ["packed"])
-
-    return run
+    low = np.uint64(255)
+    for batch in batches:
+        flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        if len(flat):
+            token, count = np.unique(flat | low, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(((token ^ low) | np.minimum(count, 255).astype(np.uint64)).view(np.int64))], ["packed"])
 
 
 def ordered_prefix(tokens, n: int, percent: int, late):
-    """(prefix, whether tokens were enough) of a set of n, of which the first by hash are given; ``late`` tokens go last."""
+    """(prefix, whether tokens were enough) of a set of n, of which the first by hash are given.
+
+    The order of all tokens is that of a number: whether the token is put last
+    in its highest bit, its hash below.  Prefixes hold these numbers, sorted.
+    """
     import numpy as np
 
     p = prefix_length(n, percent)
+    keys = tokens >> np.uint64(1)
     if not len(late):
-        return tokens[:p], True
+        return keys[:p], True
     masked = tokens | np.uint64(255)
     put_last = late[np.minimum(np.searchsorted(late, masked), len(late) - 1)] == masked
-    first = tokens[~put_last][:p]
+    first = keys[~put_last][:p]
     if len(first) == p:
         return first, True
-    return np.concatenate([first, tokens[put_last][: p - len(first)]]), len(tokens) == n
+    return np.concatenate([first, keys[put_last][: p - len(first)] | np.uint64(1 << 63)]), len(tokens) == n
 
 
 def _prefixes(percent: int, late):
@@ -188,7 +189,10 @@ def _prefixes(percent: int, late):
         last = late.value
         for batch in batches:
             got = [ordered_prefix(h, k, percent, last) for k, h in zip(batch.column("n").to_pylist(), _arrays(batch.column("head")))]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("n"), batch.column("bands"), _lists([g[0] for g in got]), pa.array([not g[1] for g in got], pa.bool_())], ["class", "n", "bands", "prefix", "short"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class"), batch.column("n"), batch.column("bands"), _lists([g[0] for g in got]), pa.array([not g[1] for g in got], pa.bool_())],
+                ["class", "n", "bands", "prefix", "short"],
+            )
 
     return run
 
@@ -208,8 +212,92 @@ def _whole_prefixes(percent: int, late):
     return run
 
 
+class Block:
+    """Members of a group with an index from token to members; the tokens are the group's union."""
+
+    def __init__(self, table, column: str):
+        import numpy as np
+
+        self.sets = _arrays(table.column(column).combine_chunks())
+        sizes = np.array(list(map(len, self.sets)), np.int64)
+        flat, of = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        self.union, self.first = np.unique(flat[order], return_index=True)
+        self.of, self.last = of[order], np.append(self.first[1:], len(flat))
+
+    def shared(self, own):
+        """How many of own's tokens are in the union, and in each member."""
+        import numpy as np
+
+        at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
+        at = at[self.union[at] == own]
+        if not len(at):
+            return 0, np.zeros(len(self.sets), np.int64)
+        return len(at), np.bincount(np.concatenate([self.of[self.first[k] : self.last[k]] for k in at]), minlength=len(self.sets))
+
+
+def _bound(percent: int):
+    """A block and queries, by their prefixes -> the queries (and members) that may link."""
+
+    def run(key, members, queries):
+        common.claim_worker("shingles")
+        import numpy as np
+        import pyarrow as pa
+
+        names, found = [], set()
+        if members.num_rows and queries.num_rows:
+            block, sizes = Block(members, "prefix"), members.column("n").to_numpy()
+            who = members.column("class").to_pylist()
+            ends = np.array([x[-1] for x in block.sets], np.uint64)
+            for name, n, own in zip(queries.column("name").to_pylist(), queries.column("size").to_pylist(), _arrays(queries.column("own").combine_chunks())):
+                _, shared = block.shared(own)
+                open_ = np.flatnonzero((shared > 0) & (100 * sizes >= percent * n) & (100 * n >= percent * sizes))
+                kept = []
+                for k in open_:
+                    # all tokens up to the end of the prefix that ends first are known, so those not shared differ
+                    end = min(own[-1], ends[k])
+                    differ = int(np.searchsorted(own, end, "right") + np.searchsorted(block.sets[k], end, "right")) - 2 * int(shared[k])
+                    if (100 + percent) * differ <= (100 - percent) * (n + int(sizes[k])):
+                        kept.append(who[k])
+                if kept:
+                    names.append(name)
+                    found.update(kept)
+        rows = [(n, True) for n in set(names)] + [(n, False) for n in found]
+        k = len(rows)
+        first = lambda c: pa.array([key[c].as_py()] * k, pa.int64())
+        return pa.table({"g": first(0), "block": first(1), "class": pa.array([r[0] for r in rows], pa.binary()), "asks": pa.array([r[1] for r in rows], pa.bool_())})
+
+    return run
+
+
+def _pair_bound(percent: int):
+    """Pairs of sets with their prefixes -> the pairs that may link."""
+
+    def run(batches):
+        common.claim_worker("shingles")
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            sets = zip(_arrays(batch.column("pa")), _arrays(batch.column("pb")), batch.column("na").to_pylist(), batch.column("nb").to_pylist())
+            for k, (x, y, n, m) in enumerate(sets):
+                end = min(x[-1], y[-1])
+                x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
+                differ = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+                if (100 + percent) * differ <= (100 - percent) * (n + m):
+                    keep.append(k)
+            keep = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+
+    return run
+
+
 def _open(percent: int):
-    """One block of a group and the queries against it -> verified links."""
+    """A block and queries, by their whole sets -> one verified link of each query that has any.
+
+    Members of a group are connected, so one link of a query to it is enough.
+    """
 
     def run(key, members, queries):
         common.claim_worker("shingles")
@@ -218,28 +306,53 @@ def _open(percent: int):
 
         a, b = [], []
         if members.num_rows and queries.num_rows:
-            sets = [np.array(x, np.int64) for x in members.column("tokens").to_pylist()]
-            names, sizes = members.column("class").to_pylist(), np.array([len(s) for s in sets])
-            flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, of = flat[order], of[order]
-            union, first = np.unique(flat, return_index=True)
-            last = np.append(first[1:], len(flat))
-            seen = set()
-            for name, own in zip(queries.column("name").to_pylist(), queries.column("own").to_pylist()):
-                if name in seen:
+            block = Block(members, "tokens")
+            who, sizes = members.column("class").to_pylist(), np.array(list(map(len, block.sets)))
+            for name, own in zip(queries.column("name").to_pylist(), _arrays(queries.column("own").combine_chunks())):
+                bound, shared = block.shared(own)
+                if 100 * bound < percent * max(len(own), int(sizes.min())):
+                    continue  # the union itself shares too little
+                hit = np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared))
+                if len(hit):
+                    a.append(name)
+                    b.append(who[hit[0]])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _paired(percent: int):
+    """Two blocks of a coarse group, by their whole sets -> links that connect what links connect.
+
+    Links that close a circle aren't given, so there are fewer than sets.
+    """
+
+    def run(key, left, right):
+        common.claim_worker("shingles")
+        import numpy as np
+        import pyarrow as pa
+
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            block = Block(right, "tokens")
+            who, sizes = right.column("class").to_pylist(), np.array(list(map(len, block.sets)))
+            root: dict = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for name, own in zip(left.column("name").to_pylist(), _arrays(left.column("own").combine_chunks())):
+                bound, shared = block.shared(own)
+                if 100 * bound < percent * max(len(own), int(sizes.min())):
                     continue
-                seen.add(name)
-                own = np.array(own, np.int64)
-                at = np.minimum(np.searchsorted(union, own), len(union) - 1)
-                at = at[union[at] == own]
-                if 100 * len(at) < percent * max(len(own), int(sizes.min())):
-                    continue  # the bound: no member can share enough
-                shared = np.bincount(np.concatenate([of[first[k] : last[k]] for k in at]), minlength=len(sets))
                 for k in np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared)):
-                    if names[k] != name:
+                    x, y = find(name), find(who[k])
+                    if x != y:
+                        root[x] = y
                         a.append(name)
-                        b.append(names[k])
+                        b.append(who[k])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
@@ -256,22 +369,58 @@ class Join:
         spark, self.n, self.percent = docs.sparkSession, n, percent
         self.rows = rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
         kind = rows.schema["id"].dataType.simpleString()
-        self.signed = common.materialize(rows.mapInArrow(_sign(n, percent), f"id {kind}, n long, class binary, bands array<long>, head array<long>"), "signed")
-        self.late = spark.sparkContext.broadcast(self._late())
-        own = self.signed.where("n > 0").select("class", "n", "bands", "head").mapInArrow(_prefixes(percent, self.late), "class binary, n long, bands array<long>, prefix array<long>, short boolean")
-        self.sets = common.materialize(own.groupBy("class").agg(F.first(F.struct("n", "bands", "prefix", "short")).alias("s")).select("class", "s.*"), "sets")
-        self.parts = self._groups()
-        self.components = self._across()
-
-    def _late(self):
-        """Tokens (their low 8 bits set) in more than HOT_COUNT prefixes, sorted; the most frequent HOT_MOST of them at most.
-
-        Any choice gives the same links; this one keeps frequent tokens out of
-        prefixes.
+        path = common.scratch(spark, "heads")
+        rows.mapInArrow(_sign(n, percent), kind := f"id {kind}, n long, class binary, bands array<long>, head array<long>").write.parquet(path)
+        heads = spark.read.schema(kind).parquet(path)
+        self.signed = common.materialize(heads.select("id", "n", "class"), "signed")
+        own = heads.where("n > 0").select("class", "n", "bands", "head")
+        made = "class binary, n long, bands array<long>, prefix array<long>, short boolean"
+        self.late = self._put_last(own, made)
+        own = own.mapInArrow(_prefixes(percent, self.late), made)
+        sets = own.groupBy("class").agg(F.first(F.struct("n", "bands", "prefix", "short")).alias("s")).select("class", "s.*")
+        self.sets = common.materialize(sets, "sets")
+        del own, heads, sets
+        common.remove(spark, path)
+        common.tidy(spark)
+        missing = self.sets.where("short").select("class")
+        whole = "class binary, n long, prefix array<long>"
+        prefixes = self.sets.where("not short").select("class", "n", "prefix")
+        if missing.limit(1).count():
+            prefixes = prefixes.unionByName(self._with_tokens(missing).mapInArrow(_whole_prefixes(percent, self.late), whole))
+        #: dense: the prefix reaches into the tokens that are put last (their numbers are negative)
+        self.prefixes = common.materialize(prefixes.withColumn("dense", F.element_at("prefix", -1) < 0), "prefixes")
+        self.components = self._across(self._groups(), self._dense())
+
+    def _put_last(self, own: DataFrame, made: str):
+        """Broadcast of the tokens (their low 8 bits set) that the order puts last, sorted: HOT_MOST at most.
+
+        They are those in more than HOT_COUNT stored heads; and, as sets that
+        are left with too short a head must look further, those in more than
+        HOT_COUNT of such sets.  Any choice gives the same links; this one
+        keeps frequent tokens out of prefixes.
         """
         import numpy as np
 
-        packed = self.signed.where("n > 0").select("n", "head").mapInArrow(_count_prefixes(self.percent), "packed long")
+        spark = own.sparkSession
+        found = self._frequent(own.select("head"), HOT_MOST)
+        common.tidy(spark)
+        for _ in range(3):
+            held = spark.sparkContext.broadcast(found)
+            short = own.mapInArrow(_prefixes(self.percent, held), made).where("short").select("class").distinct()
+            short = common.materialize(short, "short")
+            if not short.limit(1).count():
+                break
+            more = np.setdiff1d(self._frequent(self._with_tokens(short).select("tokens"), HOT_MOST), found)[: HOT_MOST - len(found)]
+            if not len(more):
+                break
+            found = np.union1d(found, more)
+        return spark.sparkContext.broadcast(found)
+
+    def _frequent(self, lists: DataFrame, most: int):
+        """Tokens in more than HOT_COUNT of the lists, the most frequent ``most`` of them at most."""
+        import numpy as np
+
+        packed = lists.mapInArrow(_count_tokens, "packed long")
         token = F.col("packed").bitwiseOR(F.lit(255))
         counts = packed.groupBy(token.alias("token")).agg(F.sum(F.col("packed").bitwiseAND(F.lit(255))).alias("n")).where(F.col("n") > HOT_COUNT)
         counts = common.materialize(counts, "late")
@@ -279,7 +428,7 @@ class Join:
         by = {r["b"]: r["n"] for r in counts.groupBy(F.floor(F.log2("n") * 4).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
         for b in sorted(by, reverse=True):
             total += by[b]
-            if total > HOT_MOST:
+            if total > most:
                 least = 2 ** ((b + 1) / 4)
                 break
         tokens = counts.where(F.col("n") >= least).select("token").toArrow().column("token").to_numpy()
@@ -321,50 +470,90 @@ class Join:
         return both.where(100 * F.col("shared") >= self.percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
     def _groups(self) -> DataFrame:
-        """(class, component) of sets in a group of several, connected by verified links to bucket minima."""
-        keys = self.sets.select("class", "n", F.posexplode("bands").alias("band", "key"))
+        """(class, component) of sets in a group of several, connected by verified links to the first of their buckets.
+
+        Dense sets, of which buckets may be large, have groups of their own.
+        """
+        some = self.sets.join(self.prefixes.where("not dense").select("class"), "class", "left_semi")
+        keys = some.select("class", "n", F.posexplode("bands").alias("band", "key"))
         least = keys.groupBy("band", "key").agg(F.min(F.struct("class", "n")).alias("first"), F.max("class").alias("last")).where(F.col("first.class") < F.col("last"))
         pairs = keys.join(least, ["band", "key"]).where(F.col("class") > F.col("first.class"))
         pairs = pairs.where((100 * F.col("n") >= self.percent * F.col("first.n")) & (100 * F.col("first.n") >= self.percent * F.col("n")))
         links = self._verified(pairs.select(F.col("first.class").alias("a"), F.col("class").alias("b")).distinct())
-        return common.materialize(connected_components(common.materialize(links, "links"), "a", "b").withColumnRenamed("node", "class"), "parts")
+        found = common.materialize(connected_components(common.materialize(links, "links"), "a", "b").withColumnRenamed("node", "class"), "parts")
+        common.tidy(self.signed.sparkSession)
+        return found
+
+    def _dense(self) -> DataFrame:
+        """Links between dense sets that share a token put last, so far as they connect.
 
-    def _across(self) -> DataFrame:
+        Sets and such tokens form coarse groups: connected components, so any
+        two sets with such a token in both prefixes are in one.  Their members,
+        by size, form blocks of BLOCK sets, and pairs of blocks whose sizes
+        allow a link are compared in one task each.
+        """
         spark, t = self.signed.sparkSession, self.percent
-        parts = F.broadcast(self.parts) if self.parts.count() <= BROADCAST_IDS else self.parts
-        members = self.sets.select("class", "n", "prefix").where("not short")
-        missing = self.sets.where("short").select("class")
-        if missing.limit(1).count():
-            members = members.unionByName(self._with_tokens(missing).mapInArrow(_whole_prefixes(t, self.late), "class binary, n long, prefix array<long>"))
-        members = members.join(parts, "class", "left").withColumn("g", F.xxhash64(F.coalesce("component", "class")))
+        dense = self.prefixes.where("dense").select("class", "n", "prefix")
+        node = F.xxhash64("class").bitwiseAND(F.lit((1 << 63) - 1))  # tokens put last are negative
+        dense = common.materialize(dense.select("class", "n", node.alias("node"), F.filter("prefix", lambda x: x < 0).alias("tokens")), "dense")
+        edges = dense.select("node", F.explode("tokens").alias("token"))
+        coarse = connected_components(edges, "node", "token").where("node >= 0")
+        members = dense.select("class", "n", "node").join(coarse, "node").select("class", "n", "component")
+        members = common.materialize(members, "coarse")
+        sizes = members.groupBy("component", "n").agg(F.count(F.lit(1)).alias("m"))
+        # members stand by size; those of one size are spread over its blocks by a hash
+        before = Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("first", F.coalesce(F.sum("m").over(before), F.lit(0)))
+        placed = members.join(sizes, ["component", "n"]).withColumn("block", F.floor((F.col("first") + F.pmod(F.xxhash64("class"), F.col("m"))) / BLOCK))
+        placed = common.materialize(placed.select("class", "n", "component", "block"), "placed")
+        blocks = placed.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        x, y = blocks.alias("x"), blocks.alias("y")
+        near = (F.col("x.component") == F.col("y.component")) & (F.col("x.block") <= F.col("y.block")) & (100 * F.col("x.high") >= t * F.col("y.low"))
+        pairs = common.materialize(x.join(y, near).select(F.col("x.component").alias("component"), F.col("x.block").alias("i"), F.col("y.block").alias("j")), "block-pairs")
+        tokens = self._with_tokens(dense.select("class"))
+        whole = placed.join(tokens, "class").select("class", "component", "block", "tokens")
+        left = pairs.join(whole, (pairs["component"] == whole["component"]) & (pairs["i"] == whole["block"])).select(pairs["component"].alias("c"), "i", "j", F.col("class").alias("name"), F.col("tokens").alias("own"))
+        right = pairs.alias("p").join(whole.alias("w"), (F.col("p.component") == F.col("w.component")) & (F.col("p.j") == F.col("w.block"))).select(F.col("p.component").alias("d"), F.col("p.i").alias("k"), F.col("p.j").alias("l"), "class", "tokens")
+        links = left.groupBy("c", "i", "j").cogroup(right.groupBy("d", "k", "l")).applyInArrow(_paired(t), "a binary, b binary")
+        links = common.materialize(links, "dense-links")
+        common.tidy(spark)
+        return links
+
+    def _across(self, found: DataFrame, dense: DataFrame) -> DataFrame:
+        """(class, root) of classes with a link; found: groups, dense: links between dense sets."""
+        spark, t = self.signed.sparkSession, self.percent
+        parts = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+        members = self.prefixes.join(parts, "class", "left").withColumn("g", F.xxhash64(F.coalesce("component", "class")))
 
         # the matrix: a row per token and group, with the token's place in the prefix and the size of single sets
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        cell = members.select("g", "component", "n", F.posexplode("prefix").alias("place", "token"))
+        cell = members.select("g", "component", "n", F.posexplode("prefix").alias("place", "token")).where("token >= 0")
         one = F.least(F.col("place"), F.lit((1 << 20) - 1)).cast("long") + F.col("n") * (1 << 20)
         single = cell.where("component is null").select("token", "g", one.alias("info"))
         several = cell.where("component is not null").select("token", "g", F.lit(-1).cast("long").alias("info")).distinct()
         matrix = single.unionByName(several).repartition(width, "token")
         shared = matrix.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("token")
         matrix = common.materialize(matrix.join(shared.hint("shuffle_hash"), "token", "left_semi"), "matrix")
+        common.tidy(spark)
 
         x, y = matrix.alias("x"), matrix.alias("y")
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g"))).select(F.col("x.g").alias("g"), F.col("y.g").alias("h"), F.col("x.info").alias("i"), F.col("y.info").alias("j"))
         near = met.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
-        # bound for single sets: up to the last shared prefix token, and up to the shorter prefix's end, what isn't shared differs
+        # bound for single sets: up to the last shared token, and up to the end of the prefix that ends first, what isn't
+        # shared differs (places among tokens that aren't put last; prefixes may go on with those that are)
         n, m = F.shiftright("i", 20), F.shiftright("j", 20)
         at = lambda info: F.col(info).bitwiseAND(F.lit((1 << 20) - 1)) + 1
-        length = lambda k: k - F.ceil(t * k / 100) + 1
-        differ = F.least(length(n) + at("j"), at("i") + length(m)) - 2 * F.col("c")
+        differ = at("i") + at("j") - 2 * F.col("c")
         alone = (F.col("i") >= 0) & (F.col("j") >= 0)
         fits = (100 * n >= t * m) & (100 * m >= t * n) & ((100 + t) * differ <= (100 - t) * (n + m))
         near = common.materialize(near.where(~alone | fits).select("g", "h", alone.alias("alone")), "near")
 
-        named = members.select("class", "g", "n")
+        named = members.select("class", "g", "n", "prefix")
         names = common.materialize(named.join(near.select(F.explode(F.array("g", "h")).alias("g")).distinct(), "g", "left_semi"), "members")
-        pairs = near.where("alone").join(names.select("g", F.col("class").alias("a")), "g").join(names.select(F.col("g").alias("h"), F.col("class").alias("b")), "h").select("a", "b")
-        links = self._verified(pairs).unionByName(self._opened(near.where("not alone"), names))
-        inner = self.parts.where(F.col("class") != F.col("component")).select(F.col("class").alias("a"), F.col("component").alias("b"))
+        a, b = names.select("g", F.col("class").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), names.select(F.col("g").alias("h"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+        pairs = near.where("alone").join(a, "g").join(b, "h").mapInArrow(_pair_bound(t), "a binary, b binary")
+        links = self._verified(pairs).unionByName(self._opened(near.where("not alone"), names)).unionByName(dense)
+        inner = found.where(F.col("class") != F.col("component")).select(F.col("class").alias("a"), F.col("component").alias("b"))
         return connected_components(common.materialize(links, "cross").unionByName(inner), "a", "b").select(F.col("node").alias("class"), F.col("component").alias("root"))
 
     def _opened(self, near: DataFrame, names: DataFrame) -> DataFrame:
@@ -377,12 +566,17 @@ class Join:
         opened = sized.select(F.when(swap, F.col("h")).otherwise(F.col("g")).alias("q"), F.when(swap, F.col("g")).otherwise(F.col("h")).alias("g"), F.greatest("m", "mh").alias("m"))
         opened = common.materialize(opened, "opened")
         touched = opened.select(F.explode(F.array("q", "g")).alias("g")).distinct()
-        tokens = self._with_tokens(held.join(touched, "g", "left_semi").select("class").distinct())
         blocks = F.ceil(F.col("m") / BLOCK)
-        targets = held.select("class", "g").join(opened.select("g", "m").distinct(), "g").withColumn("block", F.pmod(F.xxhash64("class"), blocks)).join(tokens, "class").select("g", "block", "class", "tokens")
-        queries = opened.join(held.select(F.col("g").alias("q"), "class"), "q").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(tokens, "class")
-        queries = queries.select(F.col("g").alias("to"), F.col("block").alias("part"), F.col("class").alias("name"), F.col("tokens").alias("own"))
-        return targets.groupBy("g", "block").cogroup(queries.groupBy("to", "part")).applyInArrow(_open(self.percent), "a binary, b binary")
+        targets = held.join(opened.select("g", "m").distinct(), "g").withColumn("block", F.pmod(F.xxhash64("class"), blocks)).select("g", "block", "class", "n", "prefix")
+        queries = opened.join(held.withColumnRenamed("g", "q"), "q").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        queries = queries.select(F.col("g").alias("to"), F.col("block").alias("part"), F.col("class").alias("name"), F.col("n").alias("size"), F.col("prefix").alias("own"))
+        may = targets.groupBy("g", "block").cogroup(queries.groupBy("to", "part")).applyInArrow(_bound(self.percent), "g long, block long, class binary, asks boolean")
+        may = common.materialize(may, "may")
+        common.tidy(self.signed.sparkSession)
+        tokens = self._with_tokens(may.select("class").distinct())
+        whole = may.join(tokens, "class")
+        asked = whole.where("asks").select(F.col("g").alias("to"), F.col("block").alias("part"), F.col("class").alias("name"), F.col("tokens").alias("own"))
+        return whole.where("not asks").select("g", "block", "class", "tokens").groupBy("g", "block").cogroup(asked.groupBy("to", "part")).applyInArrow(_open(self.percent), "a binary, b binary")
 
     def documents(self) -> DataFrame:
         """id, n, component (the least id of the component) of every row."""
