@@ -43,10 +43,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs only the tasks that ran on it.
     """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(df.sparkSession, name)
+    write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that go to a Python worker at once while a table is written.
+BATCH_ROWS = 1000
+
+
+def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write a table, in Arrow batches that stay small where texts are long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.mode(mode).parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 def tidy(spark: SparkSession) -> None:
@@ -83,19 +97,28 @@ def worker_cache(name: str) -> dict:
 
 
 def claim_worker(owner: str) -> None:
-    """Free what other operators have left in this reused Python worker."""
+    """Free what other operators, and tasks before, have left in this reused Python worker."""
     held = sys.__dict__.setdefault("_claimloom_worker", {})
     if held.get("owner") != owner:
         held.clear()
         held["owner"] = owner
-        import ctypes
         import gc
 
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except OSError:  # another C library keeps its own counsel
-            pass
+    trim()
+
+
+def trim() -> None:
+    """Give memory that allocators hold back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library keeps its own counsel
+        pass
 
 
 def buckets_for(rows: int, per_bucket: int = 50_000, least: int = 16) -> int:

@@ -370,7 +370,7 @@ class Join:
         self.rows = rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
         kind = rows.schema["id"].dataType.simpleString()
         path = common.scratch(spark, "heads")
-        rows.mapInArrow(_sign(n, percent), kind := f"id {kind}, n long, class binary, bands array<long>, head array<long>").write.parquet(path)
+        common.write(rows.mapInArrow(_sign(n, percent), kind := f"id {kind}, n long, class binary, bands array<long>, head array<long>"), path)
         heads = spark.read.schema(kind).parquet(path)
         self.signed = common.materialize(heads.select("id", "n", "class"), "signed")
         own = heads.where("n > 0").select("class", "n", "bands", "head")

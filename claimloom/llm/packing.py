@@ -34,7 +34,7 @@ from . import common
 from .token_counts import load_tokenizer
 
 #: Chunks that a Python worker keeps in each of two generations.
-_KEPT = 250_000
+_KEPT = 200_000
 
 
 class ChunkEncoder:
@@ -57,7 +57,7 @@ class ChunkEncoder:
             vocabulary = self.tok.get_vocab()
             ends = np.zeros(max(vocabulary.values()) + 1, bool)
             ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-            self.held |= {"ends": ends, "new": {}, "old": {}, "parts": {}, "lean": self._lean(path)}
+            self.held |= {"ends": ends, "new": {}, "old": {}, "lean": self._lean(path)}
         self.cut = re.compile(r"[ \t\n\r]").split
         # Latin letters, single digits, other ASCII but the apostrophe: the pre-tokenizer's own pieces
         self.parts = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall
@@ -96,7 +96,7 @@ class ChunkEncoder:
                 start = end
 
     def learn(self, chunks: list[str]) -> None:
-        new, old, held = self.held["new"], self.held["old"], self.held["parts"]
+        new, old = self.held["new"], self.held["old"]
         made, words = [], set()
         for c in chunks:
             ids = old.get(c)
@@ -106,17 +106,19 @@ class ChunkEncoder:
             low = c.lower()
             parts = self.parts(low)
             if sum(map(len, parts)) == len(low) == len(c) and "<|" not in c:
-                made.append((c, parts))
+                if len(parts) > 1 or low != c:
+                    made.append((c, parts))
                 words.update(parts)
             else:
                 new[c] = self.one(c)
-        words.difference_update(held)
-        self.plain([w for w in words if w[0].isalpha()], held)
-        held.update((w, self.one(w)) for w in words if not w[0].isalpha())
+        words.difference_update(new)
+        again = words.intersection(old)
+        new.update((w, old[w]) for w in again)
+        words -= again
+        self.plain([w for w in words if w[0].isalpha()], new)
+        new.update((w, self.one(w)) for w in words if not w[0].isalpha())
         for c, parts in made:
-            new[c] = held[parts[0]] if len(parts) == 1 else b"".join(map(held.__getitem__, parts))
-        if len(held) > 1.5 * _KEPT:
-            held.clear()
+            new[c] = new[parts[0]] if len(parts) == 1 else b"".join(map(new.__getitem__, parts))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [self.cut(t) for t in texts]

@@ -138,7 +138,7 @@ def count_tokens(
     distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(known(), "digest", "left_anti")
     counted = misses.mapInArrow(_counts(tokenizer_path), "digest binary, n_tokens long")
-    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+    common.write(counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens"), cache_path, "append")
     sized = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return sized.join(known(), "digest", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
