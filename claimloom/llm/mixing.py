@@ -89,7 +89,9 @@ class Mix:
         self.all_slots = all_slots = plan.agg(F.sum("slots")).first()[0] or 0
 
         # each source's slots among all slots, expanded in chunks, dealt to shards
-        chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))).repartition("source_id", "chunk")
+        # (rows are few before they are expanded, so their partitions are counted by slots rather than left to their size)
+        width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), all_slots // 200_000)
+        chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))).repartition(width, "source_id", "chunk")
         one = F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1))
         slots = chunks.withColumn("slot", one).select("source_id", (F.col("first") + F.col("slot")).alias("slot"))
         dealt = slots.select("source_id", F.floor(shuffled(F.col("slot"), F.lit(max(1, all_slots)).cast("long"), F.lit(seed)) / shard_slots).alias("shard"))
@@ -98,7 +100,7 @@ class Mix:
         #: Per output shard and source: slots drawn, and the source's slots in earlier shards.
         self.counts = counts.withColumn("from", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
 
-        numbered = self.counts.join(plan.select("source_id", "blocks"), "source_id").select("source_id", "shard", "blocks", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("nth"))
+        numbered = self.counts.join(plan.select("source_id", "blocks"), "source_id").repartition(width, "source_id", "shard").select("source_id", "shard", "blocks", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("nth"))
         turn = F.floor(F.col("nth") / F.col("blocks")).cast("long")
         block = shuffled(F.col("nth") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("source_id"), turn)
         #: One row per slot: its shard and the block that it takes.
