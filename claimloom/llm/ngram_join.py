@@ -588,3 +588,17 @@ class Join:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = Join(common.table(spark, sf_dir, "documents")).documents()
     return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+ORACLE = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (
+  select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s from d where len(w) > 0),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, m) as (select doc_id, doc_id from documents union select e.b, r.m from r join e on e.a = r.doc_id)
+select r.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(m) as component_id from r left join n on n.doc_id = r.doc_id group by r.doc_id
+"""

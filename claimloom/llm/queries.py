@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, url_filter
+from . import host_rules, ngram_join, url_filter
 from .ann import op10_nearest_neighbours
 from .host_rules import op7_host_rules
 from .language import op4_language
@@ -28,6 +28,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": ngram_join.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op7_host_rules": host_rules.ORACLE,
 }
