@@ -34,7 +34,7 @@ from . import common
 from .token_counts import load_tokenizer
 
 #: Chunks that a Python worker keeps in each of two generations.
-_KEPT = 200_000
+_KEPT = 400_000
 
 
 class ChunkEncoder:
