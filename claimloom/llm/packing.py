@@ -58,7 +58,6 @@ class ChunkEncoder:
             ends = np.zeros(max(vocabulary.values()) + 1, bool)
             ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
             self.held |= {"ends": ends, "new": {}, "old": {}, "lean": self._lean(path)}
-        self.cut = re.compile(r"[ \t\n\r]").split
         # Latin letters, single digits, other ASCII but the apostrophe: the pre-tokenizer's own pieces
         self.parts = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall
 
@@ -104,24 +103,25 @@ class ChunkEncoder:
                 new[c] = ids
                 continue
             low = c.lower()
-            parts = self.parts(low)
-            if sum(map(len, parts)) == len(low) == len(c) and "<|" not in c:
-                if len(parts) > 1 or low != c:
-                    made.append((c, parts))
-                words.update(parts)
-            else:
+            if c.isascii() and c[:-1].isalpha() and (c[-1].isalpha() or c[-1] in ".,"):  # most are a word, or one with a mark
+                parts = [low] if c[-1].isalpha() else [low[:-1], c[-1]]
+            elif "<|" in c or sum(map(len, parts := self.parts(low))) != len(low) or len(low) != len(c):
                 new[c] = self.one(c)
-        words.difference_update(new)
-        again = words.intersection(old)
-        new.update((w, old[w]) for w in again)
-        words -= again
+                continue
+            if len(parts) > 1 or low != c:
+                made.append((c, parts))
+            words.update(parts)
+        # (set operations with a dict would run over all of it)
+        words = [w for w in words if w not in new]
+        new.update((w, old[w]) for w in words if w in old)
+        words = [w for w in words if w not in new]
         self.plain([w for w in words if w[0].isalpha()], new)
         new.update((w, self.one(w)) for w in words if not w[0].isalpha())
         for c, parts in made:
             new[c] = new[parts[0]] if len(parts) == 1 else b"".join(map(new.__getitem__, parts))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [self.cut(t) for t in texts]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = self.held["new"]
         new[""] = b""
         self.learn(list(set().union(*split).difference(new)))
