@@ -259,14 +259,19 @@ recursive_ok as (with recursive ok(id) as (select id from a where support < 0 un
 select count(*) as n, max(id) as top from recursive_ok""",
     claims=False,
 )
-def visibility(spark, d):
+def visibility(spark, d, which="event_id < 2000"):
     """Each event requires the one seven before it; those of hidden events go with them."""
-    rows = star.table(spark, d, "events").where("event_id < 2000").select(F.col("event_id").alias("claim_id"), (F.col("event_id") - 7).alias("support_id"), "event_type")
+    rows = star.table(spark, d, "events").where(which).select(F.col("event_id").alias("claim_id"), (F.col("event_id") - 7).alias("support_id"), "event_type")
     held = rows.where("event_type <> 'error'")
     got = policy.visible_fixpoint(held.select("claim_id"), held.where("support_id >= 0").select("claim_id", "support_id"))
     return got.agg(F.count(F.lit(1)).alias("n"), F.max("claim_id").alias("top"))
 
 
+@query("visibility_fixpoint_whole", ORACLE_SQL["visibility_fixpoint"].replace(" where event_id < 2000", ""), claims=False)
+def visibility_whole(spark, d):
+    return visibility(spark, d, "true")
+
+
 # ---------------------------------------------------------------- walks
 
 

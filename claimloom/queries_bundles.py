@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.operators import bundles, ontology, walk
-from claimloom.queries import _walk, query, seeds_at
+from claimloom.queries import ORACLE_SQL, _walk, query, seeds_at
 from claimloom.sources import star
 
 
-def _bundles(spark, d):
+def _bundles(spark, d, which="l_orderkey < 2000"):
     """Orders of one customer as a bundle: order -> part and order -> supplier claims."""
-    lines = star.keyed_lineitem(spark, d).where("l_orderkey < 2000")
+    lines = star.keyed_lineitem(spark, d).where(which)
     both = None
     for predicate, col, p in (("contains", "l_partkey", "p:"), ("shipped_by", "l_suppkey", "s:")):
         got = lines.select(F.pmod("l_orderkey", F.lit(700)).alias("bundle"), F.concat(F.lit(predicate[0] + ":"), "k").alias("local_id"), F.concat(F.lit("o:"), "l_orderkey").alias("subject"), F.lit(predicate).alias("predicate"), F.lit("iri").alias("object_kind"), F.concat(F.lit(p), col).alias("object"), F.lit(None).cast("string").alias("datatype"))
@@ -33,13 +33,19 @@ def disconnected(spark, d):
     return bundles.disconnected(_bundles(spark, d))
 
 
+@query("bundle_disconnected_whole")
+def disconnected_whole(spark, d):
+    """Over all orders (the recursive SQL is too slow for that)."""
+    return bundles.disconnected(_bundles(spark, d, "true"))
+
+
 @query(
     "bundle_type_violations",
     """select l_orderkey % 700 as bundle, 's:' || k as local_id, 'range' as reason from lines where l_orderkey < 2000 and l_suppkey % 3 = 0""",
 )
-def violations(spark, d):
+def violations(spark, d, which="l_orderkey < 2000"):
     """Suppliers of every third key are typed as parts, and so are outside the range."""
-    claims = _bundles(spark, d)
+    claims = _bundles(spark, d, which)
     ends = claims.select("bundle", F.col("subject").alias("entity")).unionByName(claims.select("bundle", F.col("object").alias("entity"))).distinct()
     key = F.split_part("entity", F.lit(":"), F.lit(2)).cast("long")
     kind = F.when(F.startswith("entity", F.lit("o:")), "order").when(F.startswith("entity", F.lit("p:")) | (key % 3 == 0), "part").otherwise("supplier")
@@ -49,6 +55,11 @@ def violations(spark, d):
     return bundles.type_violations(claims, ends.withColumn("class", kind), domains, ranges, closed)
 
 
+@query("bundle_type_violations_whole", ORACLE_SQL["bundle_type_violations"].replace("l_orderkey < 2000 and ", ""), claims=False)
+def violations_whole(spark, d):
+    return violations(spark, d, "true")
+
+
 @query(
     "temporal_support",
     """with e as (select event_id, user_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as t from events where event_id < 3000)
@@ -56,8 +67,8 @@ select user_id as bundle, 'c' || event_id as local_id, case when event_id % 5 =
 from e where event_id % 5 = 0 or event_id % 7 = 0 or event_id % 11 = 0 or event_id % 13 = 0""",
     claims=False,
 )
-def temporal_support(spark, d):
-    e = star.table(spark, d, "events").where("event_id < 3000").select("event_id", F.col("user_id").alias("bundle"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("t"))
+def temporal_support(spark, d, which="event_id < 3000"):
+    e = star.table(spark, d, "events").where(which).select("event_id", F.col("user_id").alias("bundle"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("t"))
     k = F.col("event_id")
     me, its = F.concat(F.lit("c"), k), F.concat(F.lit("q"), k)
     qualifier = F.when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, F.lit("none")).when(k % 11 == 0, its).when(k % 13 == 0, me).otherwise(its)
@@ -66,6 +77,11 @@ def temporal_support(spark, d):
     return bundles.unsupported_times(own.unionByName(quals))
 
 
+@query("temporal_support_whole", ORACLE_SQL["temporal_support"].replace(" where event_id < 3000", ""), claims=False)
+def temporal_support_whole(spark, d):
+    return temporal_support(spark, d, "true")
+
+
 @query("change_contiguous", "select count(*) = 300 as ok from events where event_id > 100 and event_id <= 400", claims=False)
 def contiguous(spark, d):
     ok = bundles.contiguous(star.changes(spark, d).select("seq"), 100, 400)

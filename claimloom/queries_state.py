@@ -11,7 +11,7 @@ from claimloom.operators import replay, walk
 from claimloom.plans.compile import compile_query
 from claimloom.plans.run import execute
 from claimloom.plans.text import parse
-from claimloom.queries import _STRUCT, query, walk_sql
+from claimloom.queries import _STRUCT, ORACLE_SQL, query, walk_sql
 from claimloom.sources import imports, star
 from claimloom.streaming.changes import Snapshots
 
@@ -122,9 +122,9 @@ select 'order:' || o_orderkey as subject_id, 'placed_by' as relation, 'customer:
 union all select 'order:' || o_orderkey, 'total', cast(cast(o_totalprice as decimal(18,2)) as varchar), case when o_totalprice > 400000 then 'literal out of range' else 'accepted' end from c""",
     claims=False,
 )
-def import_structured(spark, d):
+def import_structured(spark, d, which="o_orderkey < 500"):
     """Orders as structured claims, checked row by row."""
-    o = star.table(spark, d, "orders").where("o_orderkey < 500")
+    o = star.table(spark, d, "orders").where(which)
     subject = F.concat(F.lit("order:"), "o_orderkey")
     links = o.select(subject.alias("subject_id"), F.lit("placed_by").alias("relation"), F.lit("iri").alias("object_kind"), F.concat(F.lit("customer:"), "o_custkey").alias("object_id"), F.lit(None).cast("string").alias("datatype"))
     totals = o.select(subject.alias("subject_id"), F.lit("total").alias("relation"), F.lit("literal").alias("object_kind"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("object_id"), F.lit("xsd:decimal").alias("datatype"))
@@ -132,6 +132,11 @@ def import_structured(spark, d):
     return got.select("subject_id", "relation", "object_id", "status")
 
 
+@query("import_structured_whole", ORACLE_SQL["import_structured"].replace(" where o_orderkey < 500", ""), claims=False)
+def import_structured_whole(spark, d):
+    return import_structured(spark, d, "true")
+
+
 @query("claim_ids_deterministic", "select count(*) as n, count(distinct k) as ids from (select l_orderkey || '|' || l_partkey || '|' || l_suppkey as k from lineitem)", claims=False)
 def claim_ids(spark, d):
     lines = star.table(spark, d, "lineitem").select(F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey").alias("subject_id"), F.lit("line").alias("relation"), F.lit("iri").alias("object_kind"), F.lit("x").alias("object_id"), F.lit(None).cast("string").alias("datatype"))
@@ -139,17 +144,22 @@ def claim_ids(spark, d):
 
 
 @query("admission_idempotent", "select count(*) as n from orders where o_orderkey < 300", claims=False)
-def admission(spark, d):
+def admission(spark, d, which="cast(substring(claim_id, 4, 20) as long) < 300"):
     """A batch admitted twice under one key counts once."""
     base = storage.shared_dir(spark).rstrip("/") + "/claimloom/admit-" + __import__("uuid").uuid4().hex[:12]
     store = imports.Store(spark, base)
-    batch = star.order_claims(spark, d).where(F.substring("claim_id", 4, 20).cast("long") < 300)
+    batch = star.order_claims(spark, d).where(which)
     first = store.admit(batch, "batch-1", 1_000)
     again = store.admit(batch, "batch-1", 2_000)
     assert first == again
     return store.read().agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("admission_idempotent_whole", ORACLE_SQL["admission_idempotent"].replace(" where o_orderkey < 300", ""), claims=False)
+def admission_whole(spark, d):
+    return admission(spark, d, "true")
+
+
 @query("recover_times", "with t as (select user_id, event_id, epoch_us(ts) // 1000 as ms, row_number() over (partition by user_id order by ts, event_id) as nth from events) select user_id, event_id, max(ms - nth) over (partition by user_id order by nth) + nth as at from t", claims=False)
 def recover_times(spark, d):
     """Admission times from a commit history: truncated to milliseconds, then made to rise."""
