@@ -1,10 +1,14 @@
 """Removal of repeated runs of lines, by winnowing over line hashes.
 
 A document is its sequence of lines that aren't blank.  From each line, the
-shortest run of lines with ``gram_words`` words is a gram, and the shortest run
-with ``run_words`` words is a window.  Each window selects the gram of least
-hash among those inside it (the last of equals) as its fingerprint; equal
-windows select alike, so any repeated run of run_words words shares one.
+shortest run of lines with ``gram_words`` words is a gram; the shortest run
+with ``run_words`` words from each line, and that up to each line, is a window.
+Each line of a longer run lies in a window inside the run: in the one from the
+line, or near the run's end in the one up to the end.  So each line of a
+repeated run is found by a window that is joined itself, whatever document the
+rest of the run occurs in first.  Each window selects the gram of least hash
+among those inside it (the last of equals) as its fingerprint; equal windows
+select alike, so any repeated run of run_words words shares one.
 
 Fingerprints with the content of the window that chose them are joined on the
 first position in the corpus (documents by id, then lines) that has the same.
@@ -45,6 +49,14 @@ def shortest_runs(words: list[int], least: int) -> list[int]:
     return out
 
 
+def shortest_both_ways(words: list[int], least: int) -> list[tuple[int, int]]:
+    """(start, end) of the shortest runs with that many words from each start and up to each end."""
+    n = len(words)
+    forth = {(start, end) for start, end in enumerate(shortest_runs(words, least)) if end >= 0}
+    back = {(n - end, n - start) for start, end in enumerate(shortest_runs(words[::-1], least)) if end >= 0}
+    return sorted(forth | back)
+
+
 def windows(hashes: list[int], words: list[int], gram_words: int, run_words: int) -> list[tuple[int, int, int, int]]:
     """(start, end, fingerprint, content) of each window of a document."""
     from xxhash import xxh3_64_intdigest
@@ -53,10 +65,9 @@ def windows(hashes: list[int], words: list[int], gram_words: int, run_words: int
     grams = [xxh3_64_intdigest(raw[8 * i : 8 * e]) if e >= 0 else 0 for i, e in enumerate(shortest_runs(words, gram_words))]
     ends = shortest_runs(words, gram_words)
     out = []
-    for start, end in enumerate(shortest_runs(words, run_words)):
-        if end >= 0:
-            inside = [(-grams[i], i) for i in range(start, end) if 0 <= ends[i] <= end]
-            out.append((start, end, -max(inside)[0], xxh3_64_intdigest(raw[8 * start : 8 * end])))
+    for start, end in shortest_both_ways(words, run_words):
+        inside = [(-grams[i], i) for i in range(start, end) if 0 <= ends[i] <= end]
+        out.append((start, end, -max(inside)[0], xxh3_64_intdigest(raw[8 * start : 8 * end])))
     return out
 
 
