@@ -1,8 +1,10 @@
 """Mixing sources to target weights.  DataFrame functions only.
 
 Each source's documents form a stream of words, cut into blocks of a fixed
-number of words.  A source's target is turned into a number of slots of one
-block.  The slots of all sources are dealt to output shards of equal size by a
+number of words.  A source's target, in whole words, is turned into slots of
+one block: those of its whole passes over the source, then as many as the rest
+needs, of which the last is cut to the words still due (a pass that is not
+whole takes the source's short block, if it has one, last).  The slots of all sources are dealt to output shards of equal size by a
 pseudorandom permutation, which draws each shard's source counts from the
 multinomial distribution conditioned on the totals (so that totals are the
 targets exactly, and no source runs over its limit by chance).  A source's
@@ -81,11 +83,14 @@ class Mix:
         n_buckets = common.buckets_for(rows.count())
         self.placed = common.materialize(common.global_index(joined, ["source_id"], [*self.key, "size"], n_buckets, "start", size="size"), "stream")
 
-        blocks = F.ceil(F.col("source_size") / block_words).cast("long")
-        plan = targets.withColumn("blocks", blocks).withColumn("slots", F.least(F.lit(max_repeats) * blocks, F.round(F.col("target") / block_words).cast("long"))).where("slots > 0")
+        plan = targets.where("source_size > 0").withColumn("words", F.least(F.lit(max_repeats) * F.col("source_size"), F.round("target").cast("long")))
+        plan = plan.withColumns({"blocks": F.expr(f"(source_size + {block_words - 1}) div {block_words}"), "full": F.expr(f"source_size div {block_words}"), "passes": F.expr("words div greatest(source_size, 1)")})
+        plan = plan.withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
+        # the words of the last slot, where the last pass is not whole
+        plan = plan.withColumns({"slots": F.expr(f"passes * blocks + (rest + {block_words - 1}) div {block_words}"), "cut": F.when(F.col("rest") > 0, (F.col("rest") - 1) % block_words + 1)}).where("slots > 0")
         before = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
         plan = plan.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0)))
-        self.plan = plan = common.materialize(plan.select("source_id", "blocks", "slots", "first"), "slots")
+        self.plan = plan = common.materialize(plan.select("source_id", "blocks", "slots", "first", "full", "passes", "cut"), "slots")
         self.all_slots = all_slots = plan.agg(F.sum("slots")).first()[0] or 0
 
         # each source's slots among all slots, expanded in chunks, dealt to shards
@@ -100,21 +105,29 @@ class Mix:
         #: Per output shard and source: slots drawn, and the source's slots in earlier shards.
         self.counts = counts.withColumn("from", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
 
-        numbered = self.counts.join(plan.select("source_id", "blocks"), "source_id").repartition(width, "source_id", "shard").select("source_id", "shard", "blocks", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("nth"))
-        turn = F.floor(F.col("nth") / F.col("blocks")).cast("long")
-        block = shuffled(F.col("nth") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("source_id"), turn)
-        #: One row per slot: its shard and the block that it takes.
-        self.slots = numbered.select("source_id", "shard", "nth", block.alias("block"))
+        of = [c for c in plan.columns if c != "first"]
+        numbered = self.counts.join(plan.select(*of), "source_id").repartition(width, "source_id", "shard").select("shard", *of, F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("nth"))
+        turn, at = F.expr("nth div blocks"), F.col("nth") % F.col("blocks")
+        among = F.when(turn < F.col("passes"), F.col("blocks")).otherwise(F.greatest("full", F.lit(1)))
+        drawn = shuffled(F.least(at, among - 1), among, F.lit(seed), F.col("source_id"), turn)
+        block = F.when(at < among, drawn).otherwise(F.col("blocks") - 1)
+        #: One row per slot: its shard, the block that it takes, and how many of the block's words where not all.
+        self.slots = numbered.select("source_id", "shard", "nth", block.alias("block"), F.when(F.col("nth") == F.col("slots") - 1, F.col("cut")).alias("cut"))
 
     def taken_blocks(self) -> DataFrame:
-        """placed, one row per document and block that it has words in: block, from (its word there), n words, uses."""
-        uses = self.slots.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("uses"))
+        """placed, one row per document and block, or part of a cut block, that it has words in: block, from (its word there), n words, uses."""
         L = self.block_words
+        uses = self.slots.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("uses"), F.max("cut").alias("cut"))
+        part = lambda low, high, n: F.struct(F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high"), n.alias("uses"))
+        n, cut = F.col("uses"), F.col("cut")
+        parts = F.when(cut.isNull(), F.array(part(0, L, n))).otherwise(F.array(part(0, cut, n), part(cut, L, n - 1)))
+        uses = uses.select("source_id", "block", F.inline(parts))
         end = F.col("start") + F.col("size")
         inside = self.placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / L), F.floor((end - 1) / L))))
-        first = F.greatest(F.col("start"), F.col("block") * L)
-        inside = inside.withColumn("from", first - F.col("start")).withColumn("n", F.least(end, (F.col("block") + 1) * L) - first)
-        return inside.join(uses, ["source_id", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+        inside = inside.join(uses, ["source_id", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+        first = F.greatest(F.col("start"), F.col("block") * L + F.coalesce("low", F.lit(0)))
+        last = F.least(end, F.col("block") * L + F.coalesce("high", F.lit(L)))
+        return inside.withColumn("from", first - F.col("start")).withColumn("n", last - first).where("n > 0").drop("low", "high")
 
     def taken(self) -> DataFrame:
         """placed with ``taken``: words the mix takes of each document, repeats counted."""

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from claimloom.llm import line_dedup
+from claimloom.llm import line_dedup, mixing
 
 
 def every_repeated_run(rows, least=50):
@@ -43,3 +43,33 @@ def test_line_runs_with_differing_ends(spark, seed):
         runs = [pool[k : k + rng.randrange(8)] for k in (rng.randrange(12), rng.randrange(12))]
         rows.append((i, "\n".join([line(), *runs[0], line(), *runs[1], *rng.choice([[], runs[0]])])))
     assert without_repeats(spark, rows) == every_repeated_run(rows)
+
+
+#: Words of the documents of each source: tiny ones, one word over a block, and many blocks.
+SIZES = {"a": [1], "b": [40], "c": [20, 20], "d": [65], "e": [31], "f": [129, 7], "g": [3000, 2000, 5000], "h": [257], "i": [0], "j": [900, 11]}
+
+
+@pytest.mark.parametrize("block", [8, 64, 256])
+def test_sources_get_their_targets_to_the_word(spark, block):
+    rows, k = [], 0
+    for source, sizes in SIZES.items():
+        for n in sizes:
+            rows.append((k, " ".join(f"{source}{k}w{i}" for i in range(n)), source))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    source_of = {i: s for i, _, s in rows}
+    taken, target = {}, {}
+    for r in mixing.mix(docs, block_words=block).collect():
+        s = source_of[r["doc_id"]]
+        taken[s], target[s] = taken.get(s, 0) + r["taken"], r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in SIZES)
+    assert all(taken[s] > 0 for s in SIZES if s != "i")
+    # the mixed texts hold as many words, each source's whole passes before the next begins
+    seen = {}
+    for r in mixing.mixed(docs, block_words=block).collect():
+        for w in r["text"].split():
+            seen[w] = seen.get(w, 0) + 1
+    for s in SIZES:
+        uses = [seen.get(w, 0) for _, text, own in rows if own == s for w in text.split()] or [0]
+        assert sum(uses) == taken[s] and max(uses) <= 3 and max(uses) - min(uses) <= 1
