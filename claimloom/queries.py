@@ -121,6 +121,11 @@ def catalog(spark, d):
     return got.where(F.startswith("id", F.lit("n:")) | F.startswith("id", F.lit("o:1")))
 
 
+@query("catalog_from_claims_whole", ORACLE_SQL["catalog_from_claims"].replace(" where i.id like 'n:%' or i.id like 'o:1%'", ""), claims=False)
+def catalog_whole(spark, d):
+    return landing.catalog_from_claims(star.claims(spark, d))
+
+
 @query("latest_image", "select user_id, last.event_id as event_id, last.event_type as event_type from (select user_id, arg_max(struct_pack(event_id := event_id, event_type := event_type, ts := ts), event_id) as last from events group by user_id) where last.ts <= timestamp '2024-01-31 12:00:00'", claims=False)
 def latest_image(spark, d):
     return landing.latest_image(star.table(spark, d, "events"), "user_id", "event_id", "ts", "2024-01-31 12:00:00").select("user_id", "event_id", "event_type")

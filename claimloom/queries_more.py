@@ -138,9 +138,9 @@ _rule("inverse_functional", [("in_region", ontology.TYPE, "owl:InverseFunctional
 
 @query("materialise_fixpoint")
 def materialise(spark, d):
-    """Several rules to a fixed point over nations and regions (rows only)."""
+    """Several rules to a fixed point over customers, suppliers, nations and regions (rows only)."""
     schema = [("in_region", "rdfs:subPropertyOf", "within"), ("within", ontology.TYPE, "owl:TransitiveProperty"), ("in_nation", "rdfs:subPropertyOf", "within"), ("within", "rdfs:range", "class:place")]
-    data = _triples(spark, d).where(F.col("p") == "in_region").unionByName(spark.createDataFrame([(*r, False) for r in schema], "s string, p string, o string, lit boolean"))
+    data = _triples(spark, d).where(F.col("p").isin("in_nation", "in_region")).unionByName(spark.createDataFrame([(*r, False) for r in schema], "s string, p string, o string, lit boolean"))
     return ontology.materialise(data, ["subproperty", "transitive", "range", "subclass"])
 
 

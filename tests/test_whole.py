@@ -59,3 +59,22 @@ def test_long_chains_of_support(spark):
     ids = spark.range(n).where(f"id not in ({', '.join(map(str, hidden))})").selectExpr("id as claim_id")
     kept = policy.visible_fixpoint(ids, ids.where("claim_id >= 7").selectExpr("claim_id", "claim_id - 7 as support_id"))
     assert {r[0] for r in kept.collect()} == {x for x in range(n) if not any(x % 7 == h % 7 and x >= h for h in hidden)}
+
+
+def test_whole_catalogue(spark, tables):
+    d, db = tables
+    got = {tuple(r) for r in entry.queries()["catalog_from_claims_whole"](spark, d).select("id", "label").collect()}
+    assert got == set(db.execute(f"select id, label from ({entry.oracle_sql()['catalog_from_claims_whole']})").fetchall())
+    assert {i[:2] for i, _ in got} == {"r:", "n:", "c:", "s:", "p:", "o:"}
+
+
+def test_rules_reach_customers_and_suppliers(spark):
+    d, db = "/root/testdata/sf0.001", duckdb.connect()
+    nations = dict(db.execute(f"select n_nationkey, n_regionkey from '{d}/nation.parquet'").fetchall())
+    want = {(f"n:{n}", f"r:{r}") for n, r in nations.items()}
+    for prefix, sql in (("c", f"select c_custkey, c_nationkey from '{d}/customer.parquet'"), ("s", f"select s_suppkey, s_nationkey from '{d}/supplier.parquet'")):
+        for k, n in db.execute(sql).fetchall():
+            want |= {(f"{prefix}:{k}", f"n:{n}"), (f"{prefix}:{k}", f"r:{nations[n]}")}
+    rows = entry.queries()["materialise_fixpoint"](spark, d).collect()
+    assert {(r["s"], r["o"]) for r in rows if r["p"] == "within"} == want
+    assert {r["s"] for r in rows if r["o"] == "class:place" and r["p"] == "rdf:type"} == {o for _, o in want}
