@@ -7,7 +7,7 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm import common, line_dedup, mixing, ngram_join, packing, quality
@@ -26,13 +26,29 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least id."""
-    gone = ngram_join.Join(docs).documents().where(F.col("id") != F.col("component")).select("id").distinct()
-    gone = common.materialize(gone, "duplicates")
-    if gone.count() <= ngram_join.BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
-    return kept
+    """One row of each group of near duplicates stays: the first by id (nulls last), then class and row number.
+
+    Rows without words are in no group and stay.  Verdicts are joined back by
+    id and a hash of the text; rows that repeat both are told apart by number.
+    """
+    id_, text = F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key, nth = common.unused(docs, "_key"), common.unused(docs, "_nth")
+    join = ngram_join.Join(docs.withColumn("doc_id", F.struct(id_.alias("id"), F.xxhash64(text, F.lit(1)).alias("key"))))
+    rows = join.signed.select("id", "n", "class").join(join.components, "class", "left").where("n > 0").withColumn("root", F.coalesce("root", "class"))
+    place = F.struct(F.col("id.id").isNull().alias("last"), F.col("id.id").alias("id"), "class", F.col("id.key").alias("key"))
+    least = rows.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    # of a group, the rows of one (id, class, key) stay together here, and the first of them alone below
+    verdict = rows.join(least, "root").select(F.col("id.id").alias("id"), F.col("id.key").alias("key"), (place == F.col("first")).alias("first")).distinct()
+    verdict = common.materialize(verdict, "duplicates")
+    if verdict.count() <= ngram_join.BROADCAST_IDS:
+        verdict = F.broadcast(verdict)
+    d, v = docs.withColumn(key, F.xxhash64(text, F.lit(1))).alias("d"), verdict.alias("v")
+    on = F.col("d.doc_id").eqNullSafe(F.col("v.id")) & (F.col(f"d.{key}") == F.col("v.key"))
+    judged = d.join(v, on, "left").select("d.*", F.col("v.first").alias(nth)).where(F.coalesce(F.col(nth), F.lit(True)))
+    alone = judged.where(F.col(nth).isNull()).drop(key, nth)
+    firsts = judged.where(F.col(nth)).drop(nth)
+    firsts = firsts.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.lit(1)))).where(F.col(nth) == 1).drop(key, nth)
+    return alone.unionByName(firsts)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from claimloom.llm import line_dedup, mixing
 
 
@@ -73,3 +74,15 @@ def test_sources_get_their_targets_to_the_word(spark, block):
     for s in SIZES:
         uses = [seen.get(w, 0) for _, text, own in rows if own == s for w in text.split()] or [0]
         assert sum(uses) == taken[s] and max(uses) <= 3 and max(uses) - min(uses) <= 1
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    a, b, c = long("a"), long("b"), long("c")
+    rows = [(1, a), (1, a), (2, a + " more"), (None, b), (None, b), (3, c), (1, long("d")), (5, c + " more"), (5, long("e")), (None, None), (None, ""), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, a), (None, b), (3, c), (1, long("d")), (5, long("e")), (None, None), (None, ""), (7, ""), (7, "")]
+    order = lambda x: sorted(x, key=str)
+    assert order((r["doc_id"], r["text"]) for r in got.collect()) == order(want)
