@@ -1,4 +1,4 @@
-"""Removal of repeated runs of lines, by winnowing over line hashes.
+"""Removal of repeated runs of lines, by joining hashes of windows of lines.
 
 A document is its sequence of lines that aren't blank.  From each line, the
 shortest run of lines with ``gram_words`` words is a gram; the shortest run
@@ -10,8 +10,8 @@ rest of the run occurs in first.  Each window selects the gram of least hash
 among those inside it (the last of equals) as its fingerprint; equal windows
 select alike, so any repeated run of run_words words shares one.
 
-Fingerprints with the content of the window that chose them are joined on the
-first position in the corpus (documents by id, then lines) that has the same.
+Fingerprints with the content of the window that chose them (which alone
+decides: equal content has equal fingerprints) are joined on the first position in the corpus (documents by id, then lines) that has the same.
 A later position is a repeat; its match is extended line by line both ways
 against the first document, and the lines that matches cover are deleted.  The
 first occurrence of any content stays, since each deletion has an earlier copy.
