@@ -87,11 +87,14 @@ def _weigh(ratio, text_col: str):
     return run
 
 
-def labelled_sample(labels: DataFrame, id_col: str, label_col: str, fit_rows: int) -> DataFrame:
-    """(id, good), at most fit_rows rows, by smallest hash; of repeated labels of one id the worst holds."""
+def distinct_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, good, h) of every labelled id; of repeated labels of one id the worst holds."""
     one = labels.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.min(F.col(f"`{label_col}`")).alias("q")).where("id is not null and q is not null")
-    one = one.select("id", (F.col("q") > 0).alias("good"), F.xxhash64("id", F.lit("fit")).alias("h"))
-    n = one.count()
+    return one.select("id", (F.col("q") > 0).alias("good"), F.xxhash64("id", F.lit("fit")).alias("h"))
+
+
+def labelled_sample(one: DataFrame, n: int, fit_rows: int) -> DataFrame:
+    """(id, good), at most fit_rows of the n rows, by smallest hash."""
     if n > fit_rows:  # most are left out before the exact bound is drawn
         one = one.where(F.pmod("h", F.lit(1_000_000)) < round(1_200_000 * fit_rows / n))
     return one.orderBy("h").limit(fit_rows).select("id", "good")
@@ -103,15 +106,16 @@ class Model:
     def __init__(self, docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", fit_rows: int = 20_000):
         import numpy as np
 
-        sample = common.materialize(labelled_sample(labels, id_col, label_col, fit_rows), "labels")
-        n, good = sample.agg(F.count(F.lit(1)), F.count_if("good")).first()
+        one = distinct_labels(labels, id_col, label_col)
+        n, good = one.agg(F.count(F.lit(1)), F.count_if("good")).first()  # the share is over all labels, the sample fits the models alone
+        sample = common.materialize(labelled_sample(one, n, fit_rows), "labels")
         rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
         rows = rows.join(F.broadcast(sample), "id", "left").select("text", "good")  # fit_rows rows at most
         counts = rows.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
         raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
         raw[counts["bucket"]] += counts["raw"]
         target[counts["bucket"]] += counts["target"]
-        self.log_ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if good else np.zeros(BUCKETS)
+        self.log_ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if sample.where("good").limit(1).count() else np.zeros(BUCKETS)
         self.good_share = wilson_upper(good, n) if n else 1.0
         self.text_col = text_col
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from claimloom.llm import line_dedup, mixing
+from claimloom.llm import line_dedup, mixing, quality
 
 
 def every_repeated_run(rows, least=50):
@@ -86,3 +86,9 @@ def test_one_row_of_each_group_stays(spark):
     want = [(1, a), (None, b), (3, c), (1, long("d")), (5, long("e")), (None, None), (None, ""), (7, ""), (7, "")]
     order = lambda x: sorted(x, key=str)
     assert order((r["doc_id"], r["text"]) for r in got.collect()) == order(want)
+
+
+def test_share_of_good_labels_is_over_all(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} text{i % 5}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int")
+    assert quality.Model(docs, labels, fit_rows=20).good_share == quality.wilson_upper(100, 300)
