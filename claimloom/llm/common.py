@@ -20,22 +20,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary folder
-    of this machine is set.
+    Where the session names none, a temporary folder of this machine is set
+    under a local master; elsewhere executors couldn't share it, so that is an
+    error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="claimloom-"))
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return base
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/claimloom/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder, under one that goes when the application ends."""
+    own = f"{shared_dir(spark).rstrip('/')}/claimloom/{spark.sparkContext.applicationId}"
+    kept = sys.__dict__.setdefault("_claimloom_folders", set())
+    if own not in kept:
+        kept.add(own)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -45,7 +56,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     write(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.written_to = path
+    return held
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and no plan reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df.written_to)
 
 
 #: Rows that go to a Python worker at once while a table is written.
