@@ -140,6 +140,25 @@ def trim() -> None:
         pass
 
 
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left joined with right, which has each key once and in ``n`` the number of its rows in left.
+
+    Keys with more than a quarter of an even partition's rows are fewer than
+    four for each partition, whatever the data: they are broadcast, and their
+    rows stay where they are.  The others are dealt by key.
+    """
+    spark, rest = right.sparkSession, [c for c in right.columns if c not in (*keys, "n")]
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, most = right.agg(F.sum("n"), F.max("n")).first()
+    bar = (total or 0) // parts
+    even = right.where(F.col("n") <= bar).select(*keys, *rest)
+    if (most or 0) <= bar:
+        return left.join(even, keys)
+    hot = right.where(F.col("n") > bar).select(*keys, *rest)
+    cool = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(even, keys)
+    return left.join(F.broadcast(hot), keys).unionByName(cool)
+
+
 def buckets_for(rows: int, per_bucket: int = 50_000, least: int = 16) -> int:
     """Number of hash buckets of about per_bucket rows."""
     return max(least, -(-rows // per_bucket))

@@ -1,23 +1,29 @@
-"""Removal of repeated runs of lines, by joining hashes of windows of lines.
+"""Removal of repeated runs of lines, by winnowing.
 
 A document is its sequence of lines that aren't blank.  From each line, the
 shortest run of lines with ``gram_words`` words is a gram; the shortest run
 with ``run_words`` words from each line, and that up to each line, is a window.
-Each line of a longer run lies in a window inside the run: in the one from the
-line, or near the run's end in the one up to the end.  So each line of a
-repeated run is found by a window that is joined itself, whatever document the
-rest of the run occurs in first.  Each window selects the gram of least hash
-among those inside it (the last of equals) as its fingerprint; equal windows
-select alike, so any repeated run of run_words words shares one.
-
-Fingerprints with the content of the window that chose them (which alone
-decides: equal content has equal fingerprints) are joined on the first position in the corpus (documents by id, then lines) that has the same.
-A later position is a repeat; its match is extended line by line both ways
-against the first document, and the lines that matches cover are deleted.  The
-first occurrence of any content stays, since each deletion has an earlier copy.
-
-A document repeats itself only where its own earlier run ends before the later
-begins.  Lines are compared without white space at their ends, by 64-bit hash.
+Each window selects the gram of least hash among those inside it (the last of
+equals); a document's fingerprints are its selected positions, each once.
+Equal windows select alike, so any repeated run of run_words words shares one.
+
+1. Fingerprints are joined: those whose gram no other position has go.  They
+   are few beside the windows, and all that most text is left with.
+2. A match is extended both ways, to the windows that selected the position,
+   and verified there: of the positions with the same window the first in the
+   corpus (documents by id, then lines) stays, the others are repeats.
+   Windows that touch make up longer runs; each line of a repeated run lies in
+   a window inside the run, in the one from the line or in the one up to it.
+3. The lines of repeats are deleted.
+
+The first occurrence of any content stays, since each deletion has an earlier
+copy.  A document repeats itself only where its own earlier run ends before
+the later begins.  Lines are compared without white space at their ends;
+grams and windows by 64-bit hashes of their lines' hashes.
+
+A gram or window that very many positions share is joined apart from the
+others, by broadcast, which doesn't move its positions (see
+``common.join_spread``); counts and firsts are aggregated before shuffles.
 
 Edge cases: null text has no lines and stays null; documents with null id come
 after all others; rows that repeat id and text are one document, so all keep
@@ -57,17 +63,17 @@ def shortest_both_ways(words: list[int], least: int) -> list[tuple[int, int]]:
     return sorted(forth | back)
 
 
-def windows(hashes: list[int], words: list[int], gram_words: int, run_words: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, fingerprint, content) of each window of a document."""
+def fingerprints(hashes: list[int], words: list[int], gram_words: int, run_words: int) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
+    """(position, gram hash) of each gram that a window selects -> the windows that did: (start, end, content hash)."""
     from xxhash import xxh3_64_intdigest
 
     raw = b"".join(h.to_bytes(8, "little") for h in hashes)
-    grams = [xxh3_64_intdigest(raw[8 * i : 8 * e]) if e >= 0 else 0 for i, e in enumerate(shortest_runs(words, gram_words))]
     ends = shortest_runs(words, gram_words)
-    out = []
+    grams = [xxh3_64_intdigest(raw[8 * i : 8 * e]) if e >= 0 else 0 for i, e in enumerate(ends)]
+    out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for start, end in shortest_both_ways(words, run_words):
-        inside = [(-grams[i], i) for i in range(start, end) if 0 <= ends[i] <= end]
-        out.append((start, end, -max(inside)[0], xxh3_64_intdigest(raw[8 * start : 8 * end])))
+        least, at = min((grams[i], -i) for i in range(start, end) if 0 <= ends[i] <= end)
+        out.setdefault((-at, least), []).append((start, end, xxh3_64_intdigest(raw[8 * start : 8 * end])))
     return out
 
 
@@ -89,50 +95,30 @@ def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
     return numbers, hashes, words
 
 
+MARKS = "array<struct<mark:long,windows:array<struct<start:int,end:int,content:long>>>>"
+
+
 def _sequences(gram_words: int, run_words: int):
     def run(batches):
         common.claim_worker("lines")
         import pyarrow as pa
 
+        window = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("content", pa.int64())])
+        kind = pa.list_(pa.struct([("mark", pa.int64()), ("windows", pa.list_(window))]))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                lines, hashes, found = [], [], []
+                lines, marks = [], []
                 for text in part.column("text").to_pylist():
                     numbers, own, words = line_hashes(text)
                     lines.append(numbers)
-                    hashes.append([_signed(h) for h in own])
-                    found.append([{"start": s, "end": e, "mark": _signed(f), "content": _signed(c)} for s, e, f, c in windows(own, words, gram_words, run_words)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("key"), pa.array(lines, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("mark", pa.int64()), ("content", pa.int64())])))],
-                    ["id", "key", "lines", "hashes", "windows"],
-                )
+                    found = fingerprints(own, words, gram_words, run_words)
+                    marks.append([{"mark": _signed(m), "windows": [{"start": s, "end": e, "content": _signed(c)} for s, e, c in w]} for (_, m), w in found.items()])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(lines, pa.list_(pa.int32())), pa.array(marks, kind)], ["id", "key", "lines", "marks"])
 
     return run
 
 
-def _extend(batches):
-    """Matches of a document with one earlier document -> numbers of the lines they cover."""
-    import pyarrow as pa
-
-    for batch in batches:
-        out = []
-        for lines, own, other, same, matches in zip(*(batch.column(c).to_pylist() for c in ("lines", "hashes", "other", "same", "matches"))):
-            covered: set[int] = set()
-            for m in matches:
-                a, b, p = m["start"], m["end"], m["at"]
-                q = p + b - a
-                if same and q > a:
-                    continue  # overlaps its own first occurrence
-                while a > 0 and p > 0 and own[a - 1] == other[p - 1] and not (same and q > a - 1):
-                    a, p = a - 1, p - 1
-                while b < len(own) and q < len(other) and own[b] == other[q] and not (same and q + 1 > a):
-                    b, q = b + 1, q + 1
-                covered.update(lines[a:b])
-            out.append(sorted(covered))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["id", "key", "removed"])
-
-
 def document_key(id_: Column, text: Column) -> Column:
     return F.xxhash64(id_, text)
 
@@ -143,21 +129,27 @@ def removals(docs: DataFrame, id_col="doc_id", text_col="text", gram_words: int
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).where("text is not null")
     rows = rows.withColumn("key", document_key(F.col("id"), F.col("text")))
     kind = rows.schema["id"].dataType.simpleString()
-    made = f"id {kind}, key long, lines array<int>, hashes array<long>, windows array<struct<start:int,end:int,mark:long,content:long>>"
+    made = f"id {kind}, key long, lines array<int>, marks {MARKS}"
     sequences = common.materialize(rows.mapInArrow(_sequences(gram_words, run_words), made), "lines")
 
-    positions = sequences.select("id", "key", F.explode("windows").alias("w")).select("w.mark", "w.content", F.struct(F.col("id").isNull().alias("last"), "id", "key", "w.start").alias("place"), "w.end")
-    first = positions.groupBy("mark", "content").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = positions.join(first, ["mark", "content"]).where("place > first")
-    matches = later.select(F.col("place.id").alias("id"), F.col("place.key").alias("key"), F.struct(F.col("place.start").alias("start"), "end", F.col("first.start").alias("at")).alias("m"), F.col("first.id").alias("other_id"), F.col("first.key").alias("other_key"))
-    matches = matches.groupBy("id", "key", "other_id", "other_key").agg(F.collect_set("m").alias("matches"))  # no more than the document's windows
-    own = sequences.select("id", "key", "lines", "hashes").dropDuplicates(["id", "key"])
-    m, s = matches.alias("m"), own.alias("s")
-    joined = m.join(s, F.col("m.id").eqNullSafe(F.col("s.id")) & (F.col("m.key") == F.col("s.key"))).select("m.*", "s.lines", "s.hashes")
-    j, o = joined.alias("j"), own.alias("o")
-    joined = j.join(o, F.col("j.other_id").eqNullSafe(F.col("o.id")) & (F.col("j.other_key") == F.col("o.key"))).select("j.id", "j.key", "j.lines", "j.hashes", F.col("o.hashes").alias("other"), ((F.col("j.key") == F.col("j.other_key")) & F.col("j.id").eqNullSafe(F.col("j.other_id"))).alias("same"), "j.matches")
-    covered = joined.mapInArrow(_extend, f"id {kind}, key long, removed array<int>").where(F.size("removed") > 0)
-    return covered.groupBy("id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
+    # fingerprints that several positions share, and the windows that selected them
+    marks = sequences.select("id", "key", F.explode("marks").alias("m")).select("id", "key", "m.mark", "m.windows")
+    shared = common.materialize(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "marks")
+    met = common.join_spread(marks, shared, ["mark"]).select("id", "key", F.explode("windows").alias("w"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "w.start").alias("place")
+    met = common.materialize(met.select("w.content", place, "w.end"), "windows")
+
+    first = met.groupBy("content").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = common.materialize(first, "firsts")
+    later = common.join_spread(met, first, ["content"]).where("place > first")
+    own = F.col("place.id").eqNullSafe(F.col("first.id")) & (F.col("place.key") == F.col("first.key"))
+    later = later.where(~own | (F.col("first.start") + F.col("end") - F.col("place.start") <= F.col("place.start")))  # else it overlaps its own first occurrence
+    spans = later.select("place.id", "place.key", F.struct("place.start", "end").alias("span"))
+    spans = spans.groupBy("id", "key").agg(F.collect_set("span").alias("spans"))  # no more than the document's windows
+    s, q = spans.alias("s"), sequences.select("id", "key", "lines").dropDuplicates(["id", "key"]).alias("q")
+    joined = s.join(q, F.col("s.id").eqNullSafe(F.col("q.id")) & (F.col("s.key") == F.col("q.key"))).select("s.id", "s.key", "spans", "lines")
+    covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.slice("lines", x["start"] + 1, x["end"] - x["start"]))))
+    return joined.select("id", "key", F.array_sort(covered).alias("removed"))
 
 
 def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", removed_col: str | None = None, **options) -> DataFrame:
@@ -176,7 +168,8 @@ def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", removed_c
     left, right = docs.withColumn(key, document_key(F.col(f"`{id_col}`"), text)).alias("d"), gone.alias("g")
     on = F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.id")) & (F.col(f"d.{key}") == F.col("g.key"))
     joined = left.join(right, on, "left").select("d.*", F.col("g.removed").alias(removed)).drop(key)
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(removed), i)), "\n")
+    left_over = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
+    kept = common.let(F.split(text, "\n"), lambda x: F.array_join(F.transform(left_over(x), lambda i: x[i]), "\n"))
     out = joined.withColumn(text_col, F.when(F.col(removed).isNull(), text).otherwise(kept))
     return out if removed_col else out.drop(removed)
 

@@ -133,36 +133,19 @@ def test_components(spark):
 
 
 def brute_lines(rows, least=50):
-    """Every window of lines with that many words is looked up in all before it; repeats grow line by line."""
+    """The texts without each line that lies in a run of that many words with an earlier copy, wherever."""
     seqs = {i: [(k, x.strip(), len(x.split())) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in rows}
     first, gone = {}, {}
     for i in sorted(seqs):
         s = seqs[i]
         for a in range(len(s)):
-            total = 0
+            total, run = 0, 0
             for b in range(a, len(s)):
-                total += s[b][2]
+                total, run = total + s[b][2], hash((run, s[b][1]))
                 if total >= least:
-                    first.setdefault(tuple(x[1] for x in s[a : b + 1]), (i, a))
-                    break
-    for i in sorted(seqs):
-        s = seqs[i]
-        for a in range(len(s)):
-            total = 0
-            for b in range(a, len(s)):
-                total += s[b][2]
-                if total >= least:
-                    j, p = first[tuple(x[1] for x in s[a : b + 1])]
-                    q = p + b - a
-                    if (j, p) == (i, a) or (j == i and q >= a):
-                        break
-                    lo, hi, o = a, b, seqs[j]
-                    while lo and p and s[lo - 1][1] == o[p - 1][1] and not (j == i and q >= lo - 1):
-                        lo, p = lo - 1, p - 1
-                    while hi + 1 < len(s) and q + 1 < len(o) and s[hi + 1][1] == o[q + 1][1] and not (j == i and q + 1 >= lo):
-                        hi, q = hi + 1, q + 1
-                    gone.setdefault(i, set()).update(x[0] for x in s[lo : hi + 1])
-                    break
+                    j, p = first.setdefault((b - a, run), (i, a))
+                    if j != i or p + b - a < a:
+                        gone.setdefault(i, set()).update(x[0] for x in s[a : b + 1])
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows}
 
 
@@ -186,6 +169,23 @@ def test_first_copies_stay(spark, docs):
     assert have >= {x.strip() for t in texts(docs).values() for x in t.split("\n") if x.strip()}
 
 
+def test_fingerprints_are_fewer_than_windows():
+    rng = random.Random(5)
+    lines = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(90)) for _ in range(rng.choice([1, 2, 3, 6]))) for _ in range(2000)]
+    _, hashes, words = line_dedup.line_hashes("\n".join(lines))
+    found = line_dedup.fingerprints(hashes, words, 25, 50)
+    n = len(line_dedup.shortest_both_ways(words, 50))
+    assert sum(map(len, found.values())) == n and len(found) < n / 4
+    assert line_dedup.fingerprints(hashes[700:800], words[700:800], 25, 50).keys() <= {(p - 700, m) for p, m in found}
+
+
+def test_a_passage_that_all_documents_share(spark):
+    passage = "\n".join(" ".join(f"p{i}x{k}" for k in range(20)) for i in range(4))
+    rows = [(i, f"own {i}\n{passage}\nend {i}" if i % 3 else f"alone {i} " * 40) for i in range(400)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_lines(rows) and got[1] == rows[1][1] and got[2] == "own 2\nend 2"
+
+
 # ---------------------------------------------------------------- 4
 
 
