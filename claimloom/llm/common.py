@@ -49,15 +49,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, counted: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs only the tasks that ran on it.
+    counted: a column whose sum and maximum are taken too (``sizes``).
     """
     path = scratch(df.sparkSession, name)
     write(df, path)
     held = df.sparkSession.read.schema(df.schema).parquet(path)
     held.written_to = path
+    if counted:
+        total, most = held.agg(F.sum(counted), F.max(counted)).first()
+        held.sizes = (total or 0, most or 0)
     return held
 
 
@@ -141,7 +145,8 @@ def trim() -> None:
 
 
 def join_spread(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """left joined with right, which has each key once and in ``n`` the number of its rows in left.
+    """left joined with right, which has each key once and in ``n`` the number of its rows in left, and was
+    written with ``counted="n"``.
 
     Keys with more than a quarter of an even partition's rows are fewer than
     four for each partition, whatever the data: they are broadcast, and their
@@ -149,17 +154,33 @@ def join_spread(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     """
     spark, rest = right.sparkSession, [c for c in right.columns if c not in (*keys, "n")]
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total, most = right.agg(F.sum("n"), F.max("n")).first()
-    bar = (total or 0) // parts
+    total, most = right.sizes
+    bar = total // parts
     even = right.where(F.col("n") <= bar).select(*keys, *rest)
-    if (most or 0) <= bar:
+    if most <= bar:
         return left.join(even, keys)
     hot = right.where(F.col("n") > bar).select(*keys, *rest)
     cool = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(even, keys)
     return left.join(F.broadcast(hot), keys).unionByName(cool)
 
 
-def buckets_for(rows: int, per_bucket: int = 50_000, least: int = 16) -> int:
+def running_total(df: DataFrame, value: str, by: str, out: str, group: list[str] | None = None, span: int = 1000) -> DataFrame:
+    """Append ``out``: the total of value over the rows of the group whose ``by``, a whole number from 0, is less.
+
+    Two levels: within spans of by, and over the spans' totals, so no window
+    holds more than span rows or one row a span.
+    """
+    group = group or []
+    s, n, base = (unused(df, x) for x in ("_s", "_n", "_base"))
+    rows = df.withColumn(s, F.floor(F.col(by) / span))
+    earlier = Window.partitionBy(*group).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*group, s).agg(F.sum(value).alias(n)).withColumn(base, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
+    within = Window.partitionBy(*group, s).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn(n, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return inside.join(sums, [*group, s]).withColumn(out, F.col(base) + F.col(n)).drop(s, n, base)
+
+
+def buckets_for(rows: int, per_bucket: int = 50_000, least: int = 256) -> int:
     """Number of hash buckets of about per_bucket rows."""
     return max(least, -(-rows // per_bucket))
 
@@ -196,6 +217,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def share_of(hash_: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 1, at the full resolution of a double."""
+    return F.shiftrightunsigned(hash_, 1).cast("double") / float(1 << 63)
+
+
 def words(text: Column) -> Column:
     """The words of a text, as an array; null or blank text has none."""
     blank = " \t\n\x0b\x0c\r"

@@ -17,10 +17,11 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
 
     Each round hangs every node's neighbours on its least neighbour, first the
     larger ones, then the smaller ones, until the edges are stars.  Least
-    neighbours are found by a map-side combined minimum and joined back, so
-    the neighbours of a hub are never gathered in one task.  A round's edges
-    are written to the shared folder, which cuts the lineage.  Null ends and
-    loops are dropped; no edges give no rows.
+    neighbours are found by a map-side combined minimum and joined back; those
+    of hubs, which are few, by broadcast (``common.join_spread``), so a hub's
+    neighbours are never gathered in one task.  A round's edges are written to
+    the shared folder, which cuts the lineage.  Null ends and loops are
+    dropped; no edges give no rows.
     """
     spark = edges.sparkSession
     u, v = F.col(f"`{a}`"), F.col(f"`{b}`")
@@ -35,16 +36,21 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
             common.remove(spark, paths[-3])
         return spark.read.schema(df.schema).parquet(paths[-1])
 
+    def hang(least: DataFrame) -> DataFrame:
+        return common.materialize(least, "least", counted="n")
+
     now = settled(now.distinct())
     before = _signature(now)
     for _ in range(max_rounds if before[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = hang(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = common.join_spread(both, least, ["u"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = settled(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        common.drop(least)
+        least = hang(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = common.join_spread(large, least, ["u"]).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = settled(small.where("u <> v").distinct())
+        common.drop(least)
         after = _signature(now)
         if after == before:
             break

@@ -88,21 +88,31 @@ def judge(
     return joined.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", kept.alias("kept"))
 
 
+#: The prior counts as at least, and at most, this many documents.
+LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1e6
+
+
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """(mean, strength) of the beta prior of failure rates, by moments: alpha = mean * strength.
+    """(mean, strength) of the beta prior of failure rates: alpha = mean * strength.
 
-    One row of sums comes to the driver.  Strength is held within 1 and 1e6
-    (hosts that all fail alike give no finite estimate).
+    Moments of the beta-binomial: of the spread of the hosts' observed rates,
+    what chance alone would give is taken off, and the rest is the spread of
+    their true rates.  Where none is left (hosts of one document each say
+    nothing of it), the prior is as strong as it may be, and hosts get the
+    corpus's rate.  One row of sums comes to the driver.
     """
-    rate = F.col("failed") / F.col("n")
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.sum(rate * F.col("failed")).alias("squares")).first()
+    total = hosts.agg(
+        F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.sum(F.col("n").cast("double") * F.col("n")).alias("n2"), F.sum(F.col("failed").cast("double") * F.col("failed") / F.col("n")).alias("f2")
+    ).first()
     if not total["n"]:
-        return 0.0, 1.0
+        return 0.0, LEAST_STRENGTH
     mean = total["failed"] / total["n"]
-    variance = max(0.0, total["squares"] / total["n"] - mean * mean)  # of rates, weighted by documents
-    between = mean * (1 - mean)
-    strength = 1e6 if variance <= 0 else min(1e6, max(1.0, between / variance - 1))
-    return mean, strength
+    chance, free = mean * (1 - mean), total["hosts"] - 1
+    room = total["n"] - total["n2"] / total["n"] - free
+    if chance <= 0 or room <= 0:
+        return mean, MOST_STRENGTH
+    alike = ((total["f2"] - mean * total["failed"]) / chance - free) / room  # correlation of a host's documents
+    return mean, MOST_STRENGTH if alike <= 1 / (MOST_STRENGTH + 1) else max(LEAST_STRENGTH, 1 / alike - 1)
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +138,11 @@ base as (
   from d left join rep using (doc_id)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base),
 h as (select source, count(*) as n, sum(base_failed::int) as failed from f where source is not null group by source),
-m as (select sum(failed) / sum(n) as mean, sum(failed * failed / n) / sum(n) as sq from h),
-p as (select mean, case when sq - mean * mean <= 0 then 1e6 else least(1e6, greatest(1.0, mean * (1 - mean) / (sq - mean * mean) - 1)) end as s from m),
+m as (
+  select sum(failed) / sum(n) as mean, count(*) - 1 as free, sum(n) - sum(n::double * n) / sum(n) - (count(*) - 1) as room,
+    sum(failed::double * failed / n) - sum(failed) / sum(n) * sum(failed) as spread from h),
+a as (select mean, case when mean * (1 - mean) <= 0 or room <= 0 then 0 else (spread / (mean * (1 - mean)) - free) / room end as alike from m),
+p as (select mean, case when alike <= 1 / (1e6 + 1) then 1e6 else greatest(1.0, 1 / alike - 1) end as s from a),
 r as (select source, (failed + mean * s) / (n + s) as rate from h, p)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and coalesce(rate, 0) <= 0.5 as kept

@@ -13,7 +13,9 @@ piece in each language, which are smoothed and normalised.
 Edge cases: null text or text without letters gives ``und`` with score 0; so
 does every text when nothing could be learned.  Rows with null language or
 text teach nothing.  Equal posteriors go to the smallest language name.
-Repeated rows count as often as they occur.  Extra columns are ignored.
+Repeated rows count as often as they occur.  Texts of any length are scored
+whole, and words of any length too.  An empty table gives no rows.  Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words whose scores a Python worker keeps.
-_KEPT = 200_000
+#: Words whose scores a Python worker keeps, none longer than _LONG; characters whose words a teaching task counts at a time.
+_KEPT, _LONG, _COUNTED = 200_000, 256, 50_000_000
 UNKNOWN = "und"
 
 
@@ -248,7 +250,11 @@ class Scorer:
         self.rows.update(zip(again + new, range(len(self.rows), len(self.rows) + len(missing))))
         self.scores = np.concatenate([self.scores, *found])
         get = self.rows.__getitem__
-        return np.array([self.scores[list(map(get, s))].sum(axis=0) for s in split]).reshape(len(split), -1)
+        out = np.array([self.scores[list(map(get, s))].sum(axis=0) for s in split]).reshape(len(split), -1)
+        for w in new:
+            if len(w) > _LONG:
+                del self.rows[w]
+        return out
 
 
 def _teach(path: str):
@@ -260,7 +266,7 @@ def _teach(path: str):
 
         import pyarrow as pa
 
-        pieces, seen, total = load_pieces(path), {}, {}
+        pieces, seen, total, held = load_pieces(path), {}, {}, 0
 
         def settle():
             for lang, words in seen.items():
@@ -272,8 +278,10 @@ def _teach(path: str):
                 part = batch.slice(at, 2000)
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     seen.setdefault(lang, Counter()).update(words_of(text))
-                if sum(map(len, seen.values())) > _KEPT:
+                    held += len(text)
+                if held > _COUNTED or sum(map(len, seen.values())) > _KEPT:
                     settle()
+                    held = 0
         settle()
         for lang, uses in total.items():
             some = uses.nonzero()[0]
@@ -293,7 +301,7 @@ def _predict(path: str, langs: list[str], table):
         held = common.worker_cache("language scorers")  # one, for all tasks of a job
         if langs and model not in held:
             held.clear()
-            held[model] = Scorer(path, table)
+            held[model] = Scorer(path, table.value)
         scorer = held.get(model)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
@@ -317,18 +325,19 @@ def train(docs: DataFrame, pieces_path: str, lang_col: str = "lang", text_col: s
 
     fit_rows bounds the rows that each language is learned from, in
     expectation: of a language with n > fit_rows rows, those are taken whose
-    hashed id falls into the first fit_rows / n of the range.  What comes to
-    the driver is a row count per language and a number per language and piece.
+    hashed id and text fall into the first fit_rows / n of the range.  What
+    comes to the driver is a row count per language and a number per language
+    and piece; the table is broadcast, 8 bytes a language and piece.
     """
     import numpy as np
 
-    rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.lit("fit")).alias("h")).where("lang is not null and text is not null")
+    rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit("fit")).alias("h")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((0, 0))
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, round(1_000_000 * min(1.0, fit_rows / counts[lang])))])
-    rows = rows.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, fit_rows / counts[lang]))])
+    rows = rows.where(common.share_of(F.col("h")) < share[F.col("lang")]).select("lang", "text")
     uses = rows.mapInArrow(_teach(pieces_path), "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toArrow()
     table = np.full((load_pieces(pieces_path).size, len(langs)), smoothing)
     at = {x: i for i, x in enumerate(langs)}
@@ -341,6 +350,7 @@ def identify(docs: DataFrame, pieces_path: str, taught: Column, id_col: str = "d
     langs, table = train(docs.where(taught), pieces_path, lang_col, text_col, id_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), (~F.coalesce(taught, F.lit(False))).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    table = docs.sparkSession.sparkContext.broadcast(table)
     return rows.mapInArrow(_predict(pieces_path, langs, table), f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 

@@ -134,13 +134,13 @@ def removals(docs: DataFrame, id_col="doc_id", text_col="text", gram_words: int
 
     # fingerprints that several positions share, and the windows that selected them
     marks = sequences.select("id", "key", F.explode("marks").alias("m")).select("id", "key", "m.mark", "m.windows")
-    shared = common.materialize(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "marks")
+    shared = common.materialize(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "marks", counted="n")
     met = common.join_spread(marks, shared, ["mark"]).select("id", "key", F.explode("windows").alias("w"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "w.start").alias("place")
     met = common.materialize(met.select("w.content", place, "w.end"), "windows")
 
     first = met.groupBy("content").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = common.materialize(first, "firsts")
+    first = common.materialize(first, "firsts", counted="n")
     later = common.join_spread(met, first, ["content"]).where("place > first")
     own = F.col("place.id").eqNullSafe(F.col("first.id")) & (F.col("place.key") == F.col("first.key"))
     later = later.where(~own | (F.col("first.start") + F.col("end") - F.col("place.start") <= F.col("place.start")))  # else it overlaps its own first occurrence

@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .token_counts import load_tokenizer
+from .token_counts import LONG, load_tokenizer
 
-#: Chunks that a Python worker keeps in each of two generations.
+#: Chunks that a Python worker keeps in each of two generations, none longer than LONG characters.
 _KEPT = 400_000
 
 
@@ -124,8 +124,13 @@ class ChunkEncoder:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = self.held["new"]
         new[""] = b""
-        self.learn(list(set().union(*split).difference(new)))
+        chunks = list(set().union(*split).difference(new))
+        self.learn(chunks)
         out = [b"".join(map(new.__getitem__, s)) for s in split]
+        for c in chunks:
+            if len(c) > LONG:
+                for key in (c, c.lower(), c.lower()[:-1]):  # the chunk, and the word that it was made of
+                    new.pop(key, None)
         if len(new) > _KEPT:
             self.held |= {"new": {}, "old": new}
         return out

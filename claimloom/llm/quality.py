@@ -15,8 +15,8 @@ documents aren't lost to the chance of the labels.
 Edge cases: null texts and texts without words have no importance (null) and
 are rejected; documents that tie with the k-th are kept; without labels
 nothing can be told apart and all documents with words are kept; repeated rows
-each count and share their noise; texts are read whole; extra columns are kept
-by ``select`` and ignored otherwise.
+each count and share their noise; texts are read whole; an empty table gives
+no rows; extra columns are kept by ``select`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def distinct_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame
 def labelled_sample(one: DataFrame, n: int, fit_rows: int) -> DataFrame:
     """(id, good), at most fit_rows of the n rows, by smallest hash."""
     if n > fit_rows:  # most are left out before the exact bound is drawn
-        one = one.where(F.pmod("h", F.lit(1_000_000)) < round(1_200_000 * fit_rows / n))
+        one = one.where(common.share_of(F.col("h")) < 1.2 * fit_rows / n)
     return one.orderBy("h").limit(fit_rows).select("id", "good")
 
 

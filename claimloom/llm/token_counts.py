@@ -23,8 +23,8 @@ from . import common
 
 #: White space other than space, tab and newline: a text that has some is encoded in one piece.
 _RARE_SPACE = "\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
-#: Distinct chunks that a Python worker keeps.
-_KEPT = 400_000
+#: Distinct chunks that a Python worker keeps, none longer than LONG characters.
+_KEPT, LONG = 400_000, 256
 
 
 def file_digest(path: str) -> str:
@@ -99,6 +99,9 @@ class ChunkCounter:
                 out[i] = n
         if len(cache) > _KEPT:
             cache.clear()
+        for c in todo:
+            if len(c) > LONG:
+                cache.pop(c, None)
         return out
 
 
@@ -140,7 +143,8 @@ def count_tokens(
     counted = misses.mapInArrow(_counts(tokenizer_path), "digest binary, n_tokens long")
     common.write(counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens"), cache_path, "append")
     sized = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sized.join(known(), "digest", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    found = sized.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).join(known(), "digest")
+    return common.join_spread(sized, common.materialize(found, "counts", counted="n"), ["digest"]).select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,18 @@ found as connected components; a class that holds a blocked url blocks all its
 members but those that a rule allows explicitly.
 
 A url is known by host, path and query: scheme and fragment don't tell two
-apart.  Links are followed if absolute, ``//host/...`` or ``/path``.
+apart.  Links are read by an HTML parser, so comments and scripts hold none and
+character references are decoded; ``rel`` is taken word by word; targets are
+resolved against the page's base (its first ``<base href>``, else its url) as
+RFC 3986 says.
+
+Hosts and urls that very many pages share are joined apart from the others
+(``common.join_spread``), so no task gets all pages of one.
 
 Edge cases: a null url or one without ``://`` has empty host and path, fits no
-rule, has no aliases and is allowed; repeated rows are judged alike; an empty
-table gives no rows; html of any length is searched whole; extra columns are
-ignored.
+rule, has no aliases and is allowed; a link whose target can't be resolved, or
+has no host then, is none; repeated rows are judged alike; an empty table gives
+no rows; html of any length is parsed whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,14 +42,14 @@ RULES = (
 )
 
 
-def parts(url: Column) -> dict[str, Column]:
-    """host, path and query of a url; host is empty without ``://``."""
-    url = F.coalesce(url.cast("string"), F.lit(""))
-    at = F.instr(url, "://")
-    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
-    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
-    tail = F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1)
-    return {"host": F.translate(host, UPPER, LOWER), "path": F.regexp_extract(tail, r"^[^?]*", 0), "query": F.regexp_extract(tail, r"(\?.*)$", 1)}
+def with_parts(df: DataFrame, url_col: str) -> DataFrame:
+    """df with host, path and query of a url in place of it; host is empty without ``://``."""
+    kept = [c for c in df.columns if c != url_col]
+    url = F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))
+    # in steps, so that no expression is written out more than once in the generated code
+    rest = df.select(*kept, F.when(F.contains(url, F.lit("://")), F.regexp_replace(url, r"(?s)^.*?://", "")).otherwise(F.lit("")).alias("_rest"))
+    tail = rest.select(*kept, F.translate(F.regexp_extract("_rest", r"^[^/?#]*", 0), UPPER, LOWER).alias("host"), F.regexp_extract("_rest", r"(?s)^[^/?#]*([^#]*)", 1).alias("_tail"))
+    return tail.select(*kept, "host", F.regexp_extract("_tail", r"^[^?]*", 0).alias("path"), F.regexp_extract("_tail", r"(?s)(\?.*)$", 1).alias("query"))
 
 
 def rule_table(spark: SparkSession, rules) -> DataFrame:
@@ -59,27 +65,81 @@ def decide(urls: DataFrame, rules: DataFrame) -> DataFrame:
     Rules are looked up once per distinct host: its suffixes at dots are joined
     with the rules' hosts, and the rules found are joined back to the urls.
     """
-    hosts = urls.select("host").distinct().where("host <> ''")
+    hosts = urls.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = hosts.withColumn("rule_host", F.explode(suffixes)).join(rules, "rule_host")
+    suffixes = common.let(labels, lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.array_join(F.slice(x, i, F.size(x)), ".")))
+    fitting = hosts.where("host <> ''").withColumn("rule_host", F.explode(suffixes)).join(rules, "rule_host")
     rule = F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("rule_path").alias("path"), F.col("verdict"))
-    by_host = fitting.groupBy("host").agg(F.collect_list(rule).alias("_rules"))
+    fitting = fitting.groupBy("host").agg(F.collect_list(rule).alias("_rules"))
+    by_host = common.materialize(hosts.join(fitting, "host", "left"), "hosts", counted="n")
     best = F.array_max(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["path"])))
-    joined = urls.join(by_host, "host", "left").withColumn("_best", best)
+    joined = common.join_spread(urls, by_host, ["host"]).withColumn("_best", best)
     return joined.withColumns({"rule": F.col("_best.rule"), "rule_verdict": F.col("_best.verdict")}).drop("_rules", "_best")
 
 
+def targets(url: str | None, html: str) -> list[str]:
+    """What a page's canonical links and refreshes point to, resolved."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    base, found = url or "", []
+
+    class Head(HTMLParser):
+        based = False
+
+        def handle_starttag(self, tag, attrs):
+            nonlocal base
+            got = {}
+            for name, value in attrs:
+                got.setdefault(name, value or "")  # of repeated attributes the first holds
+            if tag == "base" and "href" in got and not self.based:
+                self.based, base = True, resolved(got["href"])
+            elif tag == "link" and "canonical" in got.get("rel", "").lower().split():
+                found.append(got.get("href"))
+            elif tag == "meta" and got.get("http-equiv", "").strip().lower() == "refresh":
+                _, _, to = got.get("content", "").replace(",", ";", 1).partition(";")
+                name, equals, to = to.strip().partition("=")
+                if equals and name.strip().lower() == "url":
+                    found.append(to.strip().strip("\"'"))
+
+    def resolved(target: str) -> str:
+        target, (scheme, sep, _) = target.strip(" \t\n\r\f"), base.partition("://")
+        if not sep or not target:
+            return target
+        # schemes that the library doesn't take for hierarchical are resolved alike
+        joined = urljoin("http" + base[len(scheme) :], target)
+        return scheme + joined[4:] if joined.startswith("http://") and not target.lower().startswith("http:") else joined
+
+    parser = Head(convert_charrefs=True)
+    parser.feed(html)
+    parser.close()
+    out = []
+    for target in found:
+        try:
+            out.append(resolved(target or ""))
+        except ValueError:  # such as an unclosed bracket in the host
+            continue
+    return [t for t in out if "://" in t]
+
+
+def _links(batches):
+    common.claim_worker("links")
+    import pyarrow as pa
+
+    for batch in batches:
+        urls, ends = [], []
+        for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for target in targets(url, html):
+                urls.append(url)
+                ends.append(target)
+        yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(ends, pa.string())], ["url", "target"])
+
+
 def links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(url, target): canonical links and redirects that the pages' html declares."""
-    tags = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh[^>]*>"
-    some = pages.where(F.col(f"`{html_col}`").rlike(r"(?i)\bcanonical\b|\brefresh\b")).select(F.col(f"`{url_col}`").alias("url"), F.explode(F.regexp_extract_all(F.col(f"`{html_col}`"), F.lit(tags), F.lit(0))).alias("tag"))
-    href = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    target = F.when(href != "", href).otherwise(refresh)
-    root = F.regexp_extract("url", r"^([^:]*://[^/?#]*)", 1)
-    full = F.when(target.contains("://"), target).when(F.startswith(target, F.lit("//")), F.concat(F.lit("x:"), target)).when(F.startswith(target, F.lit("/")), F.concat(root, target))
-    return some.select("url", full.alias("target")).where("target is not null and target <> ''")
+    html = F.col(f"`{html_col}`").cast("string")
+    some = pages.where(html.rlike(r"(?i)canonical|refresh|&")).where(html.rlike(r"(?i)<\s*(link|meta)")).select(F.col(f"`{url_col}`").cast("string").alias("url"), html.alias("html"))
+    return some.mapInArrow(_links, "url string, target string")
 
 
 def _key() -> Column:
@@ -90,20 +150,26 @@ def judge(pages: DataFrame, rules, edges: DataFrame | None = None, id_col: str =
     """id, host, path, rule, verdict of every page; edges: further (url, target) redirects."""
     spark = pages.sparkSession
     table = rule_table(spark, rules) if not isinstance(rules, DataFrame) else rules
-    rows = pages.select(F.col(f"`{id_col}`").alias("id"), *[c.alias(n) for n, c in parts(F.col(f"`{url_col}`")).items()]).withColumn("key", _key())
-    ruled = decide(rows, table)
+    rows = with_parts(pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url")), "url").withColumn("key", _key()).drop("query")
 
     found = links(pages, url_col, html_col)
     if edges is not None:
         found = found.unionByName(edges.select("url", "target"))
-    ends = [found.select(*[c.alias(n) for n, c in parts(F.col(e)).items()], *[F.col(x) for x in ("url", "target")]).withColumn(e + "_key", _key()).drop("host", "path", "query") for e in ("url",)][0]
-    ends = ends.select("url_key", *[c.alias(n) for n, c in parts(F.col("target")).items()]).withColumn("target_key", _key()).select("url_key", "target_key")
-    classes = connected_components(ends, "url_key", "target_key")
-    members = classes.select("component", F.col("node").alias("key"), F.regexp_extract("node", r"^[^/?]*", 0).alias("host"), F.regexp_extract("node", r"^[^/?]*([^?]*)", 1).alias("path"))
+    ends = with_parts(found, "url").select("target", _key().alias("url_key"))
+    ends = with_parts(ends, "target").select("url_key", _key().alias("target_key")).where("url_key is not null and target_key is not null")
+    ends = common.materialize(ends.distinct(), "links")
+    if not ends.limit(1).count():
+        ruled = decide(rows, table)
+        return ruled.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
+    classes = common.materialize(connected_components(ends, "url_key", "target_key"), "classes")
+    members = classes.select("component", F.col("node").alias("key"), F.regexp_extract("node", r"^[^/?]*", 0).alias("host"), F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1).alias("path"))
     bad = decide(members, table).where("rule_verdict = 'block'").select("component").distinct()
     blocked = classes.join(bad, "component", "left_semi").select(F.col("node").alias("key"), F.lit(True).alias("blocked"))
+    named = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(blocked, "key", "left")
+    aliased = common.join_spread(rows, common.materialize(named, "blocked", counted="n"), ["key"]).unionByName(rows.where("key is null").withColumn("blocked", F.lit(None).cast("boolean")))
+    ruled = decide(aliased, table)
     verdict = F.coalesce("rule_verdict", F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))
-    return ruled.join(blocked, "key", "left").select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
+    return ruled.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

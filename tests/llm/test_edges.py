@@ -152,3 +152,45 @@ def test_neighbours(spark):
     assert [r["vec_id"] for r in got] == [1, 2, 8, 7] and got[0]["score"] == 1.0 and got[3]["score"] == 0.0
     none = ann.Index(vectors.limit(0))
     assert none.search(none.rows.select("id", "vector")).count() == 0
+
+
+def test_links_of_odd_pages(spark):
+    page = "http://www.site.org/a/b?q"
+    link = lambda attrs, more="": f"<html>{more}<head><link {attrs}></head>"
+    cases = {
+        link('rel="canonical" href="p"'): ["http://www.site.org/a/p"],
+        link('rel="canonical" href="../es/9"'): ["http://www.site.org/es/9"],
+        link('rel=canonical href="?x=1&amp;y=2"'): ["http://www.site.org/a/b?x=1&y=2"],
+        link('rel="nofollow Canonical" href=//x.net/es/'): ["http://x.net/es/"],
+        link('rel="canonical" href="c"', '<base href="https://o.org/d/e">'): ["https://o.org/d/c"],
+        link('data-rel="canonical" href="http://x.net/es/"'): [],
+        link('rel="canonical"'): [],
+        link('rel="canonical" href="http://[x/"'): [],
+        link('rel="canonical" href="mailto:a@x.net"'): [],
+        '<!-- <link rel="canonical" href="http://x.net/es/"> -->': [],
+        '<script>"<link rel=canonical href=http://x.net/es/>"</script>': [],
+        '<meta http-equiv="Refresh" content="0; URL=\'/k\'">': ["http://www.site.org/k"],
+        '<meta http-equiv="refresh" content="5">': [],
+        "": [],
+    }
+    for html, found in cases.items():
+        assert url_filter.targets(page, html) == found, html
+    assert url_filter.targets("x://h/a/b", link('rel=canonical href="c"')) == ["x://h/a/c"]
+    assert url_filter.targets(None, link('rel=canonical href="c"')) == []
+    rows = [(1, page, link('rel="canonical" href="http://x.net/es/9"')), (2, "http://www.site.org/a/p", link('rel=canonical href="b?q"')), (2, "http://www.site.org/a/p", None), (3, "http://k.com/", link('rel=canonical href="http://www.site.org/a/b?q"')), (4, None, link('rel=canonical href="http://x.net/es/9"'))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["verdict"]) for r in url_filter.judge(df, url_filter.RULES).collect())
+    assert got == [(1, "block"), (2, "block"), (2, "block"), (3, "allow"), (4, "allow")]
+
+
+def test_single_document_hosts_condemn_nobody(spark):
+    good, bad = " ".join(f"w{i}" for i in range(60)), "short"
+    alone = [(i, bad if i % 10 == 0 else good, f"h{i}") for i in range(2000)]
+    got = host_rules.judge(spark.createDataFrame(alone, "doc_id long, text string, source string")).collect()
+    assert all(r["kept"] != r["base_failed"] for r in got) and {round(r["host_rate"], 3) for r in got} == {0.1}
+    # two failures of three among hosts that differ no more than by chance say little; among hosts that do differ, much
+    three = [(9000 + k, bad if k < 2 else good, "three") for k in range(3)]
+    rate = lambda rows: {r["host"]: r["host_rate"] for r in host_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).join(spark.createDataFrame(rows, "doc_id long, t string, host string"), "doc_id").collect()}
+    assert rate(alone + three)["three"] < 0.2
+    apart = [(i, bad if i % 50 < (45 if i < 500 else 1) else good, f"h{i // 50}") for i in range(2000)]
+    assert rate(apart + three)["three"] > 0.4
