@@ -164,6 +164,22 @@ def join_spread(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return left.join(F.broadcast(hot), keys).unionByName(cool)
 
 
+def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with ``out``: each row's place, from 0, in the order.
+
+    Rows are dealt by ranges of the order and counted in each, so no task holds
+    more than a range, and the window over ranges has one row for each task.
+    """
+    part, nth, base, n = (unused(df, x) for x in ("_part", "_nth", "_from", "_n"))
+    keys = [unused(df, f"_k{i}") for i in range(len(order))]
+    rows = df.withColumns(dict(zip(keys, order))).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = materialize(rows.withColumn(part, F.spark_partition_id()).withColumn(nth, F.monotonically_increasing_id()).drop(*keys), "ranges")
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias(n), F.min(nth).alias(base))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(base, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(base)).drop(n)
+    return rows.join(F.broadcast(counts), part).withColumn(out, F.col(nth) + F.col(base)).drop(part, nth, base)
+
+
 def running_total(df: DataFrame, value: str, by: str, out: str, group: list[str] | None = None, span: int = 1000) -> DataFrame:
     """Append ``out``: the total of value over the rows of the group whose ``by``, a whole number from 0, is less.
 

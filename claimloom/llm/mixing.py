@@ -48,15 +48,15 @@ def shuffled(x: Column, n: Column, *key, rounds: int = 20) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
-    """(source, size) -> source_id, source, source_size, target.
+    """(source, size) -> source_id, source, source_size, n_docs, target.
 
     One row per source.  Sources stand by code point, null last, with weights
     repeating.  The level (words per unit of weight) is raised until targets,
     each stopped at max_repeats times its source's size, add up to all words;
     only sums come to the driver.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ordered = totals.withColumn("source_id", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1)
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    ordered = common.ranked(totals, [F.col("source").isNull(), F.col("source")], "source_id")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("source_id") % len(weights) + 1).cast("int"))
     ordered = common.materialize(ordered.withColumn("weight", weight), "sources")
     most = F.lit(max_repeats) * F.col("source_size")
@@ -69,17 +69,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int)
             break
         stopped, level = got["n"], (all_words - got["held"]) / got["open"]
     target = F.least(most.cast("double"), F.lit(level) * F.col("weight"))
-    return ordered.select("source_id", "source", "source_size", target.alias("target"))
+    return ordered.select("source_id", "source", "source_size", "n_docs", target.alias("target"))
 
 
 class Mix:
     """A mix of documents: where each document stands, and how often each block is taken."""
 
-    def __init__(self, rows: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, block_words: int = 64, shard_slots: int = 4096, seed: int = 0):
+    def __init__(self, rows: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, block_words: int = 256, shard_slots: int = 4096, seed: int = 0):
         """rows: source, size and columns that tell rows apart."""
         self.block_words, self.key = block_words, [c for c in rows.columns if c not in ("source", "size")]
         self.targets = targets = source_targets(rows, weights, max_repeats)
-        joined = rows.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_id", "t.source_size", "t.target")
+        # a null source is told apart by a flag, so that sources are joined by equality and large ones apart
+        known = targets.select(F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_name"), "source_id", "source_size", "target", F.col("n_docs").alias("n"))
+        own = rows.withColumns({"_none": F.col("source").isNull(), "_name": F.coalesce("source", F.lit(""))})
+        joined = common.join_spread(own, common.materialize(known, "targets", counted="n"), ["_none", "_name"]).drop("_none", "_name")
         n_buckets = common.buckets_for(rows.count())
         self.placed = common.materialize(common.global_index(joined, ["source_id"], [*self.key, "size"], n_buckets, "start", size="size"), "stream")
 
@@ -88,8 +91,7 @@ class Mix:
         plan = plan.withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
         # the words of the last slot, where the last pass is not whole
         plan = plan.withColumns({"slots": F.expr(f"passes * blocks + (rest + {block_words - 1}) div {block_words}"), "cut": F.when(F.col("rest") > 0, (F.col("rest") - 1) % block_words + 1)}).where("slots > 0")
-        before = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
-        plan = plan.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+        plan = common.running_total(plan, "slots", "source_id", "first")
         self.plan = plan = common.materialize(plan.select("source_id", "blocks", "slots", "first", "full", "passes", "cut"), "slots")
         self.all_slots = all_slots = plan.agg(F.sum("slots")).first()[0] or 0
 
@@ -101,9 +103,8 @@ class Mix:
         slots = chunks.withColumn("slot", one).select("source_id", (F.col("first") + F.col("slot")).alias("slot"))
         dealt = slots.select("source_id", F.floor(shuffled(F.col("slot"), F.lit(max(1, all_slots)).cast("long"), F.lit(seed)) / shard_slots).alias("shard"))
         counts = dealt.groupBy("source_id", "shard").agg(F.count(F.lit(1)).alias("n"))
-        by_shard = Window.partitionBy("source_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         #: Per output shard and source: slots drawn, and the source's slots in earlier shards.
-        self.counts = counts.withColumn("from", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
+        self.counts = common.materialize(common.running_total(common.materialize(counts, "drawn"), "n", "shard", "from", ["source_id"]), "shards")
 
         of = [c for c in plan.columns if c != "first"]
         numbered = self.counts.join(plan.select(*of), "source_id").repartition(width, "source_id", "shard").select("shard", *of, F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("nth"))
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return done.taken().select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", block_words: int = 256, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", **options) -> DataFrame:
     """The documents of the mix, with the columns of docs.
 
     A document comes once for each pass that takes words of it: whole where
@@ -160,7 +161,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     same = Window.partitionBy("id", "key").orderBy("source")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), digest.alias("key"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(text).alias("size"))
     rows = common.materialize(rows.withColumn("twin", F.row_number().over(same)), "sizes")
-    done = Mix(rows, block_words=block_words, **options)
+    done = Mix(rows, **options)
     part = F.struct("from", "n", "uses")
     # a document's list is no longer than the document
     lists = done.taken_blocks().where("uses > 0").groupBy("id", "key", "twin").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("uses").alias("most"), F.sum("n").alias("held"), F.first("size").alias("size"))
