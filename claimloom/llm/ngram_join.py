@@ -12,21 +12,38 @@ copies share a class.
    stored.  A set's prefix holds its first n - ceil(0.8 n) + 1 tokens under one
    global order, so linked sets share a prefix token, and linked sets of
    different groups put a token into both groups' unions.  The order has
-   tokens that very many documents carry last, the others by hash, so common
-   passages stay out of prefixes.
-3. *Bound and open.*  Pairs of groups that share a token are candidates.  The
-   members of the smaller are queries against blocks of the larger: a query's
-   overlap with the block's whole token union bounds its overlap with any
-   member, and only blocks where the bound reaches 80 % are opened and their
-   members verified exactly.
+   tokens that very many documents carry last, the rarer of them before the
+   more frequent, and all others by hash before.  So what sets have of their
+   own comes first, and common passages stay out of prefixes where they can.
+3. *Bound and open.*  Pairs of groups that share a token are candidates.  Of a
+   pair that links, the first shared token stands at places i and j with
+   i + j <= (n + m) / 9, as all before it differ; so one of the two has it
+   among its first ninth.  A token that is ordered last pairs only rows of
+   which one has it there, and only within that sum: sets that share a licence
+   or a passage, but have more than a ninth of their own, never meet over it.
+   The members of the smaller group are queries against blocks of the larger:
+   a query's overlap with the block's whole token union bounds its overlap
+   with any member, and only blocks where the bound reaches 80 % are opened and
+   their members verified.
 
 Every link between sets of different groups is found; sets of one group are
 connected by verified links.  Components of both kinds of links give the
-result.
+result.  Work that isn't linear is left only where very many texts, not
+linked with one another, lie just below the threshold: their pairs are looked at.
+
+Buckets, tokens and sets that very many rows share are split: joins on them
+deal their rows over tasks by a second hash, and repeat the other side.
+
+Shingles are 64-bit hashes, sets are told apart by 128-bit hashes of theirs:
+two shingles of a pair of documents with k words are taken for one with a
+chance of about k^2 / 2^65, and the result is exact but for that.
 
 Edge cases: null texts, empty and blank texts have no shingles and link with
-nothing; shorter texts are one shingle; repeated rows are copies; null ids take
-part, but name no component; texts are read whole; extra columns are ignored.
+nothing; shorter texts are one shingle; repeated rows are copies; of sets that
+tie as the least of a bucket or group the first by hash leads it, and
+components are named by the least id whichever leads; null ids take part, but
+name no component; texts are read whole; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +56,10 @@ from .components import connected_components
 
 #: Min-hash keys of a set, and tokens in a key.
 BANDS, BAND_TOKENS = 5, 2
-#: Tokens in more heads than this are ordered last; at most HOT_MOST of them, 8 bytes each, are broadcast.
+#: Tokens in more heads than this are ordered last; at most HOT_MOST of them, 12 bytes each, are broadcast.
 HOT_COUNT, HOT_MOST = 32, 1 << 20
+#: Rows of one token, or one set, that a task of a join gets.
+DEALT = 2000
 #: Members of a block that one task opens at a time.
 BLOCK = 512
 #: Ids that are broadcast to select texts; more are joined by a shuffle.
@@ -159,24 +178,40 @@ def _count_tokens(batches):
             yield pa.RecordBatch.from_arrays([pa.array(((token ^ low) | np.minimum(count, 255).astype(np.uint64)).view(np.int64))], ["packed"])
 
 
+def put_in_order(tokens, counts):
+    """(tokens, ranks): distinct tokens sorted, and the place of each by ascending count."""
+    import numpy as np
+
+    tokens, first = np.unique(tokens, return_inverse=True)
+    most = np.zeros(len(tokens), np.int64)
+    np.maximum.at(most, first, counts)
+    ranks = np.empty(len(tokens), np.uint64)
+    ranks[np.lexsort((tokens, most))] = np.arange(len(tokens), dtype=np.uint64)
+    return tokens, ranks
+
+
 def ordered_prefix(tokens, n: int, percent: int, late):
     """(prefix, whether tokens were enough) of a set of n, of which the first by hash are given.
 
-    The order of all tokens is that of a number: whether the token is put last
-    in its highest bit, its hash below.  Prefixes hold these numbers, sorted.
+    The order of all tokens is that of a number: the token's hash without its
+    lowest bit; or, where the token is put last, the highest bit, its rank
+    among those, and the eight bits that the ranks don't tell apart.  Prefixes
+    hold these numbers, sorted.
     """
     import numpy as np
 
     p = prefix_length(n, percent)
-    keys = tokens >> np.uint64(1)
-    if not len(late):
+    keys, (names, ranks) = tokens >> np.uint64(1), late
+    if not len(names):
         return keys[:p], True
     masked = tokens | np.uint64(255)
-    put_last = late[np.minimum(np.searchsorted(late, masked), len(late) - 1)] == masked
+    at = np.minimum(np.searchsorted(names, masked), len(names) - 1)
+    put_last = names[at] == masked
     first = keys[~put_last][:p]
     if len(first) == p:
         return first, True
-    return np.concatenate([first, keys[put_last][: p - len(first)] | np.uint64(1 << 63)]), len(tokens) == n
+    last = np.uint64(1 << 63) | (ranks[at[put_last]] << np.uint64(8)) | (tokens[put_last] & np.uint64(255))
+    return np.concatenate([first, np.sort(last)[: p - len(first)]]), len(tokens) == n
 
 
 def _prefixes(percent: int, late):
@@ -321,43 +356,6 @@ def _open(percent: int):
     return run
 
 
-def _paired(percent: int):
-    """Two blocks of a coarse group, by their whole sets -> links that connect what links connect.
-
-    Links that close a circle aren't given, so there are fewer than sets.
-    """
-
-    def run(key, left, right):
-        common.claim_worker("shingles")
-        import numpy as np
-        import pyarrow as pa
-
-        a, b = [], []
-        if left.num_rows and right.num_rows:
-            block = Block(right, "tokens")
-            who, sizes = right.column("class").to_pylist(), np.array(list(map(len, block.sets)))
-            root: dict = {}
-
-            def find(x):
-                while root.setdefault(x, x) != x:
-                    root[x] = x = root[root[x]]
-                return x
-
-            for name, own in zip(left.column("name").to_pylist(), _arrays(left.column("own").combine_chunks())):
-                bound, shared = block.shared(own)
-                if 100 * bound < percent * max(len(own), int(sizes.min())):
-                    continue
-                for k in np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared)):
-                    x, y = find(name), find(who[k])
-                    if x != y:
-                        root[x] = y
-                        a.append(name)
-                        b.append(who[k])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return run
-
-
 class Join:
     """Documents, their classes, and the components of links between classes.
 
@@ -387,12 +385,11 @@ class Join:
         prefixes = self.sets.where("not short").select("class", "n", "prefix")
         if missing.limit(1).count():
             prefixes = prefixes.unionByName(self._with_tokens(missing).mapInArrow(_whole_prefixes(percent, self.late), whole))
-        #: dense: the prefix reaches into the tokens that are put last (their numbers are negative)
-        self.prefixes = common.materialize(prefixes.withColumn("dense", F.element_at("prefix", -1) < 0), "prefixes")
-        self.components = self._across(self._groups(), self._dense())
+        self.prefixes = common.materialize(prefixes, "prefixes")
+        self.components = self._across(self._groups())
 
     def _put_last(self, own: DataFrame, made: str):
-        """Broadcast of the tokens (their low 8 bits set) that the order puts last, sorted: HOT_MOST at most.
+        """Broadcast of the tokens (their low 8 bits set) that the order puts last, and their ranks: HOT_MOST at most.
 
         They are those in more than HOT_COUNT stored heads; and, as sets that
         are left with too short a head must look further, those in more than
@@ -402,22 +399,26 @@ class Join:
         import numpy as np
 
         spark = own.sparkSession
-        found = self._frequent(own.select("head"), HOT_MOST)
+        found, counts = self._frequent(own.select("head"), HOT_MOST)
         common.tidy(spark)
         for _ in range(3):
-            held = spark.sparkContext.broadcast(found)
+            held = spark.sparkContext.broadcast(put_in_order(found, counts))
             short = own.mapInArrow(_prefixes(self.percent, held), made).where("short").select("class").distinct()
             short = common.materialize(short, "short")
             if not short.limit(1).count():
+                return held
+            tokens = self._with_tokens(short)
+            more, n = self._frequent(tokens.select("tokens"), HOT_MOST)
+            common.drop(short, tokens)
+            known = np.isin(more, found)
+            room = np.flatnonzero(~known)[: HOT_MOST - len(np.unique(found))]
+            found, counts = np.concatenate([found, more[known], more[room]]), np.concatenate([counts, n[known], n[room]])
+            if not len(room):
                 break
-            more = np.setdiff1d(self._frequent(self._with_tokens(short).select("tokens"), HOT_MOST), found)[: HOT_MOST - len(found)]
-            if not len(more):
-                break
-            found = np.union1d(found, more)
-        return spark.sparkContext.broadcast(found)
+        return spark.sparkContext.broadcast(put_in_order(found, counts))
 
     def _frequent(self, lists: DataFrame, most: int):
-        """Tokens in more than HOT_COUNT of the lists, the most frequent ``most`` of them at most."""
+        """(tokens, counts) of those in more than HOT_COUNT of the lists, the most frequent ``most`` of them at most."""
         import numpy as np
 
         packed = lists.mapInArrow(_count_tokens, "packed long")
@@ -431,8 +432,11 @@ class Join:
             if total > most:
                 least = 2 ** ((b + 1) / 4)
                 break
-        tokens = counts.where(F.col("n") >= least).select("token").toArrow().column("token").to_numpy()
-        return np.sort(tokens.view(np.uint64))
+        found = counts.where(F.col("n") >= least).toArrow()
+        common.drop(counts)
+        tokens, n = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
+        by = np.argsort(-n, kind="stable")
+        return tokens[by], n[by]
 
     def _with_tokens(self, classes: DataFrame) -> DataFrame:
         """(class, tokens) of the given distinct classes, from the text of one document each."""
@@ -459,100 +463,100 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in got], pa.binary()), _lists(got)], ["class", "tokens"])
 
         found = texts.select("text").mapInArrow(made, "class binary, tokens array<long>")
-        return common.materialize(found.join(chosen, "class", "left_semi").dropDuplicates(["class"]), "tokens")
+        held = common.materialize(found.join(chosen, "class", "left_semi").dropDuplicates(["class"]), "tokens")
+        common.drop(one)
+        return held
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link."""
+        """The pairs (a, b) of classes that link.
+
+        A set with many pairs is sent to several tasks, DEALT pairs each.
+        """
         pairs = common.materialize(pairs, "pairs")
         tokens = self._with_tokens(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-        both = pairs.join(tokens.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b").join(tokens.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a")
+        many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEALT).alias("k")).where("k > 1")
+        many = common.materialize(many, "many")
+        few = not many.limit(1).count()
+        left = tokens.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
+        if few:
+            dealt, left = pairs.withColumn("slot", F.lit(0).cast("long")), left.withColumn("slot", F.lit(0).cast("long"))
+        else:
+            small = many.count() <= BROADCAST_IDS
+            many = F.broadcast(many) if small else many
+            dealt = pairs.join(many, "a", "left").withColumn("slot", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1)))).drop("k")
+            left = left.join(many, "a", "left").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+        both = dealt.join(tokens.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b").join(left, ["a", "slot"])
         both = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("shared"))
-        return both.where(100 * F.col("shared") >= self.percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+        links = both.where(100 * F.col("shared") >= self.percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+        links = common.materialize(links, "links")
+        common.drop(pairs, tokens)
+        return links
 
     def _groups(self) -> DataFrame:
-        """(class, component) of sets in a group of several, connected by verified links to the first of their buckets.
-
-        Dense sets, of which buckets may be large, have groups of their own.
-        """
-        some = self.sets.join(self.prefixes.where("not dense").select("class"), "class", "left_semi")
-        keys = some.select("class", "n", F.posexplode("bands").alias("band", "key"))
-        least = keys.groupBy("band", "key").agg(F.min(F.struct("class", "n")).alias("first"), F.max("class").alias("last")).where(F.col("first.class") < F.col("last"))
-        pairs = keys.join(least, ["band", "key"]).where(F.col("class") > F.col("first.class"))
-        pairs = pairs.where((100 * F.col("n") >= self.percent * F.col("first.n")) & (100 * F.col("first.n") >= self.percent * F.col("n")))
+        """(class, component) of sets in a group of several, connected by verified links to the first of their buckets."""
+        keys = self.sets.select("class", "n", F.posexplode("bands").alias("band", "key"))
+        least = keys.groupBy("band", "key").agg(F.min(F.struct("class", "n")).alias("first"), F.max("class").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first.class") < F.col("last")).drop("last")
+        least = common.materialize(least.select("band", "key", "first", F.col("n").alias("rows")).withColumnRenamed("rows", "n"), "buckets", counted="n")
+        pairs = common.join_spread(keys.withColumnRenamed("n", "size"), least, ["band", "key"]).where(F.col("class") > F.col("first.class"))
+        pairs = pairs.where((100 * F.col("size") >= self.percent * F.col("first.n")) & (100 * F.col("first.n") >= self.percent * F.col("size")))
         links = self._verified(pairs.select(F.col("first.class").alias("a"), F.col("class").alias("b")).distinct())
-        found = common.materialize(connected_components(common.materialize(links, "links"), "a", "b").withColumnRenamed("node", "class"), "parts")
+        found = common.materialize(connected_components(links, "a", "b").withColumnRenamed("node", "class"), "parts")
         common.tidy(self.signed.sparkSession)
         return found
 
-    def _dense(self) -> DataFrame:
-        """Links between dense sets that share a token put last, so far as they connect.
-
-        Sets and such tokens form coarse groups: connected components, so any
-        two sets with such a token in both prefixes are in one.  Their members,
-        by size, form blocks of BLOCK sets, and pairs of blocks whose sizes
-        allow a link are compared in one task each.
-        """
-        spark, t = self.signed.sparkSession, self.percent
-        dense = self.prefixes.where("dense").select("class", "n", "prefix")
-        node = F.xxhash64("class").bitwiseAND(F.lit((1 << 63) - 1))  # tokens put last are negative
-        dense = common.materialize(dense.select("class", "n", node.alias("node"), F.filter("prefix", lambda x: x < 0).alias("tokens")), "dense")
-        edges = dense.select("node", F.explode("tokens").alias("token"))
-        coarse = connected_components(edges, "node", "token").where("node >= 0")
-        members = dense.select("class", "n", "node").join(coarse, "node").select("class", "n", "component")
-        members = common.materialize(members, "coarse")
-        sizes = members.groupBy("component", "n").agg(F.count(F.lit(1)).alias("m"))
-        # members stand by size; those of one size are spread over its blocks by a hash
-        before = Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = sizes.withColumn("first", F.coalesce(F.sum("m").over(before), F.lit(0)))
-        placed = members.join(sizes, ["component", "n"]).withColumn("block", F.floor((F.col("first") + F.pmod(F.xxhash64("class"), F.col("m"))) / BLOCK))
-        placed = common.materialize(placed.select("class", "n", "component", "block"), "placed")
-        blocks = placed.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-        x, y = blocks.alias("x"), blocks.alias("y")
-        near = (F.col("x.component") == F.col("y.component")) & (F.col("x.block") <= F.col("y.block")) & (100 * F.col("x.high") >= t * F.col("y.low"))
-        pairs = common.materialize(x.join(y, near).select(F.col("x.component").alias("component"), F.col("x.block").alias("i"), F.col("y.block").alias("j")), "block-pairs")
-        tokens = self._with_tokens(dense.select("class"))
-        whole = placed.join(tokens, "class").select("class", "component", "block", "tokens")
-        left = pairs.join(whole, (pairs["component"] == whole["component"]) & (pairs["i"] == whole["block"])).select(pairs["component"].alias("c"), "i", "j", F.col("class").alias("name"), F.col("tokens").alias("own"))
-        right = pairs.alias("p").join(whole.alias("w"), (F.col("p.component") == F.col("w.component")) & (F.col("p.j") == F.col("w.block"))).select(F.col("p.component").alias("d"), F.col("p.i").alias("k"), F.col("p.j").alias("l"), "class", "tokens")
-        links = left.groupBy("c", "i", "j").cogroup(right.groupBy("d", "k", "l")).applyInArrow(_paired(t), "a binary, b binary")
-        links = common.materialize(links, "dense-links")
-        common.tidy(spark)
-        return links
-
-    def _across(self, found: DataFrame, dense: DataFrame) -> DataFrame:
-        """(class, root) of classes with a link; found: groups, dense: links between dense sets."""
+    def _numbered(self, members: DataFrame) -> DataFrame:
+        """members with g, a number of the group (or of a set that is alone) that no other has."""
+        name = F.coalesce("component", "class")
+        for seed in range(8):
+            out = members.withColumn("g", F.xxhash64(name, F.lit(seed)))
+            same = out.groupBy("g").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low < high")
+            if not same.limit(1).count():
+                return out
+        raise RuntimeError("group numbers collide")
+
+    def _across(self, found: DataFrame) -> DataFrame:
+        """(class, root) of classes with a link; found: groups."""
         spark, t = self.signed.sparkSession, self.percent
         parts = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
-        members = self.prefixes.join(parts, "class", "left").withColumn("g", F.xxhash64(F.coalesce("component", "class")))
+        members = self._numbered(self.prefixes.join(parts, "class", "left"))
 
-        # the matrix: a row per token and group, with the token's place in the prefix and the size of single sets
+        # the matrix: a row per token and group, with the token's place in the prefix and the size of single sets;
+        # early: the token is among the first ninth of a set's, or of some member's
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        cell = members.select("g", "component", "n", F.posexplode("prefix").alias("place", "token")).where("token >= 0")
+        cell = members.select("g", "component", "n", F.posexplode("prefix").alias("place", "token"))
+        cell = cell.withColumn("early", (100 + t) * F.col("place") <= (100 - t) * F.col("n"))
         one = F.least(F.col("place"), F.lit((1 << 20) - 1)).cast("long") + F.col("n") * (1 << 20)
-        single = cell.where("component is null").select("token", "g", one.alias("info"))
-        several = cell.where("component is not null").select("token", "g", F.lit(-1).cast("long").alias("info")).distinct()
+        single = cell.where("component is null").select("token", "g", one.alias("info"), "early")
+        several = cell.where("component is not null").groupBy("token", "g").agg(F.lit(-1).cast("long").alias("info"), F.max("early").alias("early"))
         matrix = single.unionByName(several).repartition(width, "token")
-        shared = matrix.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("token")
-        matrix = common.materialize(matrix.join(shared.hint("shuffle_hash"), "token", "left_semi"), "matrix")
+        shared = matrix.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("k")).where("low < high").select("token", "k")
+        matrix = common.materialize(matrix.join(shared.hint("shuffle_hash"), "token"), "matrix")
         common.tidy(spark)
 
-        x, y = matrix.alias("x"), matrix.alias("y")
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g"))).select(F.col("x.g").alias("g"), F.col("y.g").alias("h"), F.col("x.info").alias("i"), F.col("y.info").alias("j"))
-        near = met.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
-        # bound for single sets: up to the last shared token, and up to the end of the prefix that ends first, what isn't
-        # shared differs (places among tokens that aren't put last; prefixes may go on with those that are)
+        # two rows of a token meet once: both before the tokens that are put last (which are negative), or one early
+        x = matrix.where("early or token >= 0").withColumn("slot", F.pmod(F.hash("g"), F.col("k"))).alias("x")
+        y = matrix.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).alias("y")
         n, m = F.shiftright("i", 20), F.shiftright("j", 20)
-        at = lambda info: F.col(info).bitwiseAND(F.lit((1 << 20) - 1)) + 1
-        differ = at("i") + at("j") - 2 * F.col("c")
-        alone = (F.col("i") >= 0) & (F.col("j") >= 0)
-        fits = (100 * n >= t * m) & (100 * m >= t * n) & ((100 + t) * differ <= (100 - t) * (n + m))
+        at = lambda info: F.col(info).bitwiseAND(F.lit((1 << 20) - 1))
+        once = (F.col("x.g") < F.col("y.g")) | ((F.col("x.token") < 0) & ~F.col("y.early") & (F.col("x.g") != F.col("y.g")))
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.slot") == F.col("y.slot")) & once)
+        turn, late = F.col("x.g") > F.col("y.g"), F.col("x.token") < 0
+        pick = lambda a, b, name: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(name)
+        met = met.select(late.alias("late"), pick("x.g", "y.g", "g"), pick("y.g", "x.g", "h"), pick("x.info", "y.info", "i"), pick("y.info", "x.info", "j"))
+        alone, sizes = (F.col("i") >= 0) & (F.col("j") >= 0), (100 * n >= t * m) & (100 * m >= t * n)
+        first = ~F.col("late") | ((100 + t) * (at("i") + at("j")) <= (100 - t) * (n + m))
+        near = met.where(~alone | (sizes & first)).groupBy("g", "h").agg(F.count_if(~F.col("late")).alias("c"), F.max(F.when(~F.col("late"), F.col("i"))).alias("ci"), F.max(F.when(~F.col("late"), F.col("j"))).alias("cj"), F.max("i").alias("i"), F.max("j").alias("j"))
+        # bound for single sets that share tokens before those put last: up to the last of these, what isn't shared differs
+        differ = at("ci") + at("cj") + 2 - 2 * F.col("c")
+        fits = (F.col("c") == 0) | ((100 + t) * differ <= (100 - t) * (n + m))
         near = common.materialize(near.where(~alone | fits).select("g", "h", alone.alias("alone")), "near")
+        common.drop(matrix)
 
         named = members.select("class", "g", "n", "prefix")
         names = common.materialize(named.join(near.select(F.explode(F.array("g", "h")).alias("g")).distinct(), "g", "left_semi"), "members")
         a, b = names.select("g", F.col("class").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), names.select(F.col("g").alias("h"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
         pairs = near.where("alone").join(a, "g").join(b, "h").mapInArrow(_pair_bound(t), "a binary, b binary")
-        links = self._verified(pairs).unionByName(self._opened(near.where("not alone"), names)).unionByName(dense)
+        links = self._verified(pairs).unionByName(self._opened(near.where("not alone"), names))
         inner = found.where(F.col("class") != F.col("component")).select(F.col("class").alias("a"), F.col("component").alias("b"))
         return connected_components(common.materialize(links, "cross").unionByName(inner), "a", "b").select(F.col("node").alias("class"), F.col("component").alias("root"))
 

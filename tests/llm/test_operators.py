@@ -105,6 +105,39 @@ def test_jaccard_brute_force(spark, monkeypatch, seed, hot):
     assert {r["id"]: (r["n"], r["component"]) for r in got} == brute_components(rows)
 
 
+@pytest.mark.parametrize("own", [8, 30, 90])
+def test_jaccard_of_much_boilerplate(spark, own):
+    """Documents of two passages out of ten and some words of their own: families chain through passages, but must not meet."""
+    rng = random.Random(own)
+    passages = [[f"p{i}x{k}" for k in range(100)] for i in range(10)]
+    rows = []
+    for i in range(300):
+        a, b = rng.sample(range(10), 2)
+        rows.append((i, " ".join(passages[a] + [f"o{i}x{k}" for k in range(own)] + passages[b])))
+    got = ngram_join.Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).documents().collect()
+    assert {r["id"]: (r["n"], r["component"]) for r in got} == brute_components(rows)
+
+
+def test_licences_with_own_words_are_no_candidates(spark, monkeypatch):
+    """A licence in all documents, a seventh of each their own: no pair of them is looked at."""
+    licence = [f"l{k}" for k in range(300)]
+    rows = [(i, " ".join(licence + [f"o{i}x{k}" for k in range(60)])) for i in range(400)]
+    seen, real = [], ngram_join.common.materialize
+    monkeypatch.setattr(ngram_join.common, "materialize", lambda df, name, **o: (lambda held: (seen.append((name, held.count())), held)[1])(real(df, name, **o)))
+    join = ngram_join.Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert join.components.count() == 0
+    assert dict(seen)["near"] == 0
+
+
+def test_late_tokens_keep_their_order():
+    tokens = np.array([1 << 8 | 255, 5 << 8 | 255, 3 << 8 | 255], np.uint64)
+    late = ngram_join.put_in_order(np.concatenate([tokens, tokens[:1]]), np.array([50, 40, 90, 95]))
+    assert late[0].tolist() == sorted(tokens.tolist()) and late[1].tolist() == [2, 1, 0]
+    own = np.sort(np.array([1 << 8 | 7, 3 << 8 | 1, 5 << 8 | 2, 9 << 8], np.uint64))
+    prefix, enough = ngram_join.ordered_prefix(own, 4, 20, late)
+    assert enough and prefix.tolist() == [9 << 7, 1 << 63 | 0 << 8 | 2, 1 << 63 | 1 << 8 | 1, 1 << 63 | 2 << 8 | 7]
+
+
 def test_jaccard_documents(spark, docs):
     got = ngram_join.op2_ngram_jaccard(spark, SF).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(list(texts(docs).items()))
