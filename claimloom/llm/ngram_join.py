@@ -27,8 +27,9 @@ copies share a class.
    their members verified.
 
 Every link between sets of different groups is found; sets of one group are
-connected by verified links.  Components of both kinds of links give the
-result.  Work that isn't linear is left only where very many texts, not
+connected by verified links.  Links between sets that are alone are verified
+nearest first, and not at all where their ends are connected already.
+Components of all links give the result.  Work that isn't linear is left only where very many texts, not
 linked with one another, lie just below the threshold: their pairs are looked at.
 
 Buckets, tokens and sets that very many rows share are split: joins on them
@@ -62,6 +63,8 @@ HOT_COUNT, HOT_MOST = 32, 1 << 20
 DEALT = 2000
 #: Members of a block that one task opens at a time.
 BLOCK = 512
+#: Pairs that are verified at once are at most so many for each set that has one.
+EACH = 4
 #: Ids that are broadcast to select texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -306,7 +309,7 @@ def _bound(percent: int):
 
 
 def _pair_bound(percent: int):
-    """Pairs of sets with their prefixes -> the pairs that may link."""
+    """Pairs of sets with their prefixes -> the pairs that may link, and the share that is known to differ."""
 
     def run(batches):
         common.claim_worker("shingles")
@@ -314,7 +317,7 @@ def _pair_bound(percent: int):
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
+            keep, share = [], []
             sets = zip(_arrays(batch.column("pa")), _arrays(batch.column("pb")), batch.column("na").to_pylist(), batch.column("nb").to_pylist())
             for k, (x, y, n, m) in enumerate(sets):
                 end = min(x[-1], y[-1])
@@ -322,8 +325,9 @@ def _pair_bound(percent: int):
                 differ = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
                 if (100 + percent) * differ <= (100 - percent) * (n + m):
                     keep.append(k)
+                    share.append(differ / (n + m))
             keep = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep), pa.array(share, pa.float64())], ["a", "b", "apart"])
 
     return run
 
@@ -492,6 +496,29 @@ class Join:
         common.drop(pairs, tokens)
         return links
 
+    def _spanning(self, pairs: DataFrame) -> DataFrame:
+        """Links of pairs (a, b, apart), as many as connect what all links of them connect.
+
+        While pairs are many beside their sets, those that look nearest at
+        each set are verified, a few more in each round, and pairs whose ends
+        are connected by then needn't be: in a large family most go unlooked
+        at.  What is left is verified whole, so nothing that links is missed.
+        """
+        left, tries, links = common.materialize(pairs, "candidates"), 2, None
+        while left.count() > EACH * left.select(F.explode(F.array("a", "b")).alias("c")).distinct().count():
+            near = lambda end, other: left.withColumn("r", F.row_number().over(Window.partitionBy(end).orderBy("apart", other))).where(F.col("r") <= tries).drop("r")  # noqa: B023, E731
+            chosen = common.materialize(near("a", "b").unionByName(near("b", "a")).distinct(), "nearest")
+            found = self._verified(chosen.select("a", "b"))
+            links = found if links is None else common.materialize(links.unionByName(found), "links")
+            roots = connected_components(links, "a", "b")
+            ends = [roots.select(F.col("node").alias(e), F.col("component").alias("root_" + e)) for e in ("a", "b")]
+            rest = left.join(chosen.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+            rest = common.materialize(rest.where("root_a is null or root_b is null or root_a <> root_b").select("a", "b", "apart"), "candidates")
+            common.drop(left, chosen)
+            left, tries = rest, 4 * tries
+        found = self._verified(left.select("a", "b"))
+        return found if links is None else links.unionByName(found)
+
     def _groups(self) -> DataFrame:
         """(class, component) of sets in a group of several, connected by verified links to the first of their buckets."""
         keys = self.sets.select("class", "n", F.posexplode("bands").alias("band", "key"))
@@ -555,8 +582,8 @@ class Join:
         named = members.select("class", "g", "n", "prefix")
         names = common.materialize(named.join(near.select(F.explode(F.array("g", "h")).alias("g")).distinct(), "g", "left_semi"), "members")
         a, b = names.select("g", F.col("class").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), names.select(F.col("g").alias("h"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-        pairs = near.where("alone").join(a, "g").join(b, "h").mapInArrow(_pair_bound(t), "a binary, b binary")
-        links = self._verified(pairs).unionByName(self._opened(near.where("not alone"), names))
+        pairs = near.where("alone").join(a, "g").join(b, "h").mapInArrow(_pair_bound(t), "a binary, b binary, apart double")
+        links = self._spanning(pairs).unionByName(self._opened(near.where("not alone"), names))
         inner = found.where(F.col("class") != F.col("component")).select(F.col("class").alias("a"), F.col("component").alias("b"))
         return connected_components(common.materialize(links, "cross").unionByName(inner), "a", "b").select(F.col("node").alias("class"), F.col("component").alias("root"))
 
