@@ -89,28 +89,24 @@ def provisional_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.sha2(lexical.lower_each(F.concat_ws("\u0000", *parts)), 256))
 
 
-#: What a role may follow to be denied, and how role and name may stand for an explicit role.
-DENIALS = ("not", "nota", "notthe", "no")
-PATTERNS = ("{role}{name}", "{role}is{name}", "{name}as{role}", "{name}isthe{role}", "{name}isa{role}")
+def _tokens(text: Column) -> Column:
+    """A text's words, letters and digits alone and in lower case, each after a space; a space at the end."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.btrim(F.regexp_replace(lexical.lower_each(text), r"[^\p{L}\p{N}]+", " ")), " ", "  "), F.lit(" "))
 
 
 def role_explicit(role: Column, name: Column, quote: Column) -> Column:
-    """Whether a quote says plainly that the named one has the role, on letters and digits alone."""
-    r, n, q = (lexical.search_key(c) for c in (role, name, quote))
-
-    def put(pattern: str) -> Column:
-        pieces = []
-        for part in pattern.replace("{", "|{").replace("}", "}|").split("|"):
-            if part:
-                pieces.append({"{role}": r, "{name}": n}.get(part, F.lit(part)))
-        return F.concat(*pieces)
-
-    denied, said = F.lit(False), r == n
-    for d in DENIALS:
-        denied = denied | F.contains(q, F.concat(F.lit(d), r))
-    for p in PATTERNS:
-        said = said | F.contains(q, put(p))
-    return (r != "") & (n != "") & F.contains(q, r) & F.contains(q, n) & ~denied & said
+    """Whether a quote says plainly that the named one has the role.
+
+    Role and name must stand side by side: the role first, with nothing or
+    "is" between; or the name first, with "as", or "is" and an article,
+    between.  A role that follows "no", or "not" and perhaps an article, in
+    the quote is denied.  Where role and name are one text, that is enough.
+    """
+    r, n, q = (_tokens(c) for c in (role, name, quote))
+    forms = F.concat(r, F.lit("( is )?"), n, F.lit("|"), n, F.lit("( as | is  (a|the) )"), r)
+    denied = F.rlike(q, F.concat(F.lit(" (no|not|not  a|not  the) "), r))
+    said = (r == n) | F.rlike(q, forms)
+    return (F.btrim(r) != "") & (F.btrim(n) != "") & F.contains(q, r) & F.contains(q, n) & said & ~denied
 
 
 def document_entities(mentions: DataFrame) -> DataFrame:

@@ -99,8 +99,8 @@ def latency_report(rows: DataFrame, stage: str, millis: str) -> DataFrame:
 def set_root(df: DataFrame, column: str) -> DataFrame:
     """One row, ``root``: a digest of the distinct values of a column, in order of their own digests.
 
-    Values are first summed up by the leading byte of their digest, then the
-    256 sums, so one task sees at most that share of digests.
+    Values are first summed up by the four leading hex digits of their digest,
+    then the 65,536 sums, so one task sees at most that share of digests.
     """
     own = df.where(F.col(column).isNotNull()).select(F.sha2(F.col(column).cast("string"), 256).alias("d")).distinct()
     part = own.groupBy(F.substring("d", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("r"))

@@ -1,7 +1,7 @@
 """Closures and rules over triples (s, p, o, lit), lit telling literals from entities.
 
-Closures and materialisation run rule rounds on what is new until nothing is;
-each round's facts are written, so plans don't grow.
+Closures and materialisation run in rounds until a round adds nothing; each
+round's facts are written, so plans don't grow.
 """
 
 from __future__ import annotations

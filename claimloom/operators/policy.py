@@ -7,10 +7,13 @@ default).  Only rules of the principal are passed in.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom import storage
+from claimloom.operators import scan, temporal
 
 
 def decide(requests: DataFrame, rules: DataFrame, classes: DataFrame | None = None) -> DataFrame:
@@ -19,7 +22,7 @@ def decide(requests: DataFrame, rules: DataFrame, classes: DataFrame | None = No
     Denied by default; if a rule that applies is required, only required ones
     count; any denial wins.  classes: (resource, class) memberships.
     """
-    asked = requests.select("resource", "property").distinct()
+    asked = storage.materialize(requests.select("resource", "property").distinct(), "asked")
     by = lambda kind: rules.where(F.col("target") == kind).select("value", "allow", "required")
     keep = ["resource", "property", "allow", "required"]
     found = asked.join(by("subject"), F.col("resource") == F.col("value")).select(keep)
@@ -49,6 +52,45 @@ def usable(claims: DataFrame, dependencies: DataFrame, allowed: DataFrame) -> Da
     return claims.join(verdict.where("not ok"), "claim_id", "left_anti")
 
 
+def dependencies(claims: DataFrame, classified: DataFrame | None = None) -> DataFrame:
+    """(claim_id, resource, property) of all that a claim shows or was made from.
+
+    Its relation at its subject, the identity of both ends, the vocabulary's
+    record of the relation, its lineage sources (column lineage, where there is
+    one), and the claims that classify an end (classified: entity, support_id).
+    """
+    row = lambda resource, prop: F.struct(resource.alias("resource"), prop.alias("property"))
+    own = [row(F.col("subject_id"), F.col("relation")), row(F.col("subject_id"), F.lit("identity")), row(F.col("relation"), F.lit("vocabulary"))]
+    ends = F.when(F.col("object_kind") == "iri", F.array(row(F.col("object_id"), F.lit("identity"))))
+    every = F.concat(F.array(*own), F.coalesce(ends, F.array().cast("array<struct<resource:string,property:string>>")))
+    if "lineage" in claims.columns:
+        every = F.concat(every, F.transform(F.coalesce("lineage", F.array()), lambda s: row(s["source_id"], F.lit("source"))))
+    out = claims.select("claim_id", F.explode(every).alias("d")).select("claim_id", "d.*")
+    if classified is not None:
+        ends = claims.select("claim_id", F.explode(F.array("subject_id", F.when(F.col("object_kind") == "iri", F.col("object_id")))).alias("entity")).where("entity is not null")
+        out = out.unionByName(ends.join(classified.distinct(), "entity").select("claim_id", F.col("support_id").alias("resource"), F.lit("classification").alias("property")))
+    return out.distinct()
+
+
+@dataclass
+class Authority:
+    """What a principal may see: rules (see the module), memberships (resource, class), lifecycle assertions."""
+
+    rules: DataFrame
+    classes: DataFrame | None = None
+    lifecycle: DataFrame | None = None
+    classified: DataFrame | None = None
+
+    def usable(self, claims: DataFrame, cutoff=None) -> DataFrame:
+        """The claims that may be used at the cutoff, with their lifecycle state.  Whatever is hidden takes no part in anything later."""
+        held = claims if cutoff is None else scan.as_of(claims, cutoff)
+        needs = storage.materialize(dependencies(held, self.classified), "needs")
+        held = usable(held, needs, decide(needs.select("resource", "property"), self.rules, self.classes))
+        if self.lifecycle is not None:
+            held = temporal.fold(held, self.lifecycle, cutoff).drop("supports")
+        return storage.materialize(held, "usable")
+
+
 def visible_fixpoint(claims: DataFrame, supports: DataFrame, limit: int = 1000) -> DataFrame:
     """claims without those that require (claim_id, support_id) a claim that isn't there, until all do have theirs.
 

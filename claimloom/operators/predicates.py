@@ -12,13 +12,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.sources.star import TIERS
 
 OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "in", "not_in", "contains", "contains_any", "exists", "isa", "not_isa", "subproperty_of", "not_subproperty_of", "contains_isa", "contains_subproperty_of")
 ORDERINGS = (">", ">=", "<", "<=")
+#: Operators that ask an ontology -> which of its closures.
+ONTOLOGY = {"isa": "class", "not_isa": "class", "contains_isa": "class", "subproperty_of": "property", "not_subproperty_of": "property", "contains_subproperty_of": "property"}
+#: Fields that name a class or property.
+IDENTIFIERS = ("subject_id", "object_id", "relation", "relation_type", "subject_type", "object_type")
 
 
 class PlanError(ValueError):
@@ -140,8 +144,8 @@ def test(op: str, lane: Lane | ListLane, value) -> Column:
     """The outcome of ``lane op value`` as a boolean column."""
     if op not in OPERATORS:
         raise PlanError("invalid", f"unknown operator {op!r}")
-    if "isa" in op or "subproperty" in op:
-        raise PlanError("unsupported", "prepared ontology required")
+    if op in ONTOLOGY:
+        raise PlanError("unsupported", "an ontology is asked by a join (see below), not by an expression")
     if op == "exists":
         if not isinstance(value, bool):
             raise PlanError("invalid", "exists takes a boolean")
@@ -225,6 +229,23 @@ def field(name: str, row) -> Lane:
     return Lane.of(kind, row(column))
 
 
+def column_of(name: str) -> str:
+    """The column of an identifier field, of a claim or a path."""
+    bare = name.removeprefix("path.").removeprefix("meta:")
+    if bare not in IDENTIFIERS:
+        raise PlanError("invalid", f"{name!r} names no class or property")
+    return FIELDS[bare][1]
+
+
+def below(ontology: dict[str, DataFrame], op: str, target: str) -> DataFrame:
+    """(term): the target and what the closure (term, ancestor) that op asks puts below it."""
+    kind = ONTOLOGY[op]
+    if kind not in ontology:
+        raise PlanError("unsupported", "prepared ontology required")
+    terms = ontology[kind].where(F.col("ancestor") == target).select("term")
+    return terms.unionByName(terms.sparkSession.createDataFrame([(target,)], "term string")).distinct()
+
+
 def conjunction(parts: list[Column]) -> Column:
     """Parts tested in order; a later one isn't evaluated for rows that an earlier one fails."""
     out = F.lit(True)

@@ -23,7 +23,7 @@ def replay(recorded: dict, claims: DataFrame, catalog: DataFrame, snapshot: str
     """Run a recorded plan again from its recorded seeds and compare digests."""
     if recorded["plan"].digest() != recorded["plan_hash"] or recorded["snapshot"] is None:
         return "not_replayable"
-    landed = claims.sparkSession.createDataFrame([(s["block"], "from", s["id"], s["score"], 0) for s in recorded["seeds"]], "block int, role string, id string, score long, anchor_idx int")
+    landed = catalog.sparkSession.createDataFrame([(s["block"], "from", s["id"], s["score"], 0) for s in recorded["seeds"]], "block int, role string, id string, score long, anchor_idx int")
     same = execute(recorded["plan"], claims, catalog, landed).digest() == recorded["response_hash"]
     if not same:
         return "diverged"

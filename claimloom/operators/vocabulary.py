@@ -49,6 +49,47 @@ def match_rank(query: Column, iri: Column, label: Column, synonyms: Column, defi
     return F.array_min(F.array_compact(F.array(near(lexical.local_name(iri), 0), near(label, 3), best, near(definition, 9))))
 
 
+def build_gazetteer(facts: DataFrame, approved: DataFrame, graphs: list[str], labels: list[str], identifying: list[str], classes: list[str] | None = None, type_predicate: str = "rdf:type") -> DataFrame:
+    """(iri, classes, labels, identifiers) of the entities that may be looked up.
+
+    facts: (graph, subject, predicate, object, lit); only those of the given
+    graphs count.  An entity must be approved (iri), be of one of the classes
+    if any are given, and have an identifier: being labelled isn't enough to
+    be known.  Values are distinct and sorted.
+    """
+    held = facts.where(F.col("graph").isin(*graphs)).join(approved.select(F.col("iri").alias("subject")).distinct(), "subject", "left_semi")
+    of = lambda names, value, also=F.lit(True): F.array_sort(F.collect_set(F.when(F.col("predicate").isin(*names) & also, value)))
+    one = F.struct(F.col("predicate").alias("scheme"), F.col("object").alias("value"))
+    rows = held.groupBy(F.col("subject").alias("iri")).agg(
+        of([type_predicate], F.col("object"), ~F.col("lit")).alias("classes"), of(labels, F.col("object"), F.col("lit")).alias("labels"), of(identifying, one).alias("identifiers")
+    )
+    rows = rows.where(F.size("identifiers") > 0)
+    return rows if not classes else rows.where(F.arrays_overlap("classes", F.array(*[F.lit(c) for c in classes])))
+
+
+def alias_index(gazetteer: DataFrame) -> DataFrame:
+    """(label, iri) of every label; one label may have several entities."""
+    return gazetteer.select(F.explode("labels").alias("label"), "iri").distinct()
+
+
+def identifier_index(gazetteer: DataFrame) -> DataFrame:
+    """(scheme, value, iri) of every identifier."""
+    return gazetteer.select("iri", F.explode("identifiers").alias("i")).select("i.scheme", "i.value", "iri").distinct()
+
+
+def identifier_probes(proposed: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(request, iri, scheme, value): the proposed entity's identifiers that stand in a quote of the request.
+
+    proposed: (request, iri, quote), a row per grounded quote.  A request none
+    of whose quotes holds one comes once, without a probe, as ``resolve_known``
+    expects it.
+    """
+    held = identifier_index(gazetteer)
+    met = proposed.join(held, "iri").where(F.contains("quote", F.col("value"))).select("request", "iri", "scheme", "value").distinct()
+    asked = proposed.select("request", "iri").distinct()
+    return asked.join(met, ["request", "iri"], "left")
+
+
 def gazetteer_search(gazetteer: DataFrame, text: str, limit: int = 128) -> DataFrame:
     """Entries whose iri, label or identifier holds the text, case aside, in iri order."""
     if not 1 <= limit <= 128:

@@ -2,8 +2,9 @@
 
 A path is a row: block, seed, seed_rank, node (where it goes on; null at a
 literal), ids, nodes (entities it has been at), steps (its claims' metadata),
-numerator (the exact product of confidences, over 100 to the depth), grounding
-(its weakest) and reached (whether it ends at a target).
+numerator (the exact product of its confidences as whole numbers of their last
+decimal, see functions.products; paths of one depth have one denominator),
+grounding (its weakest) and reached (whether it ends at a target).
 
 Every depth is written to the shared folder: the next joins a table, not a plan
 that grows with depth.  Caps are set-based and exact:
@@ -20,12 +21,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom import storage
+from claimloom.functions import products
 from claimloom.operators import predicates
+from claimloom.operators.graph import Graph
 
 CYCLES = ("no_repeated_claim", "allow_repeated_claim", "no_repeated_node")
 STEP = ["claim_id", "subject_id", "relation", "object_kind", "object_id", "confidence", "grounding", "transaction_time"]
@@ -45,6 +50,10 @@ class Options:
     filters: list[tuple] = field(default_factory=list)
     #: A predicate over columns of a candidate, for programs (see operators.programs).
     programs: list = field(default_factory=list)
+    #: Closures (term, ancestor) of classes and properties, for predicates that ask an ontology.
+    ontology: dict[str, DataFrame] = field(default_factory=dict)
+    #: Count what is examined and eligible too, which takes a pass over each depth's candidates.
+    explain: bool = False
 
 
 @dataclass
@@ -52,6 +61,8 @@ class Walk:
     paths: DataFrame
     notices: set[str]
     counters: dict[str, int]
+    #: All paths that were walked, those that reached no target too.
+    every: DataFrame | None = None
 
 
 def start(seeds: DataFrame) -> DataFrame:
@@ -63,45 +74,79 @@ def start(seeds: DataFrame) -> DataFrame:
         F.col("id").alias("node"),
         F.array().cast("array<string>").alias("ids"),
         F.array("id").alias("nodes"),
-        F.lit(1).cast("decimal(38,0)").alias("numerator"),
+        products.one().alias("numerator"),
         F.lit(2).alias("grounding"),
     )
 
 
-def _candidates(frontier: DataFrame, claims: DataFrame, direction: str, steps: list[str]) -> DataFrame:
+def _candidates(frontier: DataFrame, graph: Graph, direction: str, steps: list[str]) -> DataFrame:
     """frontier rows with the columns of a claim at their node (prefixed c_) and the node that it leads to."""
-    c = claims.select(*[F.col(x).alias("c_" + x) for x in steps])
+    renamed = lambda claims: claims.select(*[F.col(x).alias("c_" + x) for x in steps])
     parts = []
     if direction in ("outgoing", "both"):
-        parts.append(frontier.join(c, F.col("node") == F.col("c_subject_id")).withColumn("to", F.when(F.col("c_object_kind") == "iri", F.col("c_object_id"))))
+        parts.append(frontier.join(renamed(graph.by_subject), F.col("node") == F.col("c_subject_id")).withColumn("to", F.when(F.col("c_object_kind") == "iri", F.col("c_object_id"))))
     if direction in ("incoming", "both"):
-        own = c.where("c_object_kind = 'iri'")
+        own = renamed(graph.by_object)
         if direction == "both":
             own = own.where("c_object_id <> c_subject_id")
         parts.append(frontier.join(own, F.col("node") == F.col("c_object_id")).withColumn("to", F.col("c_subject_id")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def walk(claims: DataFrame, seeds: DataFrame, options: Options, targets: DataFrame | None = None) -> Walk:
+def decimals(claims: DataFrame) -> int:
+    """The decimal places of confidences: at most nine, so that products stay exact."""
+    kind = claims.schema["confidence"].dataType
+    if not isinstance(kind, T.DecimalType) or kind.scale > products.DIGITS:
+        raise predicates.PlanError("invalid", "confidences are decimals of at most nine places")
+    return kind.scale
+
+
+def _entailed(found: DataFrame, options: Options) -> tuple[DataFrame, dict[int, Column]]:
+    """found with a flag for each predicate that asks an ontology, whether it holds; running ones for whole paths.
+
+    A path predicate holds from the first step on that meets it, so the flag
+    travels with the path (``_o0`` and so on).
+    """
+    asked = {}
+    for i, (name, op, target) in enumerate(options.predicates):
+        if op not in predicates.ONTOLOGY:
+            continue
+        value = F.col("c_" + predicates.column_of(name))
+        below = predicates.below(options.ontology, op, target).select(F.col("term").alias(f"_b{i}"))
+        found = found.join(below, value == F.col(f"_b{i}"), "left")
+        hit = F.col(f"_b{i}").isNotNull()
+        if op.startswith("contains"):
+            hit = F.col(f"_o{i}") | hit
+        asked[i] = value.isNotNull() & ~hit if op.startswith("not_") else hit
+    return found, asked
+
+
+def walk(claims: DataFrame | Graph, seeds: DataFrame, options: Options, targets: DataFrame | None = None) -> Walk:
     """Paths from seeds over usable claims; with targets (block, id), those that end at one.
 
     claims must hold STEP and whatever further columns predicates use.
+    Counters: candidates examined, those eligible after cycles and predicates,
+    and paths traversed; the first two only where options.explain asks.
     """
+    graph = Graph.of(claims)
+    claims = graph.by_subject
+    scale = decimals(claims)
     if options.cycle not in CYCLES:
         raise predicates.PlanError("invalid", f"cycle policy {options.cycle!r}")
-    extra = [c for c in ("lifecycle_state", "relation_type", "subject_type", "object_type", "claim_type", "ext") if c in claims.columns]
+    extra = [c for c in ("lifecycle_state", "relation_type", "subject_type", "object_type", "claim_type", "ext", "lineage") if c in claims.columns]
     steps = STEP + extra
     first = start(seeds)
     notices: set[str] = set()
-    counters = {"examined": 0, "eligible": 0, "traversed": 0}
+    counters = {"examined": 0, "eligible": 0, "traversed": 0} if options.explain else {"traversed": 0}
+    flags = [f"_o{i}" for i, t in enumerate(options.predicates) if t[1] in predicates.ONTOLOGY and t[1].startswith("contains")]
     empty = F.array().cast(claims.select(F.array(F.struct(*steps, F.lit(1).alias("depth"))).alias("s")).schema["s"].dataType)
-    frontier = storage.materialize(first.withColumn("steps", empty), "seeds")
+    frontier = storage.materialize(first.withColumn("steps", empty).withColumns({f: F.lit(False) for f in flags}), "seeds")
     for state, _, _ in (p.state() for p in options.programs):
         frontier = state(frontier)
     known: DataFrame | None = None
-    left, kept = options.max_claims, []
+    left, kept, grew = options.max_claims, [], []
     for depth in range(1, options.max_depth + 1):
-        found = _candidates(frontier, claims, options.direction, steps)
+        found = examined = _candidates(frontier, graph, options.direction, steps)
         if options.cycle == "no_repeated_claim":
             found = found.where(~F.array_contains("ids", F.col("c_claim_id")))
         elif options.cycle == "no_repeated_node":
@@ -111,11 +156,16 @@ def walk(claims: DataFrame, seeds: DataFrame, options: Options, targets: DataFra
         if options.predicates:
             here = F.struct(*[F.col("c_" + x).alias(x) for x in steps], F.col("c_depth").alias("depth"))
             path = F.concat("steps", F.array(here))
-            passing = predicates.conjunction([triple(t, lambda n: F.col("c_" + n), path) for t in options.predicates])
+            found, asked = _entailed(found, options)
+            passing = predicates.conjunction([asked[i] if i in asked else triple(t, lambda n: F.col("c_" + n), path) for i, t in enumerate(options.predicates)])
+            found = found.withColumns({f: F.col(f) | F.col("_b" + f[2:]).isNotNull() for f in flags})
         for program in options.programs:
             found, keep = program.step(found)
             passing = F.when(passing, keep).otherwise(F.lit(False))
         found = found.withColumn("_pass", passing)
+        if options.explain:
+            counters["examined"] += examined.count()
+            counters["eligible"] += found.where("_pass").count()
         parent = Window.partitionBy("block", "seed_rank", "ids")
         ranked = found.where("_pass").withColumn("place", F.row_number().over(parent.orderBy(F.col("c_confidence").desc(), F.col("c_transaction_time").desc(), "c_claim_id")))
         if options.fanout_limit is not None:
@@ -147,8 +197,9 @@ def walk(claims: DataFrame, seeds: DataFrame, options: Options, targets: DataFra
             F.concat("ids", F.array("c_claim_id")).alias("ids"),
             F.when(F.col("to").isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array("to"))).alias("nodes"),
             F.concat("steps", F.array(F.struct(*[F.col("c_" + x).alias(x) for x in steps], F.col("c_depth").alias("depth")))).alias("steps"),
-            (F.col("numerator") * (F.col("c_confidence") * 100).cast("decimal(3,0)")).cast("decimal(38,0)").alias("numerator"),
+            products.times(F.col("numerator"), (F.col("c_confidence") * 10**scale).cast("long")).alias("numerator"),
             F.least("grounding", "c_grounding").alias("grounding"),
+            *flags,
             *[c for p in options.programs for c in p.columns],
         )
         if targets is not None:
@@ -159,6 +210,7 @@ def walk(claims: DataFrame, seeds: DataFrame, options: Options, targets: DataFra
         grown = storage.materialize(grown.withColumn("depth", F.lit(depth)), f"paths{depth}")
         n = grown.count()
         counters["traversed"] += n
+        grew.append(grown)
         kept.append(grown if targets is None else grown.where("reached"))
         frontier = grown.where("node is not null").drop("depth", "reached")
         if not n:
@@ -166,13 +218,9 @@ def walk(claims: DataFrame, seeds: DataFrame, options: Options, targets: DataFra
     else:
         if options.max_depth and frontier.limit(1).count():
             notices.add("max_depth")
-    if not kept:
-        paths = frontier.withColumns({"reached": F.lit(False), "depth": F.lit(0)}).where(F.lit(False))
-    else:
-        paths = kept[0]
-        for more in kept[1:]:
-            paths = paths.unionByName(more)
-    return Walk(paths, notices, counters)
+    none = frontier.withColumns({"reached": F.lit(False), "depth": F.lit(0)}).where(F.lit(False))
+    paths, every = (reduce(DataFrame.unionByName, parts) if parts else none for parts in (kept, grew))
+    return Walk(paths, notices, counters, every)
 
 
 def triple(t: tuple, column: Callable[[str], Column], path: Column) -> Column:
@@ -183,9 +231,12 @@ def triple(t: tuple, column: Callable[[str], Column], path: Column) -> Column:
     return predicates.test(op, predicates.field(name.removeprefix("meta:"), column), value)
 
 
-def filtered(paths: DataFrame, filters: list[tuple]) -> DataFrame:
+def filtered(paths: DataFrame, filters: list[tuple], ontology: dict[str, DataFrame] | None = None) -> DataFrame:
     """Paths that meet all filters; one on ``meta:`` is met if any claim of the path meets it, and looks at all of them."""
-    tests = []
+    for t in filters:
+        if t[1] in predicates.ONTOLOGY:
+            paths = _entailed_paths(paths, t, ontology or {})
+    tests, filters = [], [t for t in filters if t[1] not in predicates.ONTOLOGY]
     for t in filters:
         if t[0].startswith("path.meta:"):
             tests.append(triple(t, F.col, F.col("steps")))
@@ -200,21 +251,33 @@ def filtered(paths: DataFrame, filters: list[tuple]) -> DataFrame:
     return out.where(met).drop(*[f"_t{i}" for i in range(len(tests))])
 
 
+def _entailed_paths(paths: DataFrame, t: tuple, ontology: dict[str, DataFrame]) -> DataFrame:
+    """Paths some step of which meets a predicate that asks an ontology."""
+    name, op, target = t
+    key = ["block", "seed", "ids"]
+    values = paths.select(*key, F.explode(F.transform("steps", lambda s: s[predicates.column_of(name)])).alias("term")).where("term is not null")
+    below = predicates.below(ontology, op, target)
+    hits = values.join(below, "term", "left_anti" if op.startswith("not_") else "left_semi").select(*key).distinct()
+    return paths.join(hits, key, "left_semi")
+
+
 def _any_step(name: str, op: str, value) -> Column:
     hits = F.transform("steps", lambda s: predicates.test(op, predicates.field(name.removeprefix("meta:"), lambda n: s[n]), value))
     return F.aggregate(hits, F.lit(False), lambda a, b: a | b)
 
 
-def order() -> list[Column]:
-    """The ranking of paths."""
+def order() -> list[tuple[Column, bool]]:
+    """The ranking of paths: columns, and whether they descend."""
     times = F.transform("steps", lambda s: s["transaction_time"])
-    return [F.col("depth"), F.col("numerator").desc(), F.col("grounding").desc(), times.desc(), F.col("ids"), F.col("block"), F.col("seed")]
+    return [(F.col("depth"), False), (products.order(F.col("numerator")), True), (F.col("grounding"), True), (times, True), (F.col("ids"), False), (F.col("block"), False), (F.col("seed"), False)]
 
 
 def ranked(paths: DataFrame, limit: int | None = 8) -> DataFrame:
-    """The best paths with their ``rank`` from 1."""
-    top = paths if limit is None else paths.orderBy(*order()).limit(limit)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order())))
+    """The best paths with their ``rank`` from 1; without a limit all, ranked by ranges."""
+    if limit is None:
+        return storage.ranked(paths, order(), "_place").withColumn("rank", F.col("_place") + 1).drop("_place")
+    by = [c.desc() if down else c for c, down in order()]
+    return paths.orderBy(*by).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*by)))
 
 
 def summary(paths: DataFrame) -> DataFrame:
@@ -226,7 +289,7 @@ def summary(paths: DataFrame) -> DataFrame:
         F.col("depth").cast("long"),
         F.array_join("ids", " ").alias("claim_ids"),
         F.array_join("nodes", " ").alias("node_ids"),
-        F.col("numerator").cast("string").alias("numerator"),
+        products.text(F.col("numerator")).alias("numerator"),
         F.col("grounding").cast("long"),
         "reached",
     )

@@ -140,7 +140,7 @@ def check_triple(name: str, op: str, value, capabilities: frozenset[str]) -> Non
     """Static types: operators that exist, operands that the field's type allows."""
     if op not in predicates.OPERATORS:
         raise _invalid(f"unknown operator {op!r}")
-    if ("isa" in op or "subproperty" in op) and "ontology" not in capabilities:
+    if op in predicates.ONTOLOGY and "ontology" not in capabilities:
         raise PlanError("unsupported", "prepared ontology required")
     path = name.startswith("path.meta:")
     bare = name.removeprefix("path.").removeprefix("meta:")
@@ -152,6 +152,10 @@ def check_triple(name: str, op: str, value, capabilities: frozenset[str]) -> Non
         if operand != "boolean":
             raise _invalid("exists takes a boolean")
         return
+    if op in predicates.ONTOLOGY:
+        if operand != "string" or bare not in predicates.IDENTIFIERS or op.startswith("contains") != path:
+            raise _invalid(f"{op} on {name}")
+        return
     if op in ("in", "not_in", "contains_any"):
         if operand != "list" or (op == "contains_any") != path:
             raise _invalid(f"{op} on {name}")

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import canonical
-from claimloom.operators import landing, programs, scan, walk
+from claimloom.operators import bundles, documents, landing, policy, programs, scan, walk
+from claimloom.operators.graph import Graph
 from claimloom.plans.compile import Plan
 
 
 class Result:
-    def __init__(self, paths: DataFrame, claims: DataFrame | None, notices: list[str], seeds: DataFrame, explain: dict | None):
-        self.paths, self.claims, self.notices, self.seeds, self.explain = paths, claims, notices, seeds, explain
+    """paths are ranked; claims, evidence and explain are None unless the query selects them."""
+
+    def __init__(self, paths: DataFrame, claims: DataFrame | None, notices: list[str], seeds: DataFrame, explain: dict | None, evidence: DataFrame | None = None):
+        self.paths, self.claims, self.notices, self.seeds, self.explain, self.evidence = paths, claims, notices, seeds, explain, evidence
 
     def digest(self) -> str:
         """A digest of the ranked paths."""
@@ -20,11 +23,29 @@ class Result:
         return canonical.digest(rows, "response")
 
 
-def execute(plan: Plan, claims: DataFrame, catalog: DataFrame, landed: DataFrame | None = None) -> Result:
-    """claims must be usable ones (policy and lifecycle decided); landed: recorded landings, in a replay."""
-    spark = claims.sparkSession
-    if plan.as_of is not None:
-        claims = scan.as_of(claims, plan.as_of)
+def execute(
+    plan: Plan,
+    claims: DataFrame | Graph,
+    catalog: DataFrame,
+    landed: DataFrame | None = None,
+    authority: policy.Authority | None = None,
+    ontology: dict[str, DataFrame] | None = None,
+    sources: DataFrame | None = None,
+) -> Result:
+    """Run a plan.
+
+    Without an authority, claims must be usable ones already; with one, those
+    that it hides are left out before anything is landed, walked or counted,
+    and the rest have their lifecycle state.  catalog (id, label) must hold
+    what the principal may land on.  landed: recorded landings, in a replay.
+    ontology: closures by kind (class, property).  sources (source_id, text):
+    the documents that evidence is read from.
+    """
+    spark = catalog.sparkSession
+    if authority is not None:
+        claims = authority.usable(Graph.of(claims).by_subject, plan.as_of)
+    elif plan.as_of is not None:
+        claims = Graph.of(claims).map(lambda c: scan.as_of(c, plan.as_of))
     if landed is None:
         parts = []
         for b, block in enumerate(plan.blocks):
@@ -42,8 +63,9 @@ def execute(plan: Plan, claims: DataFrame, catalog: DataFrame, landed: DataFrame
     seeds = seeds.where(F.col("seed_rank") <= plan.seed_limit)
     connecting = any("to" in b for b in plan.blocks)
     plan.options.programs = [programs.Program(p, f"walk{i}") for i, p in enumerate(plan.programs.get("walk", []))]
+    plan.options.ontology, plan.options.explain = ontology or {}, bool(plan.returns["explain"])
     done = walk.walk(claims, seeds, plan.options, landing.targets(landed) if connecting else None)
-    kept = walk.filtered(done.paths, plan.options.filters)
+    kept = walk.filtered(done.paths, plan.options.filters, plan.options.ontology)
     for i, p in enumerate(plan.programs.get("filter", [])):
         kept = programs.Program(p, f"filter{i}").over_paths(kept)
     limit = plan.options.path_limit
@@ -51,5 +73,12 @@ def execute(plan: Plan, claims: DataFrame, catalog: DataFrame, landed: DataFrame
         notices.add("path_limit")
     top = walk.ranked(kept, limit)
     returned = walk.returned_claims(top).orderBy("claim_id") if plan.returns["claims"] else None
-    explain = {"counters": done.counters, "plan": plan.digest()} if plan.returns["explain"] else None
-    return Result(top, returned, sorted(notices | done.notices), seeds, explain)
+    explain = None
+    if plan.returns["explain"]:
+        explain = {"counters": done.counters | {"unique_traversed": walk.returned_claims(done.every).count(), "returned_paths": top.count()}, "plan": plan.digest()}
+    evidence = None
+    if plan.returns["evidence"]:
+        evidence = documents.hydrate(bundles.path_sources(walk.returned_claims(top)), sources)
+        if evidence.where("outcome <> 'verified'").limit(1).count():
+            notices.add("evidence_unavailable")
+    return Result(top, returned, sorted(notices | done.notices), seeds, explain, evidence)

@@ -112,17 +112,8 @@ def landing_counts(spark, d):
     return landing.token_overlap(landing.anchors_frame(spark, _BLOCKS), star.landing(spark, d)).groupBy("block", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "catalog_from_claims",
-    "select distinct i.id, label from (select subject_id as id from claims union select object_id from claims where object_kind = 'iri') i left join names n on i.id = n.id where i.id like 'n:%' or i.id like 'o:1%'",
-)
+@query("catalog_from_claims", "select distinct i.id, label from (select subject_id as id from claims union select object_id from claims where object_kind = 'iri') i left join names n on i.id = n.id")
 def catalog(spark, d):
-    got = landing.catalog_from_claims(star.claims(spark, d))
-    return got.where(F.startswith("id", F.lit("n:")) | F.startswith("id", F.lit("o:1")))
-
-
-@query("catalog_from_claims_whole", ORACLE_SQL["catalog_from_claims"].replace(" where i.id like 'n:%' or i.id like 'o:1%'", ""), claims=False)
-def catalog_whole(spark, d):
     return landing.catalog_from_claims(star.claims(spark, d))
 
 
@@ -169,9 +160,11 @@ def pred_ext(spark, d):
     return rows.where(test(">=", Lane.json(F.col("ext"), "k"), 50)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pred_ext_missing", "select event_type, count(*) as n from events where props is null or json_extract(props, '$.k') is null group by event_type", claims=False)
+@query("pred_ext_missing", "select event_type, count(*) as n from events where event_id % 3 = 0 or (event_id % 5 <> 0 and (props is null or json_extract(props, '$.k') is null)) group by event_type", claims=False)
 def pred_ext_missing(spark, d):
-    rows = star.table(spark, d, "events").withColumn("ext", F.try_parse_json("props"))
+    """A field is missing in every third event; in every fifth it is there as null, which isn't missing."""
+    k = F.col("event_id")
+    rows = star.table(spark, d, "events").withColumn("ext", F.try_parse_json(F.when(k % 3 == 0, F.lit('{"other": 1}')).when(k % 5 == 0, F.lit('{"k": null}')).otherwise(F.col("props"))))
     return rows.where(test("exists", Lane.json(F.col("ext"), "k"), False)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -258,25 +251,20 @@ def usable(spark, d):
 
 @query(
     "visibility_fixpoint",
-    """with e as (select event_id as id, event_id - 7 as support, event_type from events where event_id < 2000),
+    """with e as (select event_id as id, event_id - 7 as support, event_type from events),
 a as (select id, support from e where event_type <> 'error'),
 recursive_ok as (with recursive ok(id) as (select id from a where support < 0 union all select a.id from a join ok on a.support = ok.id) select id from ok)
 select count(*) as n, max(id) as top from recursive_ok""",
     claims=False,
 )
-def visibility(spark, d, which="event_id < 2000"):
+def visibility(spark, d):
     """Each event requires the one seven before it; those of hidden events go with them."""
-    rows = star.table(spark, d, "events").where(which).select(F.col("event_id").alias("claim_id"), (F.col("event_id") - 7).alias("support_id"), "event_type")
+    rows = star.table(spark, d, "events").select(F.col("event_id").alias("claim_id"), (F.col("event_id") - 7).alias("support_id"), "event_type")
     held = rows.where("event_type <> 'error'")
     got = policy.visible_fixpoint(held.select("claim_id"), held.where("support_id >= 0").select("claim_id", "support_id"))
     return got.agg(F.count(F.lit(1)).alias("n"), F.max("claim_id").alias("top"))
 
 
-@query("visibility_fixpoint_whole", ORACLE_SQL["visibility_fixpoint"].replace(" where event_id < 2000", ""), claims=False)
-def visibility_whole(spark, d):
-    return visibility(spark, d, "true")
-
-
 # ---------------------------------------------------------------- walks
 
 
@@ -290,13 +278,13 @@ def _walk(claims, seeds, targets=None, **options):
     return walk.ranked(walk.filtered(done.paths, opts.filters), opts.path_limit)
 
 
-def walk_sql(source: str, seeds: list[str], depth: int, direction: str, fanout: int | None, max_claims: int | None, limit: int, cycle: str = "no_repeated_claim", where: str = "true", targets: list[str] | None = None, keep: str = "true", blocks: int = 1) -> str:
-    """The walk as one common table expression per depth."""
-    values = ", ".join(f"({b}, '{s}', {r + 1})" for b in range(blocks) for r, s in enumerate(seeds))
+def walk_sql(source: str, seeds: list[str] | str, depth: int, direction: str, fanout: int | None, max_claims: int | None, limit: int, cycle: str = "no_repeated_claim", where: str = "true", targets: list[str] | None = None, keep: str = "true", blocks: int = 1) -> str:
+    """The walk as one common table expression per depth; seeds: ids in order of rank, or a select of (block, seed, seed_rank)."""
+    values = seeds if isinstance(seeds, str) else "values " + ", ".join(f"({b}, '{s}', {r + 1})" for b in range(blocks) for r, s in enumerate(seeds))
     out = [
         f"src as ({source})",
         f"""p0 as (select block, seed, seed_rank, seed as node, cast([] as varchar[]) as ids, [seed] as nodes, cast([] as timestamp[]) as times,
-  cast(1 as hugeint) as num, 2 as g, false as reached, 0 as depth, cast([] as int[]) as pcts from (values {values}) as s(block, seed, seed_rank))""",
+  cast(1 as hugeint) as num, 2 as g, false as reached, 0 as depth, cast([] as int[]) as pcts from ({values}) as s(block, seed, seed_rank))""",
         "known0 as (select cast(null as varchar) as id where false)",
     ]
     for k in range(1, depth + 1):
@@ -352,8 +340,8 @@ _WALKS = {
 
 def _claims_of(kind):
     return {
-        "lines": lambda s, d: star.line_claims(s, d).unionByName(star.order_claims(s, d)),
-        "orders": lambda s, d: star.structure_claims(s, d).unionByName(star.order_claims(s, d)),
+        "lines": lambda s, d: star.graph(s, d, star.LINES + star.PLACED),
+        "orders": lambda s, d: star.graph(s, d, star.STRUCTURE + star.PLACED),
     }[kind]
 
 
@@ -394,6 +382,18 @@ _register_walk(
 )
 
 
+def _finer(claims):
+    """Confidences with five decimals, of the claim's own and the lengths of its ids."""
+    fine = F.col("confidence") * 100_000 - F.length("claim_id") * 13 - F.length("object_id") * 7
+    return claims.withColumn("confidence", (fine.cast("decimal(7,0)") * F.lit("0.00001").cast("decimal(5,5)")).cast("decimal(6,5)"))
+
+
+@query("path_confidence_exact", walk_sql(f"select * replace (pct * 1000 - length(claim_id) * 13 - length(object_id) * 7 as pct) from ({_LINES})", _ORDERS, 3, "both", 3, None, 500))
+def path_confidence(spark, d):
+    """Products of three confidences of five decimals, to the last digit, and the order that they give."""
+    return walk.summary(_walk(_claims_of("lines")(spark, d).map(_finer), seeds_at(spark, *_ORDERS), max_depth=3, direction="both", fanout_limit=3, max_claims=None, path_limit=500))
+
+
 @query("claims_returned_distinct", walk_sql(_LINES, _ORDERS, 2, "both", 4, 64, 50).replace("select rank,", "select distinct unnest(ids) as claim_id from (select rank, ids,") + ")")
 def returned(spark, d):
     top = _walk(_claims_of("lines")(spark, d), seeds_at(spark, *_ORDERS), max_depth=2, direction="both", fanout_limit=4, max_claims=64, path_limit=50)

@@ -136,9 +136,15 @@ _rule("has_value_type", [("class:home", "owl:hasValue", "n:3"), ("class:home", "
 _rule("inverse_functional", [("in_region", ontology.TYPE, "owl:InverseFunctionalProperty")], "select distinct m as s, 'owl:sameAs' as p, subject_id as o from (select subject_id, min(subject_id) over (partition by object_id) as m from structure where relation = 'in_region') where m <> subject_id", "in_region")
 
 
-@query("materialise_fixpoint")
+@query(
+    "materialise_fixpoint",
+    """with within as (
+  with recursive w(s, o) as (select subject_id, object_id from structure union select w.s, b.object_id from w join structure b on w.o = b.subject_id) select * from w),
+schema(s, p, o) as (values ('in_region', 'rdfs:subPropertyOf', 'within'), ('within', 'rdf:type', 'owl:TransitiveProperty'), ('in_nation', 'rdfs:subPropertyOf', 'within'), ('within', 'rdfs:range', 'class:place'))
+select s, p, o, false as lit from (select subject_id as s, relation as p, object_id as o from structure union select s, 'within', o from within union select o, 'rdf:type', 'class:place' from within union select s, p, o from schema)""",
+)
 def materialise(spark, d):
-    """Several rules to a fixed point over customers, suppliers, nations and regions (rows only)."""
+    """Several rules to a fixed point over customers, suppliers, nations and regions."""
     schema = [("in_region", "rdfs:subPropertyOf", "within"), ("within", ontology.TYPE, "owl:TransitiveProperty"), ("in_nation", "rdfs:subPropertyOf", "within"), ("within", "rdfs:range", "class:place")]
     data = _triples(spark, d).where(F.col("p").isin("in_nation", "in_region")).unionByName(spark.createDataFrame([(*r, False) for r in schema], "s string, p string, o string, lit boolean"))
     return ontology.materialise(data, ["subproperty", "transitive", "range", "subclass"])
@@ -304,6 +310,7 @@ def resolve_known(spark, d):
     return vocabulary.resolve_known(spark.createDataFrame(rows, "request string, iri string, scheme string, value string"), ids, approved).select("request", "status")
 
 
-@query("unique_mapping", "select source, target from (select p_brand as source, min(p_type) as target, count(distinct p_type) as n from part group by p_brand) where n = 1", claims=False)
+@query("unique_mapping", "select source, target from (select l_orderkey as source, min(l_returnflag) as target, count(distinct l_returnflag) as n from lineitem group by l_orderkey) where n = 1", claims=False)
 def unique_mapping(spark, d):
-    return vocabulary.unique_mapping(star.table(spark, d, "part").select(F.col("p_brand").alias("source"), F.col("p_type").alias("target")))
+    """Orders all of whose lines have one return flag."""
+    return vocabulary.unique_mapping(star.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_returnflag").alias("target")))

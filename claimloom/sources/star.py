@@ -6,9 +6,14 @@ Entities are ``r:`` regions, ``n:`` nations, ``c:`` customers, ``s:`` suppliers,
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom import storage
+from claimloom.operators.graph import Graph
+
 EPOCH = "1990-01-01 00:00:00"
 #: Grounding tiers: claim only, source lineage, source spans.
 TIERS = ("claim_only", "source_lineage_available", "source_spans_available")
@@ -18,12 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _claim(df: DataFrame, claim_id: Column, subject: Column, relation: str, kind: str, obj: Column, pct, tier: int, tx) -> DataFrame:
+def _claim(df: DataFrame, claim_id: Column, subject: Column, relation, kind: str, obj: Column, pct, tier: int, tx) -> DataFrame:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return df.select(
         claim_id.alias("claim_id"),
         subject.alias("subject_id"),
-        F.lit(relation).alias("relation"),
+        lit(relation).alias("relation"),
         F.lit(kind).alias("object_kind"),
         obj.alias("object_id"),
         (lit(pct).cast("decimal(5,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(5,2)").alias("confidence"),
@@ -44,46 +49,100 @@ def keyed_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("k", F.concat_ws("-", *keys, nth))
 
 
-def structure_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations in regions, customers and suppliers in nations."""
-    rows = [("nation", "nr", "n", "n_nationkey", "in_region", "r", "n_regionkey"), ("customer", "cn", "c", "c_custkey", "in_nation", "n", "c_nationkey"), ("supplier", "sn", "s", "s_suppkey", "in_nation", "n", "s_nationkey")]
-    out = None
-    for name, prefix, subject, key, relation, obj, to in rows:
-        got = _claim(table(spark, sf_dir, name), _id(prefix, key), _id(subject, key), relation, "iri", _id(obj, to), 100, 2, EPOCH)
-        out = got if out is None else out.unionByName(got)
+NAMES = (("region", "r", "r_regionkey", "r_name"), ("nation", "n", "n_nationkey", "n_name"), ("customer", "c", "c_custkey", "c_name"), ("supplier", "s", "s_suppkey", "s_name"), ("part", "p", "p_partkey", "p_name"))
+STRUCTURE, PLACED, LINES, LABELS = ("in_region", "in_nation"), ("placed_by",), ("contains", "shipped_by"), ("label",)
+#: The tables that claims are made from.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def built_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All claims, from the tables.
+
+    Nations are in regions, customers and suppliers in nations; orders are
+    placed by customers, contain parts and are shipped by suppliers, less
+    confidently where there is a discount; entities have labels.
+    """
+    ends = [("nation", "nr", "n", "n_nationkey", "in_region", "r", "n_regionkey"), ("customer", "cn", "c", "c_custkey", "in_nation", "n", "c_nationkey"), ("supplier", "sn", "s", "s_suppkey", "in_nation", "n", "s_nationkey")]
+    parts = [_claim(table(spark, sf_dir, name), _id(prefix, key), _id(subject, key), relation, "iri", _id(obj, to), 100, 2, EPOCH) for name, prefix, subject, key, relation, obj, to in ends]
+    parts.append(_claim(table(spark, sf_dir, "orders"), _id("oc", "o_orderkey"), _id("o", "o_orderkey"), "placed_by", "iri", _id("c", "o_custkey"), 100, 1, F.col("o_orderdate")))
+    # two claims of each line, of which each is numbered once
+    two = F.array(F.struct(F.lit("lp").alias("prefix"), F.lit("contains").alias("relation"), _id("p", "l_partkey").alias("to")), F.struct(F.lit("ls").alias("prefix"), F.lit("shipped_by").alias("relation"), _id("s", "l_suppkey").alias("to")))
+    lines = keyed_lineitem(spark, sf_dir).select("k", "l_orderkey", "l_discount", "l_shipdate", F.inline(two))
+    pct = 100 - F.round(F.col("l_discount") * 100).cast("int")
+    parts.append(_claim(lines, F.concat_ws(":", "prefix", "k"), _id("o", "l_orderkey"), F.col("relation"), "iri", F.col("to"), pct, 0, F.col("l_shipdate")))
+    for name, prefix, key, label in NAMES:
+        parts.append(_claim(table(spark, sf_dir, name), F.concat(F.lit("lb:"), _id(prefix, key)), _id(prefix, key), "label", "literal", F.col(label), 100, 2, EPOCH))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
     return out
 
 
-def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _claim(table(spark, sf_dir, "orders"), _id("oc", "o_orderkey"), _id("o", "o_orderkey"), "placed_by", "iri", _id("c", "o_custkey"), 100, 1, F.col("o_orderdate"))
+@dataclass
+class Stored:
+    """Claims as they are kept: sorted by id, and bucketed by either end; lifecycle assertions sorted by target."""
 
+    claims: DataFrame
+    by_subject: DataFrame
+    by_object: DataFrame
+    lifecycle: DataFrame
 
-def line_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders contain parts and are shipped by suppliers; the discount lowers confidence."""
-    lines = keyed_lineitem(spark, sf_dir)
-    pct = 100 - F.round(F.col("l_discount") * 100).cast("int")
-    parts = _claim(lines, _id("lp", "k"), _id("o", "l_orderkey"), "contains", "iri", _id("p", "l_partkey"), pct, 0, F.col("l_shipdate"))
-    ships = _claim(lines, _id("ls", "k"), _id("o", "l_orderkey"), "shipped_by", "iri", _id("s", "l_suppkey"), pct, 0, F.col("l_shipdate"))
-    return parts.unionByName(ships)
 
+_STORED: dict[tuple, Stored] = {}
 
-NAMES = (("region", "r", "r_regionkey", "r_name"), ("nation", "n", "n_nationkey", "n_name"), ("customer", "c", "c_custkey", "c_name"), ("supplier", "s", "s_suppkey", "s_name"), ("part", "p", "p_partkey", "p_name"))
+
+def stored(spark: SparkSession, sf_dir: str) -> Stored:
+    """The claims of a folder of tables, written once per session and state of the tables.
+
+    Point reads and pages prune row groups by claim id; a walk joins on
+    buckets, so a depth moves its frontier and never the claims.  There are as
+    many buckets as shuffle partitions.
+    """
+    state = (spark.sparkContext.applicationId, sf_dir, tuple(storage.stamp(spark, f"{sf_dir}/{t}.parquet") for t in TABLES))
+    if state not in _STORED:
+        path, n = storage.scratch(spark, "claims"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        built = built_claims(spark, sf_dir)
+        built.repartitionByRange("claim_id").sortWithinPartitions("claim_id").write.parquet(path + "/by-id")
+        claims = spark.read.schema(built.schema).parquet(path + "/by-id")
+
+        def bucketed(rows: DataFrame, key: str) -> DataFrame:
+            name = f"claimloom_{path.rpartition('-')[2]}_{key}"
+            rows.repartition(n, key).write.option("path", f"{path}/{key}").bucketBy(n, key).sortBy(key).saveAsTable(name)
+            return spark.read.table(name)
+
+        lines = keyed_lineitem(spark, sf_dir).where(F.col("l_returnflag").isin("R", "A"))
+        relation = F.when(F.col("l_returnflag") == "R", "retracted_by").otherwise("contradicted_by")
+        lines = lines.select(F.concat(F.lit("lc:"), _id("lp", "k")).alias("assertion_id"), _id("lp", "k").alias("target"), relation.alias("relation"), (F.col("l_shipdate") + F.expr("interval 30 days")).cast("timestamp").alias("transaction_time"))
+        lines.repartitionByRange("target").sortWithinPartitions("target").write.parquet(path + "/lifecycle")
+        _STORED[state] = Stored(claims, bucketed(claims, "subject_id"), bucketed(claims.where("object_kind = 'iri'"), "object_id"), spark.read.schema(lines.schema).parquet(path + "/lifecycle"))
+    return _STORED[state]
+
+
+def claims(spark: SparkSession, sf_dir: str, relations: tuple[str, ...] | None = None) -> DataFrame:
+    held = stored(spark, sf_dir).claims
+    return held if relations is None else held.where(F.col("relation").isin(*relations))
+
+
+def structure_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims(spark, sf_dir, STRUCTURE)
+
+
+def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims(spark, sf_dir, PLACED)
+
+
+def line_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims(spark, sf_dir, LINES)
 
 
 def label_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for name, prefix, key, label in NAMES:
-        got = _claim(table(spark, sf_dir, name), F.concat(F.lit("lb:"), _id(prefix, key)), _id(prefix, key), "label", "literal", F.col(label), 100, 2, EPOCH)
-        out = got if out is None else out.unionByName(got)
-    return out
+    return claims(spark, sf_dir, LABELS)
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [f(spark, sf_dir) for f in (structure_claims, order_claims, line_claims, label_claims)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def graph(spark: SparkSession, sf_dir: str, relations: tuple[str, ...]) -> Graph:
+    """The claims of some relations, for walks."""
+    held = stored(spark, sf_dir)
+    return Graph(*(side.where(F.col("relation").isin(*relations)) for side in (held.by_subject, held.by_object)))
 
 
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +152,7 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned lines retract the claim that the order contains the part, line flag A contradicts it."""
-    lines = keyed_lineitem(spark, sf_dir).where(F.col("l_returnflag").isin("R", "A"))
-    relation = F.when(F.col("l_returnflag") == "R", "retracted_by").otherwise("contradicted_by")
-    return lines.select(F.concat(F.lit("lc:"), _id("lp", "k")).alias("assertion_id"), _id("lp", "k").alias("target"), relation.alias("relation"), (F.col("l_shipdate") + F.expr("interval 30 days")).cast("timestamp").alias("transaction_time"))
+    return stored(spark, sf_dir).lifecycle
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:

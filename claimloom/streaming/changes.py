@@ -1,17 +1,28 @@
 """Incremental maintenance of a snapshot from an ordered change log.
 
 A change is (seq, key, op, payload).  Snapshots are directories of Parquet, one
-generation each, named by the sequence number that they are at; a pointer file
-names the live one.  Applying a batch is idempotent: changes at or before the
-snapshot's number are left out, so a retried batch changes nothing.
+generation each, named by the sequence number that they are at; the last whole
+one is live.  A batch must follow the snapshot without a gap, no number may come
+twice, and a change of a key must name the digest of the payload that it
+replaces, where the log has a column ``previous``.  A retried batch changes
+nothing, but must be the same one; anything else is a conflict and leaves the
+snapshot as it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+class Conflict(ValueError):
+    """A batch that doesn't follow from the snapshot."""
+
+
+def digest(payload):
+    return F.sha2(payload.cast("string"), 256)
+
+
 class Snapshots:
     def __init__(self, spark: SparkSession, path: str, schema: str = "key string, seq long, payload string", keep: int = 8):
         self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
@@ -48,19 +59,52 @@ class Snapshots:
         The last change of each key holds; op delete removes it.
         """
         head = self.head()
-        new = changes.where(F.col("seq") > head)
-        top = new.agg(F.max("seq")).first()[0]
-        if top is None:
+        n, distinct, low, top, code = self._summary(changes)
+        if not n:
+            return head
+        if distinct < n:
+            raise Conflict("a change comes twice")
+        if top <= head:
+            self._same(low, top, n, code)
             return head
-        last = new.groupBy("key").agg(F.max_by(F.struct("op", "payload", "seq"), "seq").alias("c")).select("key", "c.*")
+        if low <= head or (head >= 0 and low > head + 1) or top - low + 1 != n:
+            raise Conflict(f"changes {low} to {top} don't follow {head} without a gap")
+        if "previous" in changes.columns:
+            self._linked(changes)
+        last = changes.groupBy("key").agg(F.max_by(F.struct("op", "payload", "seq"), "seq").alias("c")).select("key", "c.*")
         old = self.read().join(last.select("key"), "key", "left_anti")
         merged = old.select("key", "seq", "payload").unionByName(last.where("op <> 'delete'").select("key", "seq", "payload"))
+        # what was applied is kept first: a receipt without its snapshot says nothing, as the head is older
+        receipt = self.spark.createDataFrame([(low, top, n, code)], "low long, top long, n long, code decimal(38,0)")
+        receipt.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/receipt-{top}")
         merged.write.mode("overwrite").parquet(f"{self.path}/at-{top}")
         for stale in self.generations()[: -self.keep - 1]:
             fs, at = self._fs(f"{self.path}/at-{stale}")
             fs.delete(at, True)
         return top
 
+    @staticmethod
+    def _summary(changes: DataFrame) -> tuple:
+        """Count, distinct numbers, least and greatest, and a sum of hashes, which whole batches add up to."""
+        code = F.sum(F.xxhash64("seq", "key", "op", "payload").cast("decimal(38,0)"))
+        return tuple(changes.agg(F.count(F.lit(1)), F.countDistinct("seq"), F.min("seq"), F.max("seq"), code).first())
+
+    def _same(self, low: int, top: int, n: int, code) -> None:
+        """Whether the same batches were applied before: a retry, or a union of batches."""
+        fs, at = self._fs(self.path)
+        tops = [int(s.getPath().getName()[8:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("receipt-")]
+        held = self.spark.read.parquet(*[f"{self.path}/receipt-{t}" for t in tops]).where((F.col("top") >= low) & (F.col("low") <= top))
+        if tuple(held.agg(F.min("low"), F.max("top"), F.sum("n"), F.sum("code")).first()) != (low, top, n, code):
+            raise Conflict(f"changes {low} to {top} were applied before, but not as these")
+
+    def _linked(self, changes: DataFrame) -> None:
+        """Each change's ``previous`` must be the digest of the payload that its key has before it, null if none."""
+        held = self.read().select("key", F.lit(-1).cast("long").alias("seq"), F.lit("put").alias("op"), "payload", F.lit(None).cast("string").alias("previous"))
+        rows = held.unionByName(changes.select("key", F.col("seq").cast("long"), "op", "payload", "previous"))
+        before = F.lag(F.when(F.col("op") != "delete", digest(F.col("payload")))).over(Window.partitionBy("key").orderBy("seq"))
+        if rows.withColumn("_before", before).where((F.col("seq") >= 0) & ~F.col("previous").eqNullSafe(F.col("_before"))).limit(1).count():
+            raise Conflict("a change replaces another payload than its key has")
+
     def follow(self, stream: DataFrame, checkpoint: str):
         """A streaming query that applies each micro-batch; available changes only, then it ends."""
         return stream.writeStream.foreachBatch(lambda df, _: self.apply(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -68,8 +112,6 @@ class Snapshots:
 
 def check_predecessors(changes: DataFrame) -> DataFrame:
     """Changes whose ``previous`` isn't the digest of the change before them, by key (first ones must have none)."""
-    from pyspark.sql import Window
-
     before = F.lag("digest").over(Window.partitionBy("key").orderBy("seq"))
     return changes.withColumn("_before", before).where(~F.col("previous").eqNullSafe(F.col("_before"))).drop("_before")
 

@@ -11,9 +11,9 @@ from claimloom.operators import inventory, landing, ontology, policy, replay, sc
 from claimloom.operators.predicates import Lane, ListLane, PlanError, conjunction, test as predicate
 from claimloom.plans.compile import compile_query
 from claimloom.sources import imports
-from claimloom.streaming.changes import Snapshots, check_predecessors
+from claimloom.streaming.changes import Conflict, Snapshots, check_predecessors
 
-from .test_walk import GRAPHS, claims
+from .test_walk import FERRY, claims
 
 # ---------------------------------------------------------------- predicates
 
@@ -116,7 +116,7 @@ def test_visible_fixpoint(spark):
 
 
 def test_scans(spark):
-    held = claims(spark, GRAPHS["loop"])
+    held = claims(spark, [("loop", "s", "s", "1"), ("a", "s", "t", "0.8")])
     nodes = spark.createDataFrame([("s",)], "node string")
     both = sorted((r["claim_id"], r["orientation"]) for r in scan.incident(held, nodes, "both").collect())
     assert both == [("a", "outgoing"), ("loop", "outgoing")]
@@ -215,6 +215,34 @@ def test_vocabulary(spark):
     assert [r["iri"] for r in vocabulary.search(terms, "INCOME").collect()] == ["x:Income", "x:NetIncome"]
 
 
+def test_gazetteer(spark):
+    facts = [("g", "e1", "rdf:type", "Firm", False), ("g", "e1", "name", "Acme", True), ("g", "e1", "name", "ACME", True), ("g", "e1", "vat", "77", True), ("h", "e1", "vat", "88", True)]
+    facts += [("g", "e2", "rdf:type", "Firm", False), ("g", "e2", "name", "Bolt", True), ("g", "e3", "rdf:type", "Person", False), ("g", "e3", "vat", "99", True), ("g", "e4", "rdf:type", "Firm", False), ("g", "e4", "vat", "5", True)]
+    table = spark.createDataFrame(facts, "graph string, subject string, predicate string, object string, lit boolean")
+    approved = spark.createDataFrame([("e1",), ("e2",), ("e3",)], "iri string")
+    made = vocabulary.build_gazetteer(table, approved, ["g"], ["name"], ["vat"], ["Firm"])
+    got = made.collect()
+    # e2 has no identifier, e3 is no firm, e4 isn't approved; what graph h says isn't seen
+    assert [(r["iri"], r["labels"], [tuple(i) for i in r["identifiers"]]) for r in got] == [("e1", ["ACME", "Acme"], [("vat", "77")])]
+    assert {r["iri"] for r in vocabulary.build_gazetteer(table, approved, ["g", "h"], ["name"], ["vat"]).collect()} == {"e1", "e3"}
+    asked = spark.createDataFrame([("r1", "e1", "vat no. 77"), ("r1", "e1", "nothing"), ("r2", "e1", "vat no. 88"), ("r3", "e9", "77")], "request string, iri string, quote string")
+    probes = vocabulary.identifier_probes(asked, made)
+    assert sorted((r["request"], r["value"] or "") for r in probes.collect()) == [("r1", "77"), ("r2", ""), ("r3", "")]
+    status = {r["request"]: r["status"] for r in vocabulary.resolve_known(probes, vocabulary.identifier_index(made), made).collect()}
+    assert status == {"r1": "resolved", "r2": "identifier_required", "r3": "identifier_required"}
+
+
+def test_authority(spark):
+    held = claims(spark, [("a", "x", "y", "1"), ("b", "y", "z", "1"), ("c", "x", "<secret>", "1"), ("d", "x", "w", "1")]).withColumn("lineage", F.when(F.col("claim_id") == "d", F.array(F.struct(F.lit("closed").alias("source_id")))))
+    rules = spark.createDataFrame([("1", "default", None, True, False), ("2", "subject", "z", False, False), ("3", "subject", "closed", False, False)], "rule_id string, target string, value string, allow boolean, required boolean")
+    life = spark.createDataFrame([("l", "a", "retracted_by", datetime(2025, 4, 1))], "assertion_id string, target string, relation string, transaction_time timestamp")
+    got = {r["claim_id"]: r["lifecycle_state"] for r in policy.Authority(rules, lifecycle=life).usable(held).collect()}
+    assert got == {"a": "retracted", "c": "active"}  # b leads to z, d was made from a closed source
+    assert {r["claim_id"] for r in policy.Authority(rules, lifecycle=life).usable(held, "2025-03-01").collect()} == set()
+    support = spark.createDataFrame([("y", "z"), ("w", "a")], "entity string, support_id string")
+    assert {r["claim_id"] for r in policy.Authority(rules, classified=support).usable(held).collect()} == {"c"}
+
+
 def test_entity_ids(spark):
     df = spark.createDataFrame([(["b", "a", "b"],), (["a", "b"],), (["a"],)], "anchors array<string>")
     ids = [r[0] for r in df.select(vocabulary.entity_id(F.lit("doc"), F.col("anchors"))).collect()]
@@ -233,8 +261,15 @@ def test_snapshots(spark, tmp_path):
     s = Snapshots(spark, str(tmp_path / "s"), keep=2)
     assert s.read().count() == 0 and s.head() == -1
     s.apply(log((1, "a", "put", "1"), (2, "b", "put", "1"), (3, "a", "put", "2")))
-    assert s.apply(log((3, "a", "put", "old"))) == 3  # nothing new
+    assert s.apply(log((1, "a", "put", "1"), (2, "b", "put", "1"), (3, "a", "put", "2"))) == 3  # a retry
     s.apply(log((4, "b", "delete", None)))
+    # another batch under numbers that were applied, a part of one, a gap, a number twice, an overlap
+    others = ([(3, "a", "put", "old")], [(1, "a", "put", "1")], [(6, "a", "put", "3")], [(5, "a", "put", "3"), (5, "b", "put", "3")], [(4, "b", "delete", None), (5, "a", "put", "3")])
+    for rows in others:
+        with pytest.raises(Conflict):
+            s.apply(log(*rows))
+    assert s.head() == 4
+    assert s.apply(log((1, "a", "put", "1"), (2, "b", "put", "1"), (3, "a", "put", "2"), (4, "b", "delete", None))) == 4  # both batches at once
     assert {(r["key"], r["payload"]) for r in s.read().collect()} == {("a", "2")}
     assert {(r["key"], r["payload"]) for r in s.read(3).collect()} == {("a", "2"), ("b", "1")}
     with pytest.raises(LookupError):
@@ -246,6 +281,20 @@ def test_snapshots(spark, tmp_path):
     assert [r["seq"] for r in check_predecessors(chain).collect()] == [3]
 
 
+def test_changes_name_what_they_replace(spark, tmp_path):
+    import hashlib
+
+    of = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    log = lambda *rows: spark.createDataFrame(list(rows), "seq long, key string, op string, payload string, previous string")
+    s = Snapshots(spark, str(tmp_path / "s"))
+    s.apply(log((0, "a", "put", "x", None), (1, "a", "put", "y", of("x")), (2, "b", "put", "z", None)))
+    for row in ((3, "a", "put", "w", of("x")), (3, "a", "put", "w", None), (3, "c", "put", "w", of("x"))):
+        with pytest.raises(Conflict):
+            s.apply(log(row))
+    s.apply(log((3, "a", "delete", None, of("y")), (4, "a", "put", "new", None)))
+    assert {(r["key"], r["payload"]) for r in s.read().collect()} == {("a", "new"), ("b", "z")}
+
+
 def test_imports(spark, tmp_path):
     (tmp_path / "a.txt").write_text("héllo")
     (tmp_path / "b.md").write_bytes(b"\xff\xfe")
@@ -265,12 +314,12 @@ def test_imports(spark, tmp_path):
 
 
 def test_replay(spark):
-    catalog = spark.createDataFrame([("s", None)], "id string, label string")
-    plan = compile_query({"about": [{"from": ["s"], "match": "exact"}], "bounds": {"max_depth": 2}})
-    held = replay.record(plan, claims(spark, GRAPHS["branch"]), catalog, "one")
+    catalog = spark.createDataFrame([("port", None)], "id string, label string")
+    plan = compile_query({"about": [{"from": ["port"], "match": "exact"}], "bounds": {"max_depth": 2}})
+    held = replay.record(plan, claims(spark, FERRY), catalog, "one")
     again = lambda edges, snap: replay.replay(held, claims(spark, edges), catalog, snap)
-    assert again(GRAPHS["branch"], "one") == "reproduced" and again(GRAPHS["branch"], "two") == "best_effort"
-    assert again(GRAPHS["branch"][:2], "one") == "diverged"
-    assert replay.replay(held | {"snapshot": None}, claims(spark, GRAPHS["branch"]), catalog, "one") == "not_replayable"
+    assert again(FERRY, "one") == "reproduced" and again(FERRY, "two") == "best_effort"
+    assert again(FERRY[:2], "one") == "diverged"
+    assert replay.replay(held | {"snapshot": None}, claims(spark, FERRY), catalog, "one") == "not_replayable"
     verdicts = spark.createDataFrame([("reproduced",), ("diverged",), ("best_effort",)], "v string")
     assert verdicts.agg(replay.weakest(F.col("v"))).first()[0] == "diverged"
