@@ -360,6 +360,11 @@ def _open(percent: int):
     return run
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(class) of the sets that pairs (a, b) have."""
+    return pairs.select(F.col("a").alias("class")).distinct().unionByName(pairs.select(F.col("b").alias("class")).distinct()).distinct()
+
+
 class Join:
     """Documents, their classes, and the components of links between classes.
 
@@ -477,7 +482,7 @@ class Join:
         A set with many pairs is sent to several tasks, DEALT pairs each.
         """
         pairs = common.materialize(pairs, "pairs")
-        tokens = self._with_tokens(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+        tokens = self._with_tokens(_ends(pairs))
         many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEALT).alias("k")).where("k > 1")
         many = common.materialize(many, "many")
         few = not many.limit(1).count()
@@ -502,10 +507,12 @@ class Join:
         While pairs are many beside their sets, those that look nearest at
         each set are verified, a few more in each round, and pairs whose ends
         are connected by then needn't be: in a large family most go unlooked
-        at.  What is left is verified whole, so nothing that links is missed.
+        at.  When a round leaves more than half, or pairs are few, the rest is
+        verified whole, so nothing that links is missed.
         """
         left, tries, links = common.materialize(pairs, "candidates"), 2, None
-        while left.count() > EACH * left.select(F.explode(F.array("a", "b")).alias("c")).distinct().count():
+        n, before = left.count(), None
+        while n > EACH * _ends(left).count() and (before is None or 2 * n < before):
             near = lambda end, other: left.withColumn("r", F.row_number().over(Window.partitionBy(end).orderBy("apart", other))).where(F.col("r") <= tries).drop("r")  # noqa: B023, E731
             chosen = common.materialize(near("a", "b").unionByName(near("b", "a")).distinct(), "nearest")
             found = self._verified(chosen.select("a", "b"))
@@ -515,7 +522,8 @@ class Join:
             rest = left.join(chosen.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
             rest = common.materialize(rest.where("root_a is null or root_b is null or root_a <> root_b").select("a", "b", "apart"), "candidates")
             common.drop(left, chosen)
-            left, tries = rest, 4 * tries
+            left, tries, before = rest, 4 * tries, n
+            n = left.count()
         found = self._verified(left.select("a", "b"))
         return found if links is None else links.unionByName(found)
 
