@@ -23,6 +23,7 @@ of any length are tokenised whole; other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import re
 import zlib
 from collections import defaultdict
@@ -127,8 +128,8 @@ class ChunkEncoder:
         chunks = list(set().union(*split).difference(new))
         self.learn(chunks)
         out = [b"".join(map(new.__getitem__, s)) for s in split]
-        for c in chunks:
-            if len(c) > LONG:
+        if max(map(len, chunks), default=0) > LONG:
+            for c in (c for c in chunks if len(c) > LONG):
                 for key in (c, c.lower(), c.lower()[:-1]):  # the chunk, and the word that it was made of
                     new.pop(key, None)
         if len(new) > _KEPT:
@@ -196,34 +197,36 @@ def linear_groups(lengths: dict[int, int], n_groups: int) -> list[tuple[int, lis
 
 
 def best_pattern(sizes: list[int], values, capacity: int):
-    """(value, counts) of the multiset of sizes within capacity of the highest value."""
+    """(value, counts) of the multiset of sizes within capacity of the highest value.
+
+    One layer for each further item: the best with it, for every capacity at once.
+    """
     import numpy as np
 
-    s, v = np.array(sizes), np.asarray(values)
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        fits = c - s
-        got = np.where(fits >= 0, best[np.maximum(fits, 0)] + v, -1.0)
-        k = int(got.argmax())
-        if got[k] > best[c - 1] + 1e-12:
-            best[c], choice[c] = got[k], k
-        else:
-            best[c] = best[c - 1]
+    best, layers = np.zeros(capacity + 1), []
+    for _ in range(capacity // min(sizes)):
+        more, pick = best.copy(), np.full(capacity + 1, -1)
+        for k, (s, v) in enumerate(zip(sizes, values)):
+            got = best[: capacity + 1 - s] + v
+            better = got > more[s:] + 1e-12
+            more[s:][better], pick[s:][better] = got[better], k
+        if (pick < 0).all():
+            break
+        layers.append(pick)
+        best = more
     counts, c = [0] * len(sizes), capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            counts[choice[c]] += 1
-            c -= sizes[choice[c]]
+    for pick in reversed(layers):
+        if pick[c] >= 0:
+            counts[pick[c]] += 1
+            c -= sizes[pick[c]]
     return float(best[capacity]), counts
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 150) -> list[tuple[list[int], int]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 500) -> list[tuple[list[int], int]]:
     """Patterns and how often to use each, covering the demand exactly.
 
     A linear programme over patterns by column generation (revised simplex,
-    one basic pattern per size), rounded down; what is left, less than one
+    one basic pattern per size), rounded down; if the rounds run out, the gap is logged; what is left, less than one
     sequence per size, is packed first-fit on the sizes.
     """
     import numpy as np
@@ -239,9 +242,12 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         value, counts = best_pattern(sizes, price, capacity)
         if value <= 1 + 1e-6:
             break
+        gap = value - 1  # the programme's optimum is at most this share lower
         x, d = inverse @ need, inverse @ np.array(counts, float)
         ratio = np.where(d > 1e-9, np.maximum(x, 0) / np.where(d > 1e-9, d, 1), np.inf)
         basis[:, int(ratio.argmin())] = counts
+    else:
+        logging.getLogger(__name__).warning("packing: %d rounds end within %.2g of the best configurations", rounds, gap)
     x = np.linalg.inv(basis) @ need
     left, out = list(demand), []
     for k in range(n):
