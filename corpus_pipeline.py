@@ -14,15 +14,27 @@ from claimloom.llm import common, line_dedup, mixing, ngram_join, packing, quali
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling rejects go."""
+    """Documents that importance resampling rejects go.
+
+    Texts that are null or without words go with them.  Repeated rows of one
+    id share their noise, and stay or go alike; documents that tie with the
+    last one stay; without labels all with words stay.  An empty table stays
+    empty; columns keep their names, whatever they are.
+    """
     return quality.select(docs, common.table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go from the texts; documents that lose all their words go."""
+    """Later repeated runs of lines go from the texts; documents that lose all their words go.
+
+    Null texts, and texts without words from the start, stay as they are;
+    documents with null id come last in the order of copies; repeated rows of
+    one id and text lose the same lines.  n_chars, where there is one, follows
+    the text.
+    """
     cut = line_dedup.without_repeats(docs, removed_col=(removed := common.unused(docs, "_removed")))
     left = cut.where(F.col(removed).isNull() | F.col("text").rlike(common.WORD)).drop(removed)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +64,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated and thinned to their target weights."""
+    """Sources are repeated and thinned to their target weights.
+
+    A document comes once for each pass that takes words of it; null sources
+    are one source; texts without words are in no pass, and go.
+    """
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All texts packed into sequences of 4096 tokens."""
+    """All texts packed into sequences of 4096 tokens; an empty text is its separator alone, each row is packed."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
