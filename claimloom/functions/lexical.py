@@ -34,3 +34,11 @@ def search_key(text: Column) -> Column:
 
 def sha256(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(content, 256))
+
+
+def percent_encoded(text: Column) -> Column:
+    """A text as part of an IRI: all but letters, digits and ``-._~`` of ASCII as percent-encoded UTF-8."""
+    out = F.url_encode(text)  # which follows forms: a plus for a space, ``*`` as it is, ``~`` encoded
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out

@@ -45,6 +45,13 @@ def not_entailed(values: DataFrame, column: str, ancestors: DataFrame, targets:
     return values.join(below.unionByName(direct).distinct(), column, "left_anti")
 
 
+def disjoint_violations(types: DataFrame, disjoint: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(entity, a, b): entities (entity, class) that fall under both of two classes declared disjoint (a, b)."""
+    under = types.join(ancestors, types["class"] == ancestors["term"]).select("entity", "ancestor").distinct()
+    first = disjoint.join(under.withColumnRenamed("ancestor", "a"), "a")
+    return first.join(under.withColumnRenamed("ancestor", "b"), ["entity", "b"]).select("entity", "a", "b").distinct()
+
+
 def hierarchy_facts(triples: DataFrame, classes: DataFrame, properties: DataFrame) -> DataFrame:
     """Each triple under the ancestors of its property, each type under the ancestors of its class."""
     up = triples.join(properties, triples["p"] == properties["term"]).select("s", F.col("ancestor").alias("p"), "o", "lit")

@@ -52,6 +52,17 @@ def usable(claims: DataFrame, dependencies: DataFrame, allowed: DataFrame) -> Da
     return claims.join(verdict.where("not ok"), "claim_id", "left_anti")
 
 
+def complete(facts: DataFrame, visible: DataFrame) -> DataFrame:
+    """(claim_id) of claims whose visible facts are all their facts; a claim that is hidden in part is hidden.
+
+    facts and visible: (claim_id, property, value), repeats counting once.
+    Both sides are summed up per claim, so nothing is compared row by row.
+    """
+    own = F.xxhash64("property", F.coalesce("value", F.lit("\u0000"))).cast("decimal(38,0)")
+    total = lambda rows: rows.select("claim_id", "property", "value").distinct().groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.sum(own).alias("code"))
+    return total(facts).join(total(visible), ["claim_id", "n", "code"]).select("claim_id")
+
+
 def dependencies(claims: DataFrame, classified: DataFrame | None = None) -> DataFrame:
     """(claim_id, resource, property) of all that a claim shows or was made from.
 

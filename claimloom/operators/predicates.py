@@ -26,7 +26,7 @@ IDENTIFIERS = ("subject_id", "object_id", "relation", "relation_type", "subject_
 
 
 class PlanError(ValueError):
-    """A query that can't be run; ``kind`` is invalid, unsupported, range or limit."""
+    """A query that can't be run; ``kind`` is invalid, unsupported, range, limit or denied."""
 
     def __init__(self, kind: str, message: str):
         super().__init__(message)

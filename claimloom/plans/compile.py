@@ -178,8 +178,12 @@ def check_triple(name: str, op: str, value, capabilities: frozenset[str]) -> Non
         raise _invalid(f"{name} compared with {', '.join(operands)}")
 
 
-def compile_query(query: dict, profile: dict | None = None, config: dict | None = None, capabilities: frozenset[str] = frozenset()) -> Plan:
-    """A checked plan.  capabilities: any of lexical, ontology, programs."""
+def compile_query(query: dict, profile: dict | None = None, config: dict | None = None, capabilities: frozenset[str] = frozenset(), captured: str | None = None) -> Plan:
+    """A checked plan.  capabilities: any of lexical, ontology, programs.
+
+    captured: the time that a query without one of its own is as of; it is
+    part of the plan, and so of its digest.
+    """
     notices = []
     config = {k: v for k, v in (config or {}).get("defaults", {}).items()}
     check_shape(query)
@@ -232,7 +236,7 @@ def compile_query(query: dict, profile: dict | None = None, config: dict | None
                 value = [expand(context, v) if isinstance(v, str) else v for v in value] if isinstance(value, list) else expand(context, value) if isinstance(value, str) else value
             check_triple(name, op, value, capabilities)
             triples[phase].append((name, op, value))
-    as_of = bounds.get("as_of")
+    as_of = bounds.get("as_of", captured)
     if as_of is not None:
         as_of = timestamps.text(timestamps.parse(as_of))
     options = Options(caps["max_depth"], direction, caps["fanout_limit"], caps["max_claims"], caps["path_limit"], cycle, triples["walk"], triples["filter"])

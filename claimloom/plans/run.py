@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import canonical
-from claimloom.operators import bundles, documents, landing, policy, programs, scan, walk
+from claimloom.operators import bundles, documents, landing, policy, predicates, programs, scan, walk
 from claimloom.operators.graph import Graph
+from claimloom.operators.predicates import PlanError
 from claimloom.plans.compile import Plan
 
 
 class Result:
-    """paths are ranked; claims, evidence and explain are None unless the query selects them."""
+    """paths are ranked; claims, evidence and explain are None unless the query selects them.
 
-    def __init__(self, paths: DataFrame, claims: DataFrame | None, notices: list[str], seeds: DataFrame, explain: dict | None, evidence: DataFrame | None = None):
-        self.paths, self.claims, self.notices, self.seeds, self.explain, self.evidence = paths, claims, notices, seeds, explain, evidence
+    footprint: under an authority, the (resource, property) pairs that the
+    returned claims rest on, which must still be allowed when it is shown.
+    """
+
+    def __init__(self, paths: DataFrame, claims: DataFrame | None, notices: list[str], seeds: DataFrame, explain: dict | None, evidence: DataFrame | None = None, footprint: DataFrame | None = None):
+        self.paths, self.claims, self.notices, self.seeds, self.explain, self.evidence, self.footprint = paths, claims, notices, seeds, explain, evidence, footprint
 
     def digest(self) -> str:
         """A digest of the ranked paths."""
@@ -43,6 +48,7 @@ def execute(
     """
     spark = catalog.sparkSession
     if authority is not None:
+        _check_terms(plan, authority, spark)
         claims = authority.usable(Graph.of(claims).by_subject, plan.as_of)
     elif plan.as_of is not None:
         claims = Graph.of(claims).map(lambda c: scan.as_of(c, plan.as_of))
@@ -81,4 +87,17 @@ def execute(
         evidence = documents.hydrate(bundles.path_sources(walk.returned_claims(top)), sources)
         if evidence.where("outcome <> 'verified'").limit(1).count():
             notices.add("evidence_unavailable")
-    return Result(top, returned, sorted(notices | done.notices), seeds, explain, evidence)
+    footprint = None
+    if authority is not None:
+        footprint = policy.dependencies(walk.returned_claims(top), authority.classified).select("resource", "property").distinct()
+    return Result(top, returned, sorted(notices | done.notices), seeds, explain, evidence, footprint)
+
+
+def _check_terms(plan: Plan, authority: policy.Authority, spark) -> None:
+    """What a query's terms mean must be visible too: one that asks by a hidden class or property fails, rather than finding nothing."""
+    terms = sorted({t[2] for t in plan.options.predicates + plan.options.filters if t[1] in predicates.ONTOLOGY})
+    if terms:
+        asked = spark.createDataFrame([(t, "vocabulary") for t in terms], "resource string, property string")
+        hidden = policy.decide(asked, authority.rules, authority.classes).where(~F.coalesce("allowed", F.lit(False))).select("resource").limit(1).collect()
+        if hidden:
+            raise PlanError("denied", "a term that the query asks by")

@@ -58,6 +58,36 @@ def query_authorized(spark, d):
     return walk.summary(execute(plan, held, catalog, authority=_authority(spark, d)).paths)
 
 
+@query(
+    "complete_claims",
+    "select relation, count(*) as n from claims where not (relation = 'contains' and length(object_id) % 2 = 0) and not (relation = 'label' and length(object_id) % 3 = 0) group by relation",
+)
+def complete_claims(spark, d):
+    """Claims all of whose facts are visible, where some objects and some confidences are hidden."""
+    held = star.claims(spark, d)
+    one = lambda name: F.struct(F.lit(name).alias("property"), F.col(name).cast("string").alias("value"))
+    facts = held.select("claim_id", "relation", F.length("object_id").alias("n"), F.inline(F.array(*[one(c) for c in ("subject_id", "relation", "object_id", "confidence")])))
+    hidden = ((F.col("relation") == "contains") & (F.col("n") % 2 == 0) & (F.col("property") == "object_id")) | ((F.col("relation") == "label") & (F.col("n") % 3 == 0) & (F.col("property") == "confidence"))
+    shown = policy.complete(facts, facts.where(~hidden))
+    return held.join(shown, "claim_id", "left_semi").groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("disjoint_types", "select 'c:' || c_custkey as entity, 'party' as a, 'thing' as b from customer where c_custkey % 3 = 0 and c_nationkey < 10", claims=False)
+def disjoint_types(spark, d):
+    """Customers that fall under two classes declared disjoint."""
+    c = star.table(spark, d, "customer")
+    iri = F.concat(F.lit("c:"), "c_custkey").alias("entity")
+    types = c.where(F.col("c_custkey") % 3 == 0).select(iri, F.lit("customer").alias("class")).unionByName(c.where(F.col("c_nationkey") < 10).select(iri, F.lit("part").alias("class")))
+    closed = ontology.closure(spark.createDataFrame([("customer", "party"), ("part", "thing")], "a string, b string"), "a", "b")
+    return ontology.disjoint_violations(types, spark.createDataFrame([("party", "thing")], "a string, b string"), closed)
+
+
+@query("iri_encoded", "select distinct text[1:40] as part, url_encode(text[1:40]) as iri from documents where text is not null", claims=False)
+def iri_encoded(spark, d):
+    part = F.substring("text", 1, 40)
+    return star.table(spark, d, "documents").where("text is not null").select(part.alias("part"), lexical.percent_encoded(part).alias("iri")).distinct()
+
+
 # ---------------------------------------------------------------- ontology predicates
 
 

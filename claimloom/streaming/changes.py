@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators import bundles
+
 
 class Conflict(ValueError):
     """A batch that doesn't follow from the snapshot."""
@@ -53,6 +55,23 @@ class Snapshots:
             raise LookupError(f"no snapshot at {pin}")
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/at-{pin}")
 
+    def pin(self, at: int, log: DataFrame | None = None, consistency: str = "exact") -> tuple[int, bool]:
+        """(generation to read, whether it is stale) for a query that asks for a number.
+
+        exact: that generation or none.  allow_stale: else the last one before
+        it, if the log (seq) leads from there to the number without a gap, so
+        that it is an ancestor.
+        """
+        if consistency not in ("exact", "allow_stale"):
+            raise ValueError(f"consistency {consistency!r}")
+        held = self.generations()
+        if at in held:
+            return at, False
+        older = max((g for g in held if g < at), default=None)
+        if consistency == "exact" or older is None or log is None or not bundles.contiguous(log, older, at):
+            raise LookupError(f"no snapshot at {at}")
+        return older, True
+
     def apply(self, changes: DataFrame) -> int:
         """Apply changes after the head; returns the new head.
 

@@ -243,6 +243,24 @@ def test_authority(spark):
     assert {r["claim_id"] for r in policy.Authority(rules, classified=support).usable(held).collect()} == {"c"}
 
 
+def test_hidden_terms_fail_a_query(spark):
+    from claimloom.plans.run import execute
+
+    rules = spark.createDataFrame([("1", "default", None, True, False), ("2", "subject", "secret", False, False)], "rule_id string, target string, value string, allow boolean, required boolean")
+    empty = spark.createDataFrame([], "term string, ancestor string")
+
+    def run(term):
+        plan = compile_query({"about": [{"from": ["port"], "match": "exact"}], "bounds": {"max_depth": 1}, "walk": {"predicates": [["meta:object_id", "not_isa", term]]}}, capabilities=frozenset({"ontology"}))
+        return execute(plan, claims(spark, FERRY), spark.createDataFrame([("port", None)], "id string, label string"), authority=policy.Authority(rules), ontology={"class": empty})
+
+    with pytest.raises(PlanError) as e:
+        run("secret")
+    assert e.value.kind == "denied"
+    got = run("open")
+    assert got.paths.count() == 2
+    assert {tuple(r) for r in got.footprint.collect()} == {("port", "knows"), ("port", "identity"), ("knows", "vocabulary"), ("isle", "identity"), ("cape", "identity")}
+
+
 def test_entity_ids(spark):
     df = spark.createDataFrame([(["b", "a", "b"],), (["a", "b"],), (["a"],)], "anchors array<string>")
     ids = [r[0] for r in df.select(vocabulary.entity_id(F.lit("doc"), F.col("anchors"))).collect()]
@@ -281,6 +299,16 @@ def test_snapshots(spark, tmp_path):
     assert [r["seq"] for r in check_predecessors(chain).collect()] == [3]
 
 
+def test_stale_pins(spark, tmp_path):
+    s, log = Snapshots(spark, str(tmp_path / "s")), spark.range(12).withColumnRenamed("id", "seq")
+    for low, top in ((0, 4), (4, 7)):
+        s.apply(log.where(f"seq >= {low} and seq < {top}").selectExpr("seq", "'k' as key", "'put' as op", "string(seq) as payload"))
+    assert s.pin(3) == (3, False) and s.pin(6, log, "allow_stale") == (6, False) and s.pin(9, log, "allow_stale") == (6, True)
+    for at, changes, how in ((9, log, "exact"), (9, log.where("seq <> 8"), "allow_stale"), (9, None, "allow_stale"), (2, log, "allow_stale")):
+        with pytest.raises(LookupError):
+            s.pin(at, changes, how)
+
+
 def test_changes_name_what_they_replace(spark, tmp_path):
     import hashlib
 
