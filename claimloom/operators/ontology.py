@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom import storage
@@ -168,6 +168,16 @@ RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+#: Families that look at one fact beside the schema: what they give from facts of earlier rounds is there already.
+LINEAR = ("symmetric", "inverse", "domain", "range", "subproperty", "subclass", "equivalent_class", "has_value_type", "has_value_fact", "union", "one_of")
+
+
+def _of_schema() -> Column:
+    """Whether a fact is about classes and properties rather than entities."""
+    spelt = F.startswith("p", F.lit("rdfs:")) | (F.startswith("p", F.lit("owl:")) & (F.col("p") != SAME))
+    return spelt | ((F.col("p") == TYPE) & F.startswith("o", F.lit("owl:")))
+
+
 def canonical(triples: DataFrame) -> DataFrame:
     """Triples with each class of same nodes replaced, in both places, by its least."""
     pairs = triples.where((F.col("p") == SAME) & (F.col("s") != F.col("o"))).select(F.col("s").alias("a"), F.col("o").alias("b"))
@@ -194,21 +204,24 @@ def canonical(triples: DataFrame) -> DataFrame:
 def materialise(triples: DataFrame, rules=None, limit: int = 50, most: int | None = None) -> DataFrame:
     """All facts that follow by the named rules (all, if none are named), same nodes made one.
 
+    Families that look at one fact are run on what the round before has added
+    (and the schema), unless that is schema itself; the others on all facts.
     most: facts at which it gives up with an error; a partial answer is never returned.
     """
     chosen = list(RULES) if rules is None else list(rules)
     now = storage.materialize(triples.select("s", "p", "o", "lit").distinct(), "facts")
-    n = now.count()
+    n, new = now.count(), now
     for _ in range(limit):
+        fresh = now if new.where(_of_schema()).limit(1).count() else new.unionByName(now.where(_of_schema()))
         grown = now
         for name in chosen:
-            grown = grown.unionByName(RULES[name](now))
+            grown = grown.unionByName(RULES[name](fresh if name in LINEAR else now))
         grown = storage.materialize(canonical(storage.materialize(grown.distinct(), "facts")), "facts")
-        new = grown.exceptAll(now).limit(1).count()
+        new = storage.materialize(grown.subtract(now), "added")
         m = grown.count()
         if most is not None and m > most:
             raise RuntimeError("more facts than allowed")
-        if not new and m == n:
+        if m == n and not new.limit(1).count():
             return grown
         now, n = grown, m
     raise RuntimeError("no fixed point within the rounds")
