@@ -142,7 +142,7 @@ def count_tokens(
     misses = distinct.join(known(), "digest", "left_anti")
     counted = misses.mapInArrow(_counts(tokenizer_path), "digest binary, n_tokens long")
     common.write(counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens"), cache_path, "append")
-    sized = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
+    sized = common.materialize(keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "sized")
     found = sized.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).join(known(), "digest")
     return common.join_spread(sized, common.materialize(found, "counts", counted="n"), ["digest"]).select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 

@@ -151,6 +151,7 @@ def judge(pages: DataFrame, rules, edges: DataFrame | None = None, id_col: str =
     spark = pages.sparkSession
     table = rule_table(spark, rules) if not isinstance(rules, DataFrame) else rules
     rows = with_parts(pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url")), "url").withColumn("key", _key()).drop("query")
+    rows = common.materialize(rows, "urls")
 
     found = links(pages, url_col, html_col)
     if edges is not None:
