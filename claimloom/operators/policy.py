@@ -92,6 +92,11 @@ class Authority:
     lifecycle: DataFrame | None = None
     classified: DataFrame | None = None
 
+    def digest(self) -> tuple:
+        """What tells one state of the rules and memberships from another."""
+        parts = [self.rules] + ([self.classes] if self.classes is not None else [])
+        return tuple(tuple(p.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(p.columns)).cast("decimal(38,0)"))).first()) for p in parts)
+
     def usable(self, claims: DataFrame, cutoff=None) -> DataFrame:
         """The claims that may be used at the cutoff, with their lifecycle state.  Whatever is hidden takes no part in anything later."""
         held = claims if cutoff is None else scan.as_of(claims, cutoff)

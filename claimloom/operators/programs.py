@@ -23,6 +23,8 @@ _TOKEN = re.compile(r'\s*(?:(\d+(?:\.\d+)?)|("(?:[^"\\]|\\.)*")|([A-Za-z_]\w*)|(
 #: Binary operators from the loosest to the tightest.
 _LEVELS = (("||",), ("&&",), ("==", "!="), (">", ">=", "<", "<="), ("+", "-"), ("*", "/", "%"))
 NUMBER = "decimal(38,12)"
+#: What one program may take: operations (those of a let counting wherever it is used), nesting, calls, bytes of its first state.
+LIMITS = {"operations": 100_000, "depth": 32, "calls": 1024, "state": 64 * 1024}
 
 
 def tokens(text: str) -> list[tuple[str, str]]:
@@ -119,6 +121,19 @@ def names(tree) -> set[str]:
     return set().union(*(names(t) for t in parts if isinstance(t, tuple)))
 
 
+def measure(tree, lets: dict[str, tuple[int, int]] | None = None, at: int = 1) -> tuple[int, int, int]:
+    """(operations, depth, calls) of an expression; lets: (operations, calls) of the names that stand for expressions."""
+    if at > LIMITS["depth"]:
+        raise PlanError("limit", "depth of a program")
+    if tree[0] == "lit":
+        return 1, 1, 0
+    if tree[0] == "name":
+        operations, calls = (lets or {}).get(tree[1], (1, 0))
+        return operations, 1, calls
+    parts = [measure(t, lets, at + 1) for t in (tree[2] if tree[0] == "call" else tree[1:])]
+    return 1 + sum(p[0] for p in parts), 1 + max((p[1] for p in parts), default=0), (tree[0] == "call") + sum(p[2] for p in parts)
+
+
 def column(tree, scope: dict[str, Column]) -> Column:
     kind = tree[0]
     if kind == "lit":
@@ -172,6 +187,20 @@ class Program:
             for k in ready:
                 self.lets[k] = lets.pop(k)
         self.columns = [f"{label}_{k}" for k in self.init]
+        self._check_limits()
+
+    def _check_limits(self) -> None:
+        """Refuse a program that is too large, before any of it is made into columns."""
+        held: dict[str, tuple[int, int]] = {}
+        used = {"operations": 0, "depth": 0, "calls": 0, "state": sum(len(str(k).encode()) + len(str(v).encode()) for k, v in self.init.items())}
+        for name, tree in [*self.lets.items(), *self.next.items(), ("", self.keep)]:
+            operations, depth, calls = measure(tree, held)
+            if name in self.lets:
+                held[name] = (operations, calls)
+            used |= {"operations": used["operations"] + operations, "depth": max(used["depth"], depth), "calls": used["calls"] + calls}
+        for what, most in LIMITS.items():
+            if used[what] > most:
+                raise PlanError("limit", f"{what} of a program")
 
     def _literal(self, value) -> Column:
         return F.lit(value).cast(NUMBER) if isinstance(value, (int, Decimal)) and not isinstance(value, bool) else F.lit(value)

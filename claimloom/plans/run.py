@@ -22,6 +22,15 @@ class Result:
     def __init__(self, paths: DataFrame, claims: DataFrame | None, notices: list[str], seeds: DataFrame, explain: dict | None, evidence: DataFrame | None = None, footprint: DataFrame | None = None):
         self.paths, self.claims, self.notices, self.seeds, self.explain, self.evidence, self.footprint = paths, claims, notices, seeds, explain, evidence, footprint
 
+    #: The state of the authority that the result was made under.
+    authority: tuple | None = None
+
+    def release(self, authority: policy.Authority) -> DataFrame:
+        """The paths, if the authority is still what it was when they were found."""
+        if authority.digest() != self.authority:
+            raise PlanError("denied", "the policy changed while the query ran")
+        return self.paths
+
     def digest(self) -> str:
         """A digest of the ranked paths."""
         rows = [r.asDict() for r in walk.summary(self.paths).orderBy("rank").collect()]
@@ -47,6 +56,7 @@ def execute(
     the documents that evidence is read from.
     """
     spark = catalog.sparkSession
+    state = None if authority is None else authority.digest()
     if authority is not None:
         _check_terms(plan, authority, spark)
         claims = authority.usable(Graph.of(claims).by_subject, plan.as_of)
@@ -90,7 +100,9 @@ def execute(
     footprint = None
     if authority is not None:
         footprint = policy.dependencies(walk.returned_claims(top), authority.classified).select("resource", "property").distinct()
-    return Result(top, returned, sorted(notices | done.notices), seeds, explain, evidence, footprint)
+    result = Result(top, returned, sorted(notices | done.notices), seeds, explain, evidence, footprint)
+    result.authority = state
+    return result
 
 
 def _check_terms(plan: Plan, authority: policy.Authority, spark) -> None:

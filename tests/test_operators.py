@@ -257,10 +257,25 @@ def test_hidden_terms_fail_a_query(spark):
         run("secret")
     assert e.value.kind == "denied"
     got = run("open")
-    assert got.paths.count() == 2
+    assert got.paths.count() == 2 and got.release(policy.Authority(rules)).count() == 2
+    with pytest.raises(PlanError):
+        got.release(policy.Authority(rules.where("rule_id = '1'")))
     assert {tuple(r) for r in got.footprint.collect()} == {("port", "knows"), ("port", "identity"), ("knows", "vocabulary"), ("isle", "identity"), ("cape", "identity")}
 
 
+def test_limits_of_programs():
+    from claimloom.operators.programs import Program
+
+    Program({"let": {"a": "1 + 2", "b": "a * a"}, "keep": "b > 3"}, "p")
+    # each let doubles the one before: 2^20 operations of a few lines
+    lets = {"a0": "1"} | {f"a{i}": f"a{i - 1} + a{i - 1}" for i in range(1, 21)}
+    large = [{"let": lets, "keep": "a20 > 1"}, {"keep": "(" * 40 + "1" + " + 1)" * 40 + " > 1"}, {"keep": "min(" + ", ".join(["abs(1)"] * 1100) + ") > 1"}, {"init": {"s": "x" * 70_000}, "keep": "true"}]
+    for spec in large:
+        with pytest.raises(PlanError) as e:
+            Program(spec, "p")
+        assert e.value.kind == "limit"
+
+
 def test_entity_ids(spark):
     df = spark.createDataFrame([(["b", "a", "b"],), (["a", "b"],), (["a"],)], "anchors array<string>")
     ids = [r[0] for r in df.select(vocabulary.entity_id(F.lit("doc"), F.col("anchors"))).collect()]
