@@ -144,7 +144,9 @@ def test_jaccard_documents(spark, docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(list(texts(docs).items()))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(50)]
     root = {}
