@@ -360,9 +360,9 @@ def _open(percent: int):
     return run
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    """(class) of the sets that pairs (a, b) have."""
-    return pairs.select(F.col("a").alias("class")).distinct().unionByName(pairs.select(F.col("b").alias("class")).distinct()).distinct()
+def _ends(pairs: DataFrame, a: str = "a", b: str = "b", out: str = "class") -> DataFrame:
+    """(class) of the sets that pairs (a, b) have; each end is made distinct by itself first."""
+    return pairs.select(F.col(a).alias(out)).distinct().unionByName(pairs.select(F.col(b).alias(out)).distinct()).distinct()
 
 
 class Join:
@@ -483,15 +483,14 @@ class Join:
         """
         pairs = common.materialize(pairs, "pairs")
         tokens = self._with_tokens(_ends(pairs))
-        many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEALT).alias("k")).where("k > 1")
-        many = common.materialize(many, "many")
-        few = not many.limit(1).count()
+        of = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+        few = (of.agg(F.max("k")).first()[0] or 0) <= DEALT
         left = tokens.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
         if few:
             dealt, left = pairs.withColumn("slot", F.lit(0).cast("long")), left.withColumn("slot", F.lit(0).cast("long"))
         else:
-            small = many.count() <= BROADCAST_IDS
-            many = F.broadcast(many) if small else many
+            many = common.materialize(of.where(F.col("k") > DEALT).select("a", F.ceil(F.col("k") / DEALT).alias("k")), "many")
+            many = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
             dealt = pairs.join(many, "a", "left").withColumn("slot", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1)))).drop("k")
             left = left.join(many, "a", "left").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("k", F.lit(1)) - 1))).drop("k")
         both = dealt.join(tokens.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b").join(left, ["a", "slot"])
@@ -588,7 +587,7 @@ class Join:
         common.drop(matrix)
 
         named = members.select("class", "g", "n", "prefix")
-        names = common.materialize(named.join(near.select(F.explode(F.array("g", "h")).alias("g")).distinct(), "g", "left_semi"), "members")
+        names = common.materialize(named.join(_ends(near, "g", "h", "g"), "g", "left_semi"), "members")
         a, b = names.select("g", F.col("class").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), names.select(F.col("g").alias("h"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
         pairs = near.where("alone").join(a, "g").join(b, "h").mapInArrow(_pair_bound(t), "a binary, b binary, apart double")
         links = self._spanning(pairs).unionByName(self._opened(near.where("not alone"), names))
@@ -597,7 +596,7 @@ class Join:
 
     def _opened(self, near: DataFrame, names: DataFrame) -> DataFrame:
         """Links between groups of which one at least has several sets: the smaller's members against the larger's blocks."""
-        held = names.join(near.select(F.explode(F.array("g", "h")).alias("g")).distinct(), "g", "left_semi")
+        held = names.join(_ends(near, "g", "h", "g"), "g", "left_semi")
         sizes = common.materialize(held.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("low"), F.max("n").alias("high")), "sizes")
         other = sizes.select(F.col("g").alias("h"), F.col("m").alias("mh"), F.col("low").alias("lowh"), F.col("high").alias("highh"))
         sized = near.join(sizes, "g").join(other, "h").where((100 * F.col("high") >= self.percent * F.col("lowh")) & (100 * F.col("highh") >= self.percent * F.col("low")))
