@@ -82,11 +82,11 @@ def start(seeds: DataFrame) -> DataFrame:
 def _candidates(frontier: DataFrame, graph: Graph, direction: str, steps: list[str]) -> DataFrame:
     """frontier rows with the columns of a claim at their node (prefixed c_) and the node that it leads to."""
     renamed = lambda claims: claims.select(*[F.col(x).alias("c_" + x) for x in steps])
-    parts = []
+    parts, nodes = [], graph.nodes(frontier)
     if direction in ("outgoing", "both"):
-        parts.append(frontier.join(renamed(graph.by_subject), F.col("node") == F.col("c_subject_id")).withColumn("to", F.when(F.col("c_object_kind") == "iri", F.col("c_object_id"))))
+        parts.append(frontier.join(renamed(graph.outgoing(nodes)), F.col("node") == F.col("c_subject_id")).withColumn("to", F.when(F.col("c_object_kind") == "iri", F.col("c_object_id"))))
     if direction in ("incoming", "both"):
-        own = renamed(graph.by_object)
+        own = renamed(graph.incoming(nodes))
         if direction == "both":
             own = own.where("c_object_id <> c_subject_id")
         parts.append(frontier.join(own, F.col("node") == F.col("c_object_id")).withColumn("to", F.col("c_subject_id")))

@@ -47,6 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return held
 
 
+#: Rows up to which a side that was counted is broadcast.
+FEW = 500_000
+
+
+def few(df: DataFrame, name: str) -> DataFrame:
+    """df, written, and broadcast where it has few rows."""
+    held = materialize(df, name)
+    return F.broadcast(held) if held.count() <= FEW else held
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and no plan reads any more."""
     for df in tables:
@@ -73,13 +83,3 @@ def ranked(df: DataFrame, order: list[tuple[Column, bool]], out: str) -> DataFra
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn(base, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(base)).drop(n)
     return rows.join(F.broadcast(counts), part).withColumn(out, F.col(nth) + F.col(base)).drop(part, nth, base)
-
-
-def stamp(spark: SparkSession, path: str) -> tuple:
-    """What tells one state of a file or folder from another: its files' names, sizes and times."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(at):
-        return ()
-    found = files.listStatus(at)
-    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
