@@ -242,11 +242,10 @@ def policy_allow(spark, d):
 )
 def usable(spark, d):
     rules = spark.createDataFrame(RULES, "rule_id string, target string, value string, allow boolean, required boolean")
-    held = star.claims(spark, d)
-    allowed = policy.decide(_requests(spark, d), rules, _classes(spark, d))
-    own = held.select("claim_id", F.col("subject_id").alias("resource"), F.col("relation").alias("property"))
-    ends = held.where("object_kind = 'iri' and object_id like 'n:%'").select("claim_id", F.col("object_id").alias("resource"), F.lit("label").alias("property"))
-    return policy.usable(held, own.unionByName(ends), allowed).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    nation = (F.col("object_kind") == "iri") & F.startswith("object_id", F.lit("n:"))
+    needs = [policy.Need("subject_id", of="relation"), policy.Need("object_id", "label", where=nation)]
+    held = policy.usable(star.claims(spark, d), policy.Verdicts(rules, _classes(spark, d)), *needs)
+    return held.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

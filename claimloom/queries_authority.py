@@ -22,12 +22,12 @@ _CLOSED = "(object_kind = 'iri' and object_id like 's:%' and try_cast(substr(obj
 _USABLE = f"subject_id <> 'o:3' and object_id <> 'o:3' and relation <> 'in_region' and not {_CLOSED}"
 
 
-def _authority(spark, d):
+def _authority(spark, d, lifecycle):
     """Order 3 is hidden, and the vocabulary's record of in_region, and every seventh supplier."""
     suppliers = star.table(spark, d, "supplier").where(F.col("s_suppkey") % 7 == 0)
     classes = suppliers.select(F.concat(F.lit("s:"), "s_suppkey").alias("resource"), F.lit("closed").alias("class"))
     rules = spark.createDataFrame(RULES, "rule_id string, target string, value string, allow boolean, required boolean")
-    return policy.Authority(rules, classes, star.lifecycle(spark, d))
+    return policy.Authority(rules, classes, lifecycle)
 
 
 @query(
@@ -36,7 +36,7 @@ def _authority(spark, d):
 )
 def authorized_claims(spark, d):
     """All usable claims with their states: each needs its relation, its ends and the relation's record to be visible."""
-    return _authority(spark, d).usable(star.claims(spark, d)).groupBy("relation", "lifecycle_state").agg(F.count(F.lit(1)).alias("n"))
+    return _authority(spark, d, star.lifecycle(spark, d)).usable(star.claims(spark, d)).groupBy("relation", "lifecycle_state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -55,7 +55,7 @@ def query_authorized(spark, d):
     )
     catalog = star.table(spark, d, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("id"), F.lit(None).cast("string").alias("label"))
     held = star.graph(spark, d, star.LINES + star.PLACED)
-    return walk.summary(execute(plan, held, catalog, authority=_authority(spark, d)).paths)
+    return walk.summary(execute(plan, held, catalog, authority=_authority(spark, d, lambda targets: star.lifecycle(spark, d, targets))).paths)
 
 
 @query(
@@ -64,12 +64,11 @@ def query_authorized(spark, d):
 )
 def complete_claims(spark, d):
     """Claims all of whose facts are visible, where some objects and some confidences are hidden."""
-    held = star.claims(spark, d)
     one = lambda name: F.struct(F.lit(name).alias("property"), F.col(name).cast("string").alias("value"))
-    facts = held.select("claim_id", "relation", F.length("object_id").alias("n"), F.inline(F.array(*[one(c) for c in ("subject_id", "relation", "object_id", "confidence")])))
-    hidden = ((F.col("relation") == "contains") & (F.col("n") % 2 == 0) & (F.col("property") == "object_id")) | ((F.col("relation") == "label") & (F.col("n") % 3 == 0) & (F.col("property") == "confidence"))
-    shown = policy.complete(facts, facts.where(~hidden))
-    return held.join(shown, "claim_id", "left_semi").groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    n, facts = F.length("object_id"), F.array(*[one(c) for c in ("subject_id", "relation", "object_id", "confidence")])
+    hidden = lambda f: ((F.col("relation") == "contains") & (n % 2 == 0) & (f["property"] == "object_id")) | ((F.col("relation") == "label") & (n % 3 == 0) & (f["property"] == "confidence"))
+    held = star.claims(spark, d).where(policy.complete(facts, F.filter(facts, lambda f: ~hidden(f))))
+    return held.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("disjoint_types", "select 'c:' || c_custkey as entity, 'party' as a, 'thing' as b from customer where c_custkey % 3 = 0 and c_nationkey < 10", claims=False)
