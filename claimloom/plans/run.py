@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom import storage
 from claimloom.functions import canonical
 from claimloom.operators import bundles, documents, landing, policy, predicates, programs, scan, walk
 from claimloom.operators.graph import Graph
@@ -59,7 +60,10 @@ def execute(
     state = None if authority is None else authority.digest()
     if authority is not None:
         _check_terms(plan, authority, spark)
-        claims = authority.usable(Graph.of(claims).by_subject, plan.as_of)
+        if isinstance(claims, Graph) and claims.at_subject is not None:
+            claims = claims.at_nodes(lambda c: authority.usable(c, plan.as_of))
+        else:
+            claims = storage.materialize(authority.usable(Graph.of(claims).by_subject, plan.as_of), "usable")
     elif plan.as_of is not None:
         claims = Graph.of(claims).map(lambda c: scan.as_of(c, plan.as_of))
     if landed is None:
