@@ -7,6 +7,8 @@ bundle.  Each check gives the rows that fail, with a reason.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,23 +20,45 @@ from claimloom.operators import ontology
 def disconnected(claims: DataFrame, limit: int = 64) -> DataFrame:
     """(bundle, reason): bundles whose entities the claims between them don't connect.
 
-    Type claims connect nothing.  Labels spread along claims inside each bundle
-    until they settle, halving distances by following labels of labels.
+    Type claims connect nothing.  Every round puts the least of an entity and
+    its neighbours in the entity's place, at both ends of its links.  That keeps
+    components apart and together, and links inside one entity fall away, so
+    rounds shrink; entities that no link leaves any more are a component each.
+    Two hashes of 64 bits stand for an entity, the second telling whether the
+    first meets another one in a bundle, which then gets other hashes.
     """
-    links = claims.where((F.col("object_kind") == "iri") & (F.col("predicate") != ontology.TYPE)).select("bundle", F.col("subject").alias("a"), F.col("object").alias("b"))
-    both = storage.materialize(links.unionByName(links.select("bundle", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    nodes = claims.select("bundle", F.col("subject").alias("a")).unionByName(both.select("bundle", "a")).distinct()
-    label = storage.materialize(nodes.withColumn("root", F.col("a")), "labels")
+    link = (F.col("object_kind") == "iri") & (F.col("predicate") != ontology.TYPE)
+    for seed in range(limit):
+        node = lambda c, k: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(2 * seed + k), c))  # noqa: B023, E731
+        ends = F.array(*[F.struct(node(own, 0).alias("a"), node(own, 1).alias("sure"), node(to, 0).alias("b")) for own, to in (("subject", "object"), ("object", "subject"))])
+        alone = F.transform(F.slice(ends, 1, 1), lambda x: F.struct(x["a"].alias("a"), x["sure"].alias("sure"), F.lit(None).cast("long").alias("b")))
+        rows = claims.select("bundle", F.inline(F.when(link, ends).otherwise(alone))).where("a is not null")
+        first = rows.groupBy("bundle", "a").agg(F.least("a", F.min("b")).alias("to"), F.min("sure").alias("low"), F.max("sure").alias("high"))
+        first = storage.materialize(first, "least")
+        if first.where("low <> high").limit(1).count():
+            continue
+        links = claims.where(link).select("bundle", node("subject", 0).alias("a"), node("object", 0).alias("b")).where("a <> b")
+        return _unjoined(first.select("bundle", "a", "to"), links, limit).select("bundle", F.lit("disconnected").alias("reason"))
+    raise RuntimeError("hashes meet")
+
+
+def _unjoined(least: DataFrame, links: DataFrame, limit: int) -> DataFrame:
+    """(bundle) of several components; least: (bundle, a, to), the least of each node and its neighbours; links: (bundle, a, b), between different nodes."""
+    done = []
     for _ in range(limit):
-        near = both.join(label.select("bundle", F.col("a").alias("b"), F.col("root").alias("r")), ["bundle", "b"]).groupBy("bundle", "a").agg(F.min("r").alias("r"))
-        jump = label.select("bundle", F.col("a").alias("root"), F.col("root").alias("far"))
-        new = label.join(near, ["bundle", "a"], "left").join(jump, ["bundle", "root"], "left").select("bundle", "a", F.least("root", F.coalesce("r", "root"), F.coalesce("far", "root")).alias("root"))
-        new = storage.materialize(new, "labels")
-        changed = new.join(label.withColumnRenamed("root", "old"), ["bundle", "a"]).where("root <> old").limit(1).count()
-        label = new
-        if not changed:
-            return label.groupBy("bundle").agg(F.countDistinct("root").alias("n")).where("n > 1").select("bundle", F.lit("disconnected").alias("reason"))
-    raise RuntimeError("labels did not settle")
+        here = lambda end: least.select("bundle", F.col("a").alias(end), F.col("to").alias("to_" + end))  # noqa: B023, E731
+        moved = links.join(here("a"), ["bundle", "a"]).join(here("b"), ["bundle", "b"]).where("to_a <> to_b")
+        moved = moved.select("bundle", F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        links = storage.materialize(moved, "links")
+        # nodes of the next round that no link has are components; the others go on
+        both = links.select("bundle", F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        nodes = least.select("bundle", F.col("to").alias("a"), F.lit(None).cast("long").alias("b")).distinct()
+        near = storage.materialize(nodes.unionByName(both).groupBy("bundle", "a").agg(F.min("b").alias("b")), "near")
+        done.append(near.where("b is null").groupBy("bundle").agg(F.count(F.lit(1)).alias("n")))
+        least = near.where("b is not null").select("bundle", "a", F.least("a", "b").alias("to"))
+        if not links.limit(1).count():
+            return reduce(DataFrame.unionByName, done).groupBy("bundle").agg(F.sum("n").alias("n")).where("n > 1").select("bundle")
+    raise RuntimeError("links did not settle")
 
 
 def type_violations(claims: DataFrame, types: DataFrame, domains: DataFrame, ranges: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -42,21 +66,31 @@ def type_violations(claims: DataFrame, types: DataFrame, domains: DataFrame, ran
 
     types: (bundle, entity, class); domains and ranges: (property, class), all
     of which must hold; ancestors: the classes' reflexive closure.  Literal
-    objects are held against ranges by their datatype.
+    objects are held against ranges by their datatype.  An entity of several
+    classes fits if one of them does, so an entity's fits are gathered once,
+    and each claim is held against those of its end.
     """
-    fits = ancestors.select(F.col("term").alias("own"), F.col("ancestor").alias("class"), F.lit(True).alias("ok")).distinct()
-
-    def against(rows: DataFrame, rules: DataFrame, reason: str) -> DataFrame:
-        asked = rows.join(rules.select(F.col("property").alias("predicate"), "class").distinct(), "predicate")
-        judged = asked.join(fits, ["own", "class"], "left").withColumn("ok", F.coalesce("ok", F.col("own") == F.col("class"), F.lit(False)))
-        # an entity of several classes fits if one of them does
-        return judged.groupBy("bundle", "local_id", "class").agg(F.bool_or("ok").alias("ok")).where("not ok").select("bundle", "local_id", F.lit(reason).alias("reason")).distinct()
-
-    kinds = types.select("bundle", F.col("entity").alias("e"), F.col("class").alias("own"))
-    subjects = claims.withColumn("e", F.col("subject")).join(kinds, ["bundle", "e"], "left").select("bundle", "local_id", "predicate", "own")
-    objects = claims.where("object_kind = 'iri'").withColumn("e", F.col("object")).join(kinds, ["bundle", "e"], "left").select("bundle", "local_id", "predicate", "own")
-    literals = claims.where("object_kind = 'literal'").select("bundle", "local_id", "predicate", F.col("datatype").alias("own"))
-    return against(subjects, domains, "domain").unionByName(against(objects.unionByName(literals), ranges, "range"))
+    every = domains.select("class").unionByName(ranges.select("class")).distinct()
+    up = ancestors.select(F.col("term").alias("own"), F.col("ancestor").alias("class")).unionByName(every.select(F.col("class").alias("own"), "class"))
+    up = up.join(every, "class", "left_semi").groupBy("own").agg(F.collect_set("class").alias("fits"))
+    kinds = types.join(up, types["class"] == up["own"]).groupBy("bundle", F.col("entity").alias("e")).agg(F.array_distinct(F.flatten(F.collect_set("fits"))).alias("fits"))
+
+    def needs(rules: DataFrame) -> DataFrame:
+        return rules.groupBy(F.col("property").alias("predicate")).agg(F.collect_set("class").alias("needs"))
+
+    def failing(rows: DataFrame, reason: str) -> DataFrame:
+        fails = F.size(F.array_except("needs", F.coalesce("fits", F.array().cast("array<string>")))) > 0
+        return rows.where(fails).select("bundle", "local_id", F.lit(reason).alias("reason"))
+
+    # subjects have many claims, so they are judged once for each property; those that fail are mostly few
+    asked = claims.select("bundle", F.col("subject").alias("e"), "predicate").distinct().join(needs(domains), "predicate")
+    bad = failing(asked.join(kinds, ["bundle", "e"], "left").withColumn("local_id", F.struct("e", "predicate")), "domain").select("bundle", "local_id.*")
+    bad = storage.few(bad, "outside").withColumnsRenamed({"bundle": "_b", "e": "_e", "predicate": "_p"})
+    subjects = claims.join(bad, (claims["bundle"] == bad["_b"]) & claims["subject"].eqNullSafe(bad["_e"]) & (claims["predicate"] == bad["_p"]), "left_semi").select("bundle", "local_id", F.lit("domain").alias("reason"))
+    limits = claims.join(needs(ranges), "predicate")
+    objects = limits.where("object_kind = 'iri'").withColumn("e", F.col("object")).select("bundle", "local_id", "e", "needs").join(kinds, ["bundle", "e"], "left")
+    literals = limits.where("object_kind = 'literal'").join(up, F.col("datatype") == F.col("own"), "left")
+    return subjects.unionByName(failing(objects, "range").unionByName(failing(literals, "range"))).distinct()
 
 
 def unsupported_times(claims: DataFrame) -> DataFrame:

@@ -11,12 +11,10 @@ from claimloom.sources import star
 
 def _bundles(spark, d):
     """Orders of one remainder as a bundle: order -> part and order -> supplier claims."""
-    lines = star.keyed_lineitem(spark, d)
-    both = None
-    for predicate, col, p in (("contains", "l_partkey", "p:"), ("shipped_by", "l_suppkey", "s:")):
-        got = lines.select(F.pmod("l_orderkey", F.lit(700)).alias("bundle"), F.concat(F.lit(predicate[0] + ":"), "k").alias("local_id"), F.concat(F.lit("o:"), "l_orderkey").alias("subject"), F.lit(predicate).alias("predicate"), F.lit("iri").alias("object_kind"), F.concat(F.lit(p), col).alias("object"), F.lit(None).cast("string").alias("datatype"))
-        both = got if both is None else both.unionByName(got)
-    return both
+    two = F.array(*[F.struct(F.lit(p).alias("predicate"), F.concat(F.lit(to), col).alias("object")) for p, col, to in (("contains", "l_partkey", "p:"), ("shipped_by", "l_suppkey", "s:"))])
+    lines = star.keyed_lineitem(spark, d).select(F.pmod("l_orderkey", F.lit(700)).alias("bundle"), "k", F.concat(F.lit("o:"), "l_orderkey").alias("subject"), F.inline(two))
+    local = F.concat(F.substring("predicate", 1, 1), F.lit(":"), "k")
+    return lines.select("bundle", local.alias("local_id"), "subject", "predicate", F.lit("iri").alias("object_kind"), "object", F.lit(None).cast("string").alias("datatype"))
 
 
 @query("bundle_disconnected")
