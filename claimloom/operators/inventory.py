@@ -31,6 +31,12 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def entities_page(claims: DataFrame, offset: int, limit: int) -> DataFrame:
+    """A page of ``entities`` by subject: the page's subjects are found first, and only their claims gathered."""
+    on = page(claims.select("subject_id").distinct(), ["subject_id"], offset, limit)
+    return entities(claims.join(F.broadcast(on), "subject_id", "left_semi")).orderBy("subject_id")
+
+
 def cursor(snapshot: str, query: str, offset: int) -> str:
     """A cursor that only fits the snapshot and query that it was made for."""
     return f"{offset}:{hashlib.sha256(f'{snapshot}|{query}|{offset}'.encode()).hexdigest()}"

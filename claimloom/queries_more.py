@@ -37,7 +37,7 @@ def entity_inventory(spark, d):
 
 @query("inventory_page", f"with {_ENTITIES} select * from e order by subject_id limit 25 offset 50")
 def inventory_page(spark, d):
-    return inventory.page(inventory.entities(star.claims(spark, d)), ["subject_id"], 50, 25)
+    return inventory.entities_page(star.claims(spark, d), 50, 25)
 
 
 @query("neighbour_literals", "select a.claim_id, a.object_id, b.relation as relation2, b.object_id as literal from structure a join labels_c b on a.object_id = b.subject_id")
