@@ -7,6 +7,7 @@ round's facts are written, so plans don't grow.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,11 +214,16 @@ def materialise(triples: DataFrame, rules=None, limit: int = 50, most: int | Non
     n, new = now.count(), now
     for _ in range(limit):
         fresh = now if new.where(_of_schema()).limit(1).count() else new.unionByName(now.where(_of_schema()))
-        grown = now
-        for name in chosen:
-            grown = grown.unionByName(RULES[name](fresh if name in LINEAR else now))
-        grown = storage.materialize(canonical(storage.materialize(grown.distinct(), "facts")), "facts")
-        new = storage.materialize(grown.subtract(now), "added")
+        # only what the rules give is made distinct and held against what is known, and only what is new is written
+        given = reduce(DataFrame.unionByName, [RULES[name](fresh if name in LINEAR else now) for name in chosen]) if chosen else now.where(F.lit(False))
+        known = now.select(*[F.col(c).alias("_" + c) for c in ("s", "p", "o", "lit")])
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col("_" + c)) for c in ("s", "p", "o", "lit")])
+        new = storage.materialize(given.distinct().join(known, same, "left_anti"), "added")
+        grown = now.unionByName(new)
+        one = canonical(grown)
+        if one is not grown:  # same nodes were made one
+            one = storage.materialize(one, "facts")
+            new, grown = storage.materialize(one.subtract(now), "added"), one
         m = grown.count()
         if most is not None and m > most:
             raise RuntimeError("more facts than allowed")
