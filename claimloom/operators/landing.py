@@ -6,6 +6,7 @@ having any number of labels.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +14,13 @@ from claimloom.functions import lexical
 
 
 def anchors_frame(spark, blocks: list[dict]) -> DataFrame:
-    """anchors of blocks like {"from": [...], "to": [...]}."""
+    """anchors of blocks like {"from": [...], "to": [...]}.
+
+    A local relation, whose size is known: joins with it leave the other side where it is.
+    """
     rows = [(b, role, i, a) for b, block in enumerate(blocks) for role in ("from", "to") for i, a in enumerate(block.get(role) or [])]
-    return spark.createDataFrame(rows, "block int, role string, anchor_idx int, anchor string")
+    kinds = (("block", pa.int32()), ("role", pa.string()), ("anchor_idx", pa.int32()), ("anchor", pa.string()))
+    return spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds)}))
 
 
 def exact(anchors: DataFrame, landing: DataFrame) -> DataFrame:
@@ -29,20 +34,20 @@ def token_overlap(anchors: DataFrame, landing: DataFrame, least: int = 1) -> Dat
     """Entities that share at least ``least`` tokens with an anchor in one label.
 
     An equal id or label (in lower case) scores twice the anchor's tokens plus
-    one.  Labels are found through their tokens, not by comparing all pairs.
+    one.  Labels are found through their tokens, not by comparing all pairs,
+    and repeats are dropped among those found.
     """
     if least < 1:
         raise ValueError("least overlap must be positive")
     asked = anchors.withColumn("q", lexical.tokens(F.col("anchor"))).withColumn("full", 2 * F.size("q").cast("long") + 1)
     words = asked.select("block", "role", "anchor_idx", F.explode("q").alias("token"))
     labels = landing.where("label is not null").select("id", "label")
-    held = labels.distinct().select("id", "label", F.explode(lexical.tokens(F.col("label"))).alias("token"))
-    shared = words.join(held, "token").groupBy("block", "role", "anchor_idx", "id", "label").agg(F.count(F.lit(1)).alias("score")).where(F.col("score") >= least)
+    held = labels.select("id", "label", F.explode(lexical.tokens(F.col("label"))).alias("token"))
+    shared = words.join(held, "token").groupBy("block", "role", "anchor_idx", "id", "label").agg(F.count_distinct("token").alias("score")).where(F.col("score") >= least)
     part = shared.select("block", "role", "id", "score", "anchor_idx")
     low = labels.select("id", lexical.lower_each(F.col("label")).alias("name"))
     whole = asked.join(low, lexical.lower_each(F.col("anchor")) == F.col("name")).select("block", "role", "id", F.col("full").alias("score"), "anchor_idx")
-    ids = landing.select("id").distinct()
-    by_id = asked.join(ids, F.col("anchor") == F.col("id")).select("block", "role", "id", F.col("full").alias("score"), "anchor_idx")
+    by_id = asked.join(landing.select("id"), F.col("anchor") == F.col("id")).select("block", "role", "id", F.col("full").alias("score"), "anchor_idx")
     return _best(part.unionByName(whole).unionByName(by_id))
 
 

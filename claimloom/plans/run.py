@@ -75,16 +75,16 @@ def execute(
         for p in parts[1:]:
             landed = landed.unionByName(p)
     notices = set(plan.notices)
-    seeds = landing.seeds(landed, None)
+    seeds = storage.materialize(landing.seeds(landed, plan.seed_limit + 1), "landed")  # one more tells that some were left out
     if seeds.groupBy("block").count().count() < len(plan.blocks):
         notices.add("empty_landing")
     if seeds.where(F.col("seed_rank") > plan.seed_limit).limit(1).count():
         notices.add("seed_limit")
     seeds = seeds.where(F.col("seed_rank") <= plan.seed_limit)
-    connecting = any("to" in b for b in plan.blocks)
+    targets = storage.materialize(landing.targets(landed), "targets") if any("to" in b for b in plan.blocks) else None
     plan.options.programs = [programs.Program(p, f"walk{i}") for i, p in enumerate(plan.programs.get("walk", []))]
     plan.options.ontology, plan.options.explain = ontology or {}, bool(plan.returns["explain"])
-    done = walk.walk(claims, seeds, plan.options, landing.targets(landed) if connecting else None)
+    done = walk.walk(claims, seeds, plan.options, targets)
     kept = walk.filtered(done.paths, plan.options.filters, plan.options.ontology)
     for i, p in enumerate(plan.programs.get("filter", [])):
         kept = programs.Program(p, f"filter{i}").over_paths(kept)
