@@ -21,6 +21,10 @@ copies share a class.
    among its first ninth.  A token that is ordered last pairs only rows of
    which one has it there, and only within that sum: sets that share a licence
    or a passage, but have more than a ninth of their own, never meet over it.
+   Single sets carry the parities of how many of their tokens fall on each of
+   512 places.  A token that one of two sets has alone turns one place, so the
+   sets differ in as many tokens as places or more; where these are too many
+   for a link, the pair is left out as it is met.
    The members of the smaller group are queries against blocks of the larger:
    a query's overlap with the block's whole token union bounds its overlap
    with any member, and only blocks where the bound reaches 80 % are opened and
@@ -49,7 +53,9 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -59,6 +65,8 @@ from .components import connected_components
 BANDS, BAND_TOKENS = 5, 2
 #: Tokens in more heads than this are ordered last; at most HOT_MOST of them, 12 bytes each, are broadcast.
 HOT_COUNT, HOT_MOST = 32, 1 << 20
+#: Numbers of 64 bits that hold a set's parities: enough for sets of some 600 tokens, longer ones are told apart by their prefixes.
+PARITY = 8
 #: Rows of one token, or one set, that a task of a join gets.
 DEALT = 2000
 #: Members of a block that one task opens at a time.
@@ -110,6 +118,15 @@ def band_keys(tokens) -> list[int]:
     return keys
 
 
+def parities(tokens):
+    """For each of 64 * PARITY places, whether an odd number of the tokens falls on it, as PARITY numbers."""
+    import numpy as np
+
+    place = (tokens >> np.uint64(20)) % np.uint64(64 * PARITY)
+    odd = np.bincount(place.astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def head_length(n: int, percent: int) -> int:
     """Tokens of a set that are stored: enough for a prefix of which a third is put last."""
     p = prefix_length(n, percent)
@@ -136,7 +153,7 @@ def _arrays(column):
 
 
 def _sign(n: int, percent: int):
-    """Texts -> size, class, band keys and first tokens by hash of their sets."""
+    """Texts -> size, class, band keys, first tokens by hash and parities of their sets."""
 
     def run(batches):
         common.claim_worker("shingles")
@@ -157,8 +174,9 @@ def _sign(n: int, percent: int):
                         pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
                         pa.array([band_keys(x) if len(x) else None for x in sets], pa.list_(pa.int64())),
                         _lists([x[: head_length(len(x), percent)] if len(x) else none for x in sets]),
+                        _lists([parities(x) if len(x) else none for x in sets]),
                     ],
-                    ["id", "n", "class", "bands", "head"],
+                    ["id", "n", "class", "bands", "head", "odd"],
                 )
 
     return run
@@ -218,7 +236,7 @@ def ordered_prefix(tokens, n: int, percent: int, late):
 
 
 def _prefixes(percent: int, late):
-    """(class, n, bands, head) -> (class, n, bands, prefix, short)."""
+    """(class, n, bands, head, odd) -> (class, n, bands, odd, prefix, short)."""
 
     def run(batches):
         common.claim_worker("shingles")
@@ -228,8 +246,8 @@ def _prefixes(percent: int, late):
         for batch in batches:
             got = [ordered_prefix(h, k, percent, last) for k, h in zip(batch.column("n").to_pylist(), _arrays(batch.column("head")))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("class"), batch.column("n"), batch.column("bands"), _lists([g[0] for g in got]), pa.array([not g[1] for g in got], pa.bool_())],
-                ["class", "n", "bands", "prefix", "short"],
+                [batch.column("class"), batch.column("n"), batch.column("bands"), batch.column("odd"), _lists([g[0] for g in got]), pa.array([not g[1] for g in got], pa.bool_())],
+                ["class", "n", "bands", "odd", "prefix", "short"],
             )
 
     return run
@@ -377,14 +395,14 @@ class Join:
         self.rows = rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
         kind = rows.schema["id"].dataType.simpleString()
         path = common.scratch(spark, "heads")
-        common.write(rows.mapInArrow(_sign(n, percent), kind := f"id {kind}, n long, class binary, bands array<long>, head array<long>"), path)
+        common.write(rows.mapInArrow(_sign(n, percent), kind := f"id {kind}, n long, class binary, bands array<long>, head array<long>, odd array<long>"), path)
         heads = spark.read.schema(kind).parquet(path)
         self.signed = common.materialize(heads.select("id", "n", "class"), "signed")
-        own = heads.where("n > 0").select("class", "n", "bands", "head")
-        made = "class binary, n long, bands array<long>, prefix array<long>, short boolean"
+        own = heads.where("n > 0").select("class", "n", "bands", "head", "odd")
+        made = "class binary, n long, bands array<long>, odd array<long>, prefix array<long>, short boolean"
         self.late = self._put_last(own, made)
         own = own.mapInArrow(_prefixes(percent, self.late), made)
-        sets = own.groupBy("class").agg(F.first(F.struct("n", "bands", "prefix", "short")).alias("s")).select("class", "s.*")
+        sets = own.groupBy("class").agg(F.first(F.struct("n", "bands", "odd", "prefix", "short")).alias("s")).select("class", "s.*")
         self.sets = common.materialize(sets, "sets")
         del own, heads, sets
         common.remove(spark, path)
@@ -567,6 +585,15 @@ class Join:
         matrix = common.materialize(matrix.join(shared.hint("shuffle_hash"), "token"), "matrix")
         common.tidy(spark)
 
+        # rows of single sets get their sets' parities
+        odd = [f"odd{i}" for i in range(PARITY)]
+        own = members.where("component is null").select("g", "class").join(self.sets.select("class", *[F.col("odd")[i].alias(x) for i, x in enumerate(odd)]), "class").drop("class")
+        bare = matrix
+        matrix = bare.where("info >= 0").join(own, "g").unionByName(bare.where("info < 0"), allowMissingColumns=True)
+        matrix = common.materialize(matrix, "parities")
+        common.drop(bare)
+        common.tidy(spark)
+
         # two rows of a token meet once: both before the tokens that are put last (which are negative), or one early
         x = matrix.where("early or token >= 0").withColumn("slot", F.pmod(F.hash("g"), F.col("k"))).alias("x")
         y = matrix.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).alias("y")
@@ -576,10 +603,12 @@ class Join:
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.slot") == F.col("y.slot")) & once)
         turn, late = F.col("x.g") > F.col("y.g"), F.col("x.token") < 0
         pick = lambda a, b, name: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(name)
-        met = met.select(late.alias("late"), pick("x.g", "y.g", "g"), pick("y.g", "x.g", "h"), pick("x.info", "y.info", "i"), pick("y.info", "x.info", "j"))
+        apart = reduce(Column.__add__, [F.bit_count(F.col("x." + c).bitwiseXOR(F.col("y." + c))) for c in odd])
+        met = met.select(late.alias("late"), apart.alias("apart"), pick("x.g", "y.g", "g"), pick("y.g", "x.g", "h"), pick("x.info", "y.info", "i"), pick("y.info", "x.info", "j"))
         alone, sizes = (F.col("i") >= 0) & (F.col("j") >= 0), (100 * n >= t * m) & (100 * m >= t * n)
         first = ~F.col("late") | ((100 + t) * (at("i") + at("j")) <= (100 - t) * (n + m))
-        near = met.where(~alone | (sizes & first)).groupBy("g", "h").agg(F.count_if(~F.col("late")).alias("c"), F.max(F.when(~F.col("late"), F.col("i"))).alias("ci"), F.max(F.when(~F.col("late"), F.col("j"))).alias("cj"), F.max("i").alias("i"), F.max("j").alias("j"))
+        close = (100 + t) * F.col("apart") <= (100 - t) * (n + m)
+        near = met.where(~alone | (sizes & first & close)).groupBy("g", "h").agg(F.count_if(~F.col("late")).alias("c"), F.max(F.when(~F.col("late"), F.col("i"))).alias("ci"), F.max(F.when(~F.col("late"), F.col("j"))).alias("cj"), F.max("i").alias("i"), F.max("j").alias("j"))
         # bound for single sets that share tokens before those put last: up to the last of these, what isn't shared differs
         differ = at("ci") + at("cj") + 2 - 2 * F.col("c")
         fits = (F.col("c") == 0) | ((100 + t) * differ <= (100 - t) * (n + m))

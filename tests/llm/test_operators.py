@@ -130,6 +130,36 @@ def test_licences_with_own_words_are_no_candidates(spark, monkeypatch):
     assert dict(seen)["near"] == 0
 
 
+def test_families_below_the_threshold_are_no_candidates(spark, monkeypatch):
+    """Texts with four words changed each: most pairs are not far below the threshold, and are left out where they meet."""
+    rng = random.Random(5)
+    base, rows = [f"b{k}" for k in range(200)], []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(200), 4):
+            w[at] = f"o{i}x{at}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[k : k + 5]) for k in range(196)} for w in (t.split() for _, t in rows)]
+    links = sum(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    seen, real = [], ngram_join.common.materialize
+    monkeypatch.setattr(ngram_join.common, "materialize", lambda df, name, **o: (lambda held: (seen.append((name, held.count())), held)[1])(real(df, name, **o)))
+    got = ngram_join.Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).documents().collect()
+    assert {r["id"]: (r["n"], r["component"]) for r in got} == brute_components(rows)
+    assert dict(seen)["near"] <= links + 0.02 * 150 * 149 / 2
+
+
+@pytest.mark.parametrize("k", [1, 40, 700, 9000])
+def test_parities_bound_what_differs(k):
+    rng = np.random.default_rng(k)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+    both = draw(k)
+    for more, other in ((0, 0), (1, 0), (k // 3, k // 4)):
+        a, b = np.union1d(both, draw(more)), np.union1d(both, draw(other))
+        x = ngram_join.parities(a) ^ ngram_join.parities(b)
+        turned = sum(int(v).bit_count() for v in x)
+        assert len(x) == ngram_join.PARITY and turned <= len(np.setxor1d(a, b)) and (turned > 0 or not more)
+
+
 def test_late_tokens_keep_their_order():
     tokens = np.array([1 << 8 | 255, 5 << 8 | 255, 3 << 8 | 255], np.uint64)
     late = ngram_join.put_in_order(np.concatenate([tokens, tokens[:1]]), np.array([50, 40, 90, 95]))
