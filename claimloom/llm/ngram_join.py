@@ -24,7 +24,9 @@ copies share a class.
    Single sets carry the parities of how many of their tokens fall on each of
    512 places.  A token that one of two sets has alone turns one place, so the
    sets differ in as many tokens as places or more; where these are too many
-   for a link, the pair is left out as it is met.
+   for a link, the pair is left out as it is met.  Single sets that share one of
+   the few tokens before a token that is ordered last have met over it, and
+   don't meet again.
    The members of the smaller group are queries against blocks of the larger:
    a query's overlap with the block's whole token union bounds its overlap
    with any member, and only blocks where the bound reaches 80 % are opened and
@@ -65,6 +67,8 @@ from .components import connected_components
 BANDS, BAND_TOKENS = 5, 2
 #: Tokens in more heads than this are ordered last; at most HOT_MOST of them, 12 bytes each, are broadcast.
 HOT_COUNT, HOT_MOST = 32, 1 << 20
+#: Tokens before a token in its set that the rows of single sets carry, of those that sets share.
+BEFORE = 4
 #: Numbers of 64 bits that hold a set's parities: enough for sets of some 600 tokens, longer ones are told apart by their prefixes.
 PARITY = 8
 #: Rows of one token, or one set, that a task of a join gets.
@@ -236,7 +240,7 @@ def ordered_prefix(tokens, n: int, percent: int, late):
 
 
 def _prefixes(percent: int, late):
-    """(class, n, bands, head, odd) -> (class, n, bands, odd, prefix, short)."""
+    """(class, n, bands, head, odd, row) -> (class, n, bands, odd, row, prefix, short)."""
 
     def run(batches):
         common.claim_worker("shingles")
@@ -246,8 +250,8 @@ def _prefixes(percent: int, late):
         for batch in batches:
             got = [ordered_prefix(h, k, percent, last) for k, h in zip(batch.column("n").to_pylist(), _arrays(batch.column("head")))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("class"), batch.column("n"), batch.column("bands"), batch.column("odd"), _lists([g[0] for g in got]), pa.array([not g[1] for g in got], pa.bool_())],
-                ["class", "n", "bands", "odd", "prefix", "short"],
+                [batch.column("class"), batch.column("n"), batch.column("bands"), batch.column("odd"), batch.column("row"), _lists([g[0] for g in got]), pa.array([not g[1] for g in got], pa.bool_())],
+                ["class", "n", "bands", "odd", "row", "prefix", "short"],
             )
 
     return run
@@ -383,6 +387,19 @@ def _ends(pairs: DataFrame, a: str = "a", b: str = "b", out: str = "class") -> D
     return pairs.select(F.col(a).alias(out)).distinct().unionByName(pairs.select(F.col(b).alias(out)).distinct()).distinct()
 
 
+def _early(info: str) -> Column:
+    """Whether a row of the matrix has its token early; see ``Join._across``."""
+    return F.col(info).bitwiseAND(F.lit(1)) == 1
+
+
+def _place(info: str) -> Column:
+    return F.shiftright(info, 1).bitwiseAND(F.lit((1 << 20) - 1))
+
+
+def _both_alone() -> Column:
+    return (F.col("i") >= 0) & (F.col("j") >= 0)
+
+
 class Join:
     """Documents, their classes, and the components of links between classes.
 
@@ -395,24 +412,34 @@ class Join:
         self.rows = rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
         kind = rows.schema["id"].dataType.simpleString()
         path = common.scratch(spark, "heads")
-        common.write(rows.mapInArrow(_sign(n, percent), kind := f"id {kind}, n long, class binary, bands array<long>, head array<long>, odd array<long>"), path)
-        heads = spark.read.schema(kind).parquet(path)
+        signs = rows.mapInArrow(_sign(n, percent), kind := f"id {kind}, n long, class binary, bands array<long>, head array<long>, odd array<long>")
+        common.write(signs.withColumn("row", F.monotonically_increasing_id()), path)
+        heads = spark.read.schema(kind + ", row long").parquet(path)
         self.signed = common.materialize(heads.select("id", "n", "class"), "signed")
-        own = heads.where("n > 0").select("class", "n", "bands", "head", "odd")
-        made = "class binary, n long, bands array<long>, odd array<long>, prefix array<long>, short boolean"
+        own = heads.where("n > 0").select("class", "n", "bands", "head", "odd", "row")
+        made = "class binary, n long, bands array<long>, odd array<long>, row long, prefix array<long>, short boolean"
         self.late = self._put_last(own, made)
-        own = own.mapInArrow(_prefixes(percent, self.late), made)
-        sets = own.groupBy("class").agg(F.first(F.struct("n", "bands", "odd", "prefix", "short")).alias("s")).select("class", "s.*")
+        # each set once, under the number of its first row; where copies are few, rows stay where they are
+        copies = own.groupBy("class").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        copies = common.materialize(copies, "copies", counted="n")
+        if copies.sizes[0] <= BROADCAST_IDS:
+            again = common.join_spread(own.select("class", "row"), copies, ["class"]).where("row <> first").select("row")
+            sets = own.join(F.broadcast(again), "row", "left_anti").select(*own.columns).mapInArrow(_prefixes(percent, self.late), made)
+        else:
+            sets = own.mapInArrow(_prefixes(percent, self.late), made).groupBy("class").agg(F.min_by(F.struct("n", "bands", "odd", "row", "prefix", "short"), "row").alias("s")).select("class", "s.*")
         self.sets = common.materialize(sets, "sets")
-        del own, heads, sets
+        del own, heads, sets, signs
+        common.drop(copies)
         common.remove(spark, path)
         common.tidy(spark)
         missing = self.sets.where("short").select("class")
         whole = "class binary, n long, prefix array<long>"
-        prefixes = self.sets.where("not short").select("class", "n", "prefix")
+        prefixes = self.sets.where("not short").select("class", "n", "row", "prefix")
         if missing.limit(1).count():
-            prefixes = prefixes.unionByName(self._with_tokens(missing).mapInArrow(_whole_prefixes(percent, self.late), whole))
-        self.prefixes = common.materialize(prefixes, "prefixes")
+            found = self._with_tokens(missing).mapInArrow(_whole_prefixes(percent, self.late), whole)
+            found = found.join(self.sets.where("short").select("class", "row"), "class").select("class", "n", "row", "prefix")
+            prefixes = prefixes.unionByName(common.materialize(found, "prefixes"))
+        self.prefixes = prefixes
         self.components = self._across(self._groups())
 
     def _put_last(self, own: DataFrame, made: str):
@@ -556,73 +583,93 @@ class Join:
         common.tidy(self.signed.sparkSession)
         return found
 
-    def _numbered(self, members: DataFrame) -> DataFrame:
-        """members with g, a number of the group (or of a set that is alone) that no other has."""
-        name = F.coalesce("component", "class")
-        for seed in range(8):
-            out = members.withColumn("g", F.xxhash64(name, F.lit(seed)))
-            same = out.groupBy("g").agg(F.min(name).alias("low"), F.max(name).alias("high")).where("low < high")
-            if not same.limit(1).count():
-                return out
-        raise RuntimeError("group numbers collide")
+    def _numbered(self, found: DataFrame) -> DataFrame:
+        """class, component, n, prefix of each set, and g, a number of its group (or of a set that is alone) that no other has.
+
+        It is the number of a set's first row, and of a group that of its
+        first set, so sets that lie together have numbers alike.
+        """
+        parts = found.join(self.sets.select("class", "row"), "class")
+        parts = common.materialize(parts.join(parts.groupBy("component").agg(F.min("row").alias("least")), "component").select("class", "component", "least"), "numbers")
+        parts = F.broadcast(parts) if parts.count() <= BROADCAST_IDS else parts
+        return self.prefixes.join(parts, "class", "left").select("class", "component", "n", "prefix", F.coalesce("least", "row").alias("g"))
 
     def _across(self, found: DataFrame) -> DataFrame:
         """(class, root) of classes with a link; found: groups."""
         spark, t = self.signed.sparkSession, self.percent
-        parts = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
-        members = self._numbered(self.prefixes.join(parts, "class", "left"))
+        members = self._numbered(found)
 
-        # the matrix: a row per token and group, with the token's place in the prefix and the size of single sets;
-        # early: the token is among the first ninth of a set's, or of some member's
+        # the matrix: a row per token and group; info: for single sets, n, the token's place in the prefix and its lowest bit,
+        # which says that the token is early: among the first ninth of a set's, or of some member's; negative for groups
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
         cell = members.select("g", "component", "n", F.posexplode("prefix").alias("place", "token"))
-        cell = cell.withColumn("early", (100 + t) * F.col("place") <= (100 - t) * F.col("n"))
-        one = F.least(F.col("place"), F.lit((1 << 20) - 1)).cast("long") + F.col("n") * (1 << 20)
-        single = cell.where("component is null").select("token", "g", one.alias("info"), "early")
-        several = cell.where("component is not null").groupBy("token", "g").agg(F.lit(-1).cast("long").alias("info"), F.max("early").alias("early"))
+        cell = cell.withColumn("early", ((100 + t) * F.col("place") <= (100 - t) * F.col("n")).cast("long"))
+        one = F.col("n") * (1 << 21) + F.least(F.col("place"), F.lit((1 << 20) - 1)).cast("long") * 2 + F.col("early")
+        single = cell.where("component is null").select("token", "g", one.alias("info"))
+        several = cell.where("component is not null").groupBy("token", "g").agg((F.max("early") - 2).alias("info"))
         matrix = single.unionByName(several).repartition(width, "token")
-        shared = matrix.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("k")).where("low < high").select("token", "k")
+        # tokens that two groups have, and, of those put last, that one has early; it looks at all columns, so the rows are dealt once
+        shared = matrix.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.max(_early("info")).alias("any"), F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("k"))
+        shared = shared.where("low < high and (token >= 0 or any)").select("token", "k")
         matrix = common.materialize(matrix.join(shared.hint("shuffle_hash"), "token"), "matrix")
         common.tidy(spark)
 
-        # rows of single sets get their sets' parities
-        odd = [f"odd{i}" for i in range(PARITY)]
+        # rows of single sets get their sets' parities, and the tokens before theirs
+        odd, before = [f"odd{i}" for i in range(PARITY)], [f"before{i}" for i in range(BEFORE)]
         own = members.where("component is null").select("g", "class").join(self.sets.select("class", *[F.col("odd")[i].alias(x) for i, x in enumerate(odd)]), "class").drop("class")
-        bare = matrix
-        matrix = bare.where("info >= 0").join(own, "g").unionByName(bare.where("info < 0"), allowMissingColumns=True)
-        matrix = common.materialize(matrix, "parities")
+        bare, order = matrix, Window.partitionBy("g").orderBy(_place("info"), "token")
+        matrix = bare.where("info >= 0").join(own, "g").withColumns({x: F.lag("token", i + 1).over(order) for i, x in enumerate(before)})
+        matrix = common.materialize(matrix.unionByName(bare.where("info < 0"), allowMissingColumns=True), "parities")
         common.drop(bare)
         common.tidy(spark)
 
-        # two rows of a token meet once: both before the tokens that are put last (which are negative), or one early
-        x = matrix.where("early or token >= 0").withColumn("slot", F.pmod(F.hash("g"), F.col("k"))).alias("x")
-        y = matrix.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).alias("y")
-        n, m = F.shiftright("i", 20), F.shiftright("j", 20)
-        at = lambda info: F.col(info).bitwiseAND(F.lit((1 << 20) - 1))
-        once = (F.col("x.g") < F.col("y.g")) | ((F.col("x.token") < 0) & ~F.col("y.early") & (F.col("x.g") != F.col("y.g")))
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.slot") == F.col("y.slot")) & once)
-        turn, late = F.col("x.g") > F.col("y.g"), F.col("x.token") < 0
-        pick = lambda a, b, name: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(name)
-        apart = reduce(Column.__add__, [F.bit_count(F.col("x." + c).bitwiseXOR(F.col("y." + c))) for c in odd])
-        met = met.select(late.alias("late"), apart.alias("apart"), pick("x.g", "y.g", "g"), pick("y.g", "x.g", "h"), pick("x.info", "y.info", "i"), pick("y.info", "x.info", "j"))
-        alone, sizes = (F.col("i") >= 0) & (F.col("j") >= 0), (100 * n >= t * m) & (100 * m >= t * n)
-        first = ~F.col("late") | ((100 + t) * (at("i") + at("j")) <= (100 - t) * (n + m))
-        close = (100 + t) * F.col("apart") <= (100 - t) * (n + m)
-        near = met.where(~alone | (sizes & first & close)).groupBy("g", "h").agg(F.count_if(~F.col("late")).alias("c"), F.max(F.when(~F.col("late"), F.col("i"))).alias("ci"), F.max(F.when(~F.col("late"), F.col("j"))).alias("cj"), F.max("i").alias("i"), F.max("j").alias("j"))
+        near = self._met(matrix).groupBy("g", "h").agg(F.count_if(~F.col("late")).alias("c"), F.max(F.when(~F.col("late"), F.col("i"))).alias("ci"), F.max(F.when(~F.col("late"), F.col("j"))).alias("cj"), F.max("i").alias("i"), F.max("j").alias("j"))
+        alone, n, m = _both_alone(), F.shiftright("i", 21), F.shiftright("j", 21)
         # bound for single sets that share tokens before those put last: up to the last of these, what isn't shared differs
-        differ = at("ci") + at("cj") + 2 - 2 * F.col("c")
+        differ = _place("ci") + _place("cj") + 2 - 2 * F.col("c")
         fits = (F.col("c") == 0) | ((100 + t) * differ <= (100 - t) * (n + m))
         near = common.materialize(near.where(~alone | fits).select("g", "h", alone.alias("alone")), "near")
         common.drop(matrix)
+        common.tidy(spark)
 
-        named = members.select("class", "g", "n", "prefix")
-        names = common.materialize(named.join(_ends(near, "g", "h", "g"), "g", "left_semi"), "members")
-        a, b = names.select("g", F.col("class").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), names.select(F.col("g").alias("h"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-        pairs = near.where("alone").join(a, "g").join(b, "h").mapInArrow(_pair_bound(t), "a binary, b binary, apart double")
+        ends = common.materialize(_ends(near, "g", "h", "g"), "ends")
+        names = members.select("class", "g", "n", "prefix").join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "g", "left_semi")
+        names = common.materialize(names, "members")
+        # both ends are dealt by one exchange
+        pairs = near.where("alone").alias("p").join(names.alias("x"), F.col("p.g") == F.col("x.g")).join(names.alias("y"), F.col("p.h") == F.col("y.g"))
+        pairs = pairs.select(*[F.col(f"{side}.{c}").alias(out + end) for side, end in (("x", "a"), ("y", "b")) for c, out in (("class", ""), ("n", "n"), ("prefix", "p"))])
+        pairs = pairs.mapInArrow(_pair_bound(t), "a binary, b binary, apart double")
         links = self._spanning(pairs).unionByName(self._opened(near.where("not alone"), names))
         inner = found.where(F.col("class") != F.col("component")).select(F.col("class").alias("a"), F.col("component").alias("b"))
         return connected_components(common.materialize(links, "cross").unionByName(inner), "a", "b").select(F.col("node").alias("class"), F.col("component").alias("root"))
 
+    def _met(self, matrix: DataFrame) -> DataFrame:
+        """(late, g, h, i, j and more) of rows of one token that meet: those of groups, and those of single sets that may link."""
+        t = self.percent
+        # two rows of a token meet once: both before the tokens that are put last (which are negative), or one early;
+        # rows of a frequent token are dealt by slots, the other tokens' rows meet as they lie
+        few = matrix.where("k = 1")
+        x, y = few.alias("x"), few.alias("y")
+        met = [x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & ((F.col("x.token") >= 0) | _early("x.info") | _early("y.info")))]
+        many = matrix.where("k > 1")
+        if many.limit(1).count():
+            x = many.where((F.col("token") >= 0) | _early("info")).withColumn("slot", F.pmod(F.hash("g"), F.col("k"))).alias("x")
+            y = many.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).alias("y")
+            once = (F.col("x.g") < F.col("y.g")) | ((F.col("x.token") < 0) & ~_early("y.info") & (F.col("x.g") != F.col("y.g")))
+            met.append(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.slot") == F.col("y.slot")) & once))
+        n, m = F.shiftright("i", 21), F.shiftright("j", 21)
+        turn = F.col("x.g") > F.col("y.g")
+        pick = lambda a, b, name: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(name)
+        apart = reduce(Column.__add__, [F.bit_count(F.col(f"x.odd{k}").bitwiseXOR(F.col(f"y.odd{k}"))) for k in range(PARITY)])
+        # single sets that share one of the tokens before have met over it, nearer to their beginnings
+        again = reduce(Column.__or__, [F.col(f"x.before{a}") == F.col(f"y.before{b}") for a in range(BEFORE) for b in range(BEFORE)])
+        columns = ((F.col("x.token") < 0).alias("late"), apart.alias("apart"), F.coalesce(again, F.lit(False)).alias("again"), pick("x.g", "y.g", "g"), pick("y.g", "x.g", "h"), pick("x.info", "y.info", "i"), pick("y.info", "x.info", "j"))
+        met = reduce(DataFrame.unionByName, [part.select(*columns) for part in met])
+        alone, sizes = _both_alone(), (100 * n >= t * m) & (100 * m >= t * n)
+        first = ~F.col("late") | (((100 + t) * (_place("i") + _place("j")) <= (100 - t) * (n + m)) & ~F.col("again"))
+        close = (100 + t) * F.col("apart") <= (100 - t) * (n + m)
+        return met.where(~alone | (sizes & first & close))
+
     def _opened(self, near: DataFrame, names: DataFrame) -> DataFrame:
         """Links between groups of which one at least has several sets: the smaller's members against the larger's blocks."""
         held = names.join(_ends(near, "g", "h", "g"), "g", "left_semi")

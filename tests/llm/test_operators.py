@@ -148,6 +148,28 @@ def test_families_below_the_threshold_are_no_candidates(spark, monkeypatch):
     assert dict(seen)["near"] <= links + 0.02 * 150 * 149 / 2
 
 
+def test_families_meet_a_few_times_a_pair(spark, monkeypatch):
+    """Texts of a family share dozens of tokens that go last, but a pair meets over the first of a run of them alone."""
+    rng = random.Random(6)
+    base, rows = [f"b{k}" for k in range(450)], []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(450), 9):
+            w[at] = f"o{i}x{at}"
+        rows.append((i, " ".join(w)))
+    counts, real = [], ngram_join.Join._met
+
+    def met(self, matrix):
+        out = real(self, matrix).where("i >= 0 and j >= 0")
+        counts.append((out.count(), out.select("g", "h").distinct().count()))
+        return real(self, matrix)
+
+    monkeypatch.setattr(ngram_join.Join, "_met", met)
+    got = ngram_join.Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).documents().collect()
+    assert {r["id"]: (r["n"], r["component"]) for r in got} == brute_components(rows)
+    assert counts[0][1] > 20 and counts[0][0] <= 3 * counts[0][1], counts
+
+
 @pytest.mark.parametrize("k", [1, 40, 700, 9000])
 def test_parities_bound_what_differs(k):
     rng = np.random.default_rng(k)
