@@ -201,7 +201,9 @@ select user_id, event_id, max(wall - nth) over (partition by user_id order by ev
     claims=False,
 )
 def clock(spark, d):
-    rows = star.table(spark, d, "events").select("user_id", "event_id", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 100_000).alias("wall"))
+    """SQL's epoch_ms rounds to the nearest millisecond, halves away from zero, and its // cuts towards zero."""
+    rows = star.table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = rows.select("user_id", "event_id", F.expr("(us div 1000 + us % 1000 div 500) div 100000").alias("wall"))
     return temporal.monotonic(rows, ["event_id"], "wall", ["user_id"]).select("user_id", "event_id", "allocated")
 
 
