@@ -17,17 +17,153 @@ from claimloom.functions import lexical
 from claimloom.operators import ontology
 
 
+#: Bytes of a bundle's links up to which one task settles it; larger ones go by rounds.
+WHOLE = 128 << 20
+#: Bytes of links that are dealt to a task together; a bundle with a quarter of that is dealt alone.
+SHARE = 16 << 20
+#: Bytes of links that are packed together.
+CHUNK = 32 << 20
+
+
 def disconnected(claims: DataFrame, limit: int = 64) -> DataFrame:
     """(bundle, reason): bundles whose entities the claims between them don't connect.
 
-    Type claims connect nothing.  Every round puts the least of an entity and
-    its neighbours in the entity's place, at both ends of its links.  That keeps
-    components apart and together, and links inside one entity fall away, so
-    rounds shrink; entities that no link leaves any more are a component each.
-    Two hashes of 64 bits stand for an entity, the second telling whether the
-    first meets another one in a bundle, which then gets other hashes.
+    Type claims connect nothing.  Bundles don't meet, so a task settles all
+    that it is dealt in memory, by the entities' own texts, and links move
+    once, packed.  Only bundles that are too large for a task are contracted
+    in rounds.
     """
     link = (F.col("object_kind") == "iri") & (F.col("predicate") != ontology.TYPE)
+    to = F.when(link, F.col("object"))
+    # a claim that links nothing is its entity's link to itself
+    a, b = F.coalesce("subject", to), F.coalesce(to, "subject")
+    pairs = claims.select("bundle", a.alias("a"), b.alias("b")).where("a is not null")
+    weight = F.lit(24) + F.octet_length("a") + F.octet_length("b")
+    sizes = storage.materialize(pairs.groupBy("bundle").agg(F.sum(weight).alias("bytes")), "sizes")
+    # at most one for each SHARE / 4 bytes of links, so they are few
+    own = F.broadcast(sizes.where(F.col("bytes") >= SHARE // 4).select(F.col("bundle").alias("_bundle"), (F.col("bytes") > WHOLE).alias("large")))
+    same = F.col("bundle").eqNullSafe(F.col("_bundle"))
+    alone, rest = sizes.agg(F.count_if(F.col("bytes") >= SHARE // 4), F.coalesce(F.sum(F.when(F.col("bytes") < SHARE // 4, F.col("bytes"))), F.lit(0))).first()
+    shared = rest // SHARE + 1
+    number = F.xxhash64("bundle")
+    share = F.when(F.col("large").isNull(), F.pmod(number, F.lit(shared))).otherwise(number)
+    dealt = pairs.join(own, same, "left").where(~F.coalesce("large", F.lit(False))).select(share.alias("share"), "bundle", "a", "b")
+    packed = dealt.mapInArrow(_pack(CHUNK), "share long, links binary").repartition(shared + alone, "share").sortWithinPartitions("share")
+    found = packed.mapInArrow(_settle, f"bundle {claims.schema['bundle'].dataType.simpleString()}")
+    large = _by_rounds(claims.join(own.where("large"), same, "left_semi"), link, limit)
+    return storage.materialize(found.unionByName(large), "disconnected").select("bundle", F.lit("disconnected").alias("reason"))
+
+
+def _pack(chunk: int):
+    def run(batches):
+        """(share, bundle, a, b) as (share, links): the rows of a share that are in one chunk, as a compressed Arrow stream."""
+        import numpy as np
+        import pyarrow as pa
+
+        packing = pa.ipc.IpcWriteOptions(compression="zstd")
+
+        def codes(column):
+            return column.combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+
+        def packed(held):
+            table = pa.Table.from_batches(held)
+            share = table.column("share").to_numpy()
+            # rows of a bundle and of an entity side by side are packed well
+            order = np.lexsort((codes(table.column("a")), codes(table.column("bundle")), share))
+            share, rows = share[order], table.select(["bundle", "a", "b"]).take(pa.array(order)).combine_chunks()
+            starts = np.flatnonzero(np.concatenate(([True], share[1:] != share[:-1])))
+            links = []
+            for at, end in zip(starts, [*starts[1:], len(share)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=packing) as out:
+                    out.write_table(rows.slice(at, end - at))
+                links.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(share[starts], pa.int64()), pa.array(links, pa.binary())], ["share", "links"])
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= chunk:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _settle(batches):
+    """(bundle) of several components, of (share, links), each share's rows one after the other."""
+    import pyarrow as pa
+
+    share, held = None, []
+    for batch in batches:
+        for now, links in zip(batch.column("share").to_pylist(), batch.column("links")):
+            if held and now != share:
+                yield _several(held)
+                held = []
+            share = now
+            held.append(pa.py_buffer(links.as_buffer().to_pybytes()))
+    if held:
+        yield _several(held)
+
+
+def _several(links):
+    """The bundles of several components among some that are here as a whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in links])
+    bundles = table.column("bundle").combine_chunks().dictionary_encode("encode")
+    ends = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks]).dictionary_encode()
+    n, names, several = table.num_rows, len(ends.chunk(0).dictionary), len(bundles.dictionary) > 1
+    del table
+    nodes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in ends.chunks])
+    del ends
+    of = np.zeros(names, np.int64)
+    if several:  # an entity is another one in each bundle
+        whole = bundles.indices.to_numpy(zero_copy_only=False).astype(np.int64) * names
+        keys, nodes = np.unique(np.concatenate([whole, whole]) + nodes, return_inverse=True)
+        of = keys // names
+    roots = _least(len(of), nodes[:n], nodes[n:])
+    count = np.bincount(of[roots == np.arange(len(of))], minlength=len(bundles.dictionary))
+    return pa.RecordBatch.from_arrays([bundles.dictionary.take(pa.array(np.flatnonzero(count > 1)))], ["bundle"])
+
+
+def _least(n, a, b):
+    """The root of each of n nodes' components, for links between a and b: nodes join their least neighbour until no link is left."""
+    import numpy as np
+
+    root = me = np.arange(n, dtype=a.dtype)
+    while True:
+        keep = a != b
+        a, b = a[keep], b[keep]
+        if not len(a):
+            return root
+        near = np.full(n, n, a.dtype)
+        np.minimum.at(near, a, b)
+        np.minimum.at(near, b, a)
+        near = np.where(near == n, me, near)
+        # two may choose one another, and then the lesser stays; longer rings can't be
+        near = np.where((near[near] == me) & (me < near), me, near)
+        while (near[near] != near).any():
+            near = near[near]
+        root, a, b = near[root], near[a], near[b]
+
+
+def _by_rounds(claims: DataFrame, link: Column, limit: int) -> DataFrame:
+    """(bundle) of several components, of bundles of any size.
+
+    Every round puts the least of an entity and its neighbours in the entity's
+    place, at both ends of its links.  That keeps components apart and
+    together, and links inside one entity fall away, so rounds shrink; entities
+    that no link leaves any more are a component each.  Two hashes of 64 bits
+    stand for an entity, the second telling whether the first meets another one
+    in a bundle, which then gets other hashes.
+    """
+    claims = claims.withColumn("bundle", F.struct("bundle"))  # so that a null equals itself
     for seed in range(limit):
         node = lambda c, k: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(2 * seed + k), c))  # noqa: B023, E731
         ends = F.array(*[F.struct(node(own, 0).alias("a"), node(own, 1).alias("sure"), node(to, 0).alias("b")) for own, to in (("subject", "object"), ("object", "subject"))])
@@ -36,15 +172,16 @@ def disconnected(claims: DataFrame, limit: int = 64) -> DataFrame:
         first = rows.groupBy("bundle", "a").agg(F.least("a", F.min("b")).alias("to"), F.min("sure").alias("low"), F.max("sure").alias("high"))
         first = storage.materialize(first, "least")
         if first.where("low <> high").limit(1).count():
+            storage.drop(first)
             continue
         links = claims.where(link).select("bundle", node("subject", 0).alias("a"), node("object", 0).alias("b")).where("a <> b")
-        return _unjoined(first.select("bundle", "a", "to"), links, limit).select("bundle", F.lit("disconnected").alias("reason"))
+        return _unjoined(first, links, limit).select("bundle.bundle")
     raise RuntimeError("hashes meet")
 
 
-def _unjoined(least: DataFrame, links: DataFrame, limit: int) -> DataFrame:
-    """(bundle) of several components; least: (bundle, a, to), the least of each node and its neighbours; links: (bundle, a, b), between different nodes."""
-    done = []
+def _unjoined(first: DataFrame, links: DataFrame, limit: int) -> DataFrame:
+    """(bundle) of several components; first: (bundle, a, to), the least of each node and its neighbours, written; links: (bundle, a, b), between different nodes."""
+    done, least, read = [], first, [first]
     for _ in range(limit):
         here = lambda end: least.select("bundle", F.col("a").alias(end), F.col("to").alias("to_" + end))  # noqa: B023, E731
         moved = links.join(here("a"), ["bundle", "a"]).join(here("b"), ["bundle", "b"]).where("to_a <> to_b")
@@ -54,7 +191,9 @@ def _unjoined(least: DataFrame, links: DataFrame, limit: int) -> DataFrame:
         both = links.select("bundle", F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         nodes = least.select("bundle", F.col("to").alias("a"), F.lit(None).cast("long").alias("b")).distinct()
         near = storage.materialize(nodes.unionByName(both).groupBy("bundle", "a").agg(F.min("b").alias("b")), "near")
-        done.append(near.where("b is null").groupBy("bundle").agg(F.count(F.lit(1)).alias("n")))
+        done.append(storage.materialize(near.where("b is null").groupBy("bundle").agg(F.count(F.lit(1)).alias("n")), "done"))
+        storage.drop(*read)
+        read = [links, near]
         least = near.where("b is not null").select("bundle", "a", F.least("a", "b").alias("to"))
         if not links.limit(1).count():
             return reduce(DataFrame.unionByName, done).groupBy("bundle").agg(F.sum("n").alias("n")).where("n > 1").select("bundle")
